@@ -26,6 +26,7 @@ def local_session(cpus: int | str = "*", *, partitions: int = 8, memory: str = "
         builder.config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
