@@ -23,6 +23,7 @@ ORDER = ("ts_us", "ed_id", "event_name")
 class Step:
     kind: str
     value: Column | None = None
+    size: int = 1
 
 
 def nth() -> Step:
@@ -53,6 +54,11 @@ def latest(value: Column) -> Step:
     return Step("latest", value)
 
 
+def recent(value: Column, size: int) -> Step:
+    """Array of the last ``size`` values up to the row, oldest first."""
+    return Step("recent", value, size)
+
+
 def later_min(value: Column) -> Step:
     """Smallest value on the rows strictly after."""
     return Step("later_min", value)
@@ -84,8 +90,9 @@ def along(
         return df.withColumns({name: _local(step, part, order, wrap=False) for name, step in steps.items()})
 
     out = df.withColumns({f"_in_{name}": _local(step, part, order, wrap=True) for name, step in steps.items()})
-    slices = df.where(F.col(SLICE) >= 0).groupBy(*part).agg(
-        *[_summary(step, order).alias(f"_s_{name}") for name, step in steps.items()]
+    base = out if any(step.kind == "recent" for step in steps.values()) else df
+    slices = base.where(F.col(SLICE) >= 0).groupBy(*part).agg(
+        *[_summary(step, order, f"_in_{name}").alias(f"_s_{name}") for name, step in steps.items()]
     )
     carried = slices.select(
         *part, *[_carry(step, f"_s_{name}", key).alias(f"_out_{name}") for name, step in steps.items()]
@@ -115,6 +122,8 @@ def _local(step: Step, part: Sequence[str], order: Sequence[str], *, wrap: bool)
             return F.lead(F.struct(value.alias("v")) if wrap else value).over(forward)
         case "latest":
             return F.last(value, ignorenulls=True).over(upto)
+        case "recent":
+            return F.collect_list(value).over(forward.rowsBetween(1 - step.size, Window.currentRow))
         case "later_min":
             # A frame open at the end is quadratic; the reversed order is linear.
             backward = Window.partitionBy(*part).orderBy(*[F.col(c).desc() for c in order])
@@ -128,7 +137,7 @@ def _local(step: Step, part: Sequence[str], order: Sequence[str], *, wrap: bool)
     raise ValueError(f"unknown step {step.kind}")
 
 
-def _summary(step: Step, order: Sequence[str]) -> Column:
+def _summary(step: Step, order: Sequence[str], inside: str) -> Column:
     place = F.struct(*order)
     value = step.value
     match step.kind:
@@ -146,6 +155,8 @@ def _summary(step: Step, order: Sequence[str]) -> Column:
             return F.min_by(F.struct(value.alias("v")), place)
         case "latest":
             return F.max_by(value, F.when(value.isNotNull(), place))
+        case "recent":
+            return F.max_by(inside, place)
     raise ValueError(f"unknown step {step.kind}")
 
 
@@ -164,6 +175,10 @@ def _carry(step: Step, column: str, key: Sequence[str]) -> Column:
             return F.lead(column).over(forward)
         case "latest":
             return F.last(column, ignorenulls=True).over(before)
+        case "recent":
+            # Every slice holds a row, so that many slices before are enough.
+            near = forward.rowsBetween(-step.size, -1)
+            return F.flatten(F.collect_list(column).over(near))
         case "later_min":
             backward = Window.partitionBy(*key).orderBy(F.col(SLICE).desc())
             return F.min(column).over(backward.rowsBetween(Window.unboundedPreceding, -1))
@@ -190,4 +205,7 @@ def _combine(step: Step, inside: Column, outside: Column) -> Column:
             return F.coalesce(inside, outside).getField("v")
         case "latest":
             return F.coalesce(inside, outside)
+        case "recent":
+            both = F.concat(F.coalesce(outside, F.slice(inside, 1, 0)), inside)
+            return F.slice(both, -F.least(F.lit(step.size), F.size(both)), step.size)
     return F.coalesce(outside, inside)

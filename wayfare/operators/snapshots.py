@@ -1,12 +1,440 @@
-"""Leakage-safe prefix snapshots and their features."""
+"""Leakage-safe prefix snapshots and their features.
+
+A snapshot is a prefix of a journey, so all its features are running values at the
+last event of the prefix.  They are computed once along each journey; taking a snapshot
+then means picking an event by position or by time.  Samples of one journey share
+that pass, prefixes are never copied.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Mapping, Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wayfare.constants import (
+    DAY_US,
+    HORIZON_SECONDS,
+    MAX_SAMPLES_PER_JOURNEY,
+    MILESTONES,
+    RECENT_WINDOWS_DAYS,
+    SUCCESS_EVENT,
+    SUCCESS_STATE,
+    TOP_N_ACTIONS,
+    TOP_N_EVENTS,
+)
+from wayfare.functions.columns import clean_text, days, sample_count, uniform, whole_seconds
+from wayfare.functions.ordered import (
+    ORDER,
+    SLICE,
+    along,
+    latest,
+    nth,
+    previous,
+    recent,
+    running_max,
+    running_sum,
+    total_max,
+    total_min,
+    total_sum,
+)
+from wayfare.operators.assemble import RESOLVED, journey_parts
+from wayfare.sources.log import JourneyLog
+
+MISSING = "missing"
+LAST_EVENTS = 5
+
+
+# ---- where a prefix ends -------------------------------------------------
+
 
 def fraction_cut(n: Column, fraction: float = 0.7) -> Column:
     """Events kept of a journey of ``n``: at least one, never the last of several."""
     k = F.greatest(F.lit(1), F.least(n - 1, F.floor(F.lit(fraction) * n)))
     return F.when(n <= 1, 1).otherwise(k).cast("long")
+
+
+def random_cut(n: Column, *, seed: int = 42) -> Column:
+    """Uniform over 1 .. n - 1 (1 for a single event), drawn from the journey id."""
+    k = 1 + F.floor(uniform(seed, "id") * (n - 1))
+    return F.when(n <= 1, 1).otherwise(F.least(n - 1, k)).cast("long")
+
+
+def time_samples(
+    labeled: DataFrame,
+    *,
+    seed: int = 42,
+    max_samples: int = MAX_SAMPLES_PER_JOURNEY,
+    realistic: bool = False,
+    success_fraction: float = 0.70,
+) -> DataFrame:
+    """Random cutoff times per resolved journey: id, sample_num, cutoff_us, label, journey_status, start_us.
+
+    Plain samples lie anywhere between first and last event.  Realistic samples end at
+    the first success and, for successful journeys, at 70 % of the way there; journeys without
+    any span are skipped.
+    """
+    rows = labeled.where(F.col("journey_status").isin(*RESOLVED))
+    success = F.col("journey_status") == "successful"
+    end = F.coalesce("completion_us", "end_us") if realistic else F.col("end_us")
+    span = end - F.col("start_us")
+    rows = rows.withColumn("_span", span)
+    if realistic:
+        rows = rows.where(F.col("_span") > 0)
+    reach = F.col("_span")
+    if realistic:
+        reach = F.when(success, F.col("_span") * F.lit(success_fraction)).otherwise(F.col("_span").cast("double"))
+    rows = rows.withColumn("sample_num", F.explode(F.sequence(F.lit(1), sample_count(F.col("_span"), max_samples))))
+    cutoff = F.col("start_us") + F.floor(uniform(seed, "id", "sample_num") * reach).cast("long")
+    return rows.select(
+        "id",
+        "sample_num",
+        cutoff.alias("cutoff_us"),
+        success.cast("int").alias("label"),
+        "journey_status",
+        "start_us",
+        F.col("num_actions").alias("full_num_actions"),
+    )
+
+
+# ---- running features ----------------------------------------------------
+
+
+def prefix_rows(
+    log: JourneyLog,
+    *,
+    actions: Sequence[int] = (),
+    names: Sequence[str] = (),
+    milestones: Mapping[str, int] | None = None,
+    windows: Sequence[int] = (),
+) -> DataFrame:
+    """Every event with the running features of the prefix that ends at it.
+
+    ``actions`` and ``names`` ask for running counts per event id or name (short lists);
+    ``windows`` for trailing counts in days (only for logs without hot journeys, see
+    ``trailing_counts``).
+    """
+    rows = log.events.withColumn("event_name", F.coalesce("event_name", F.col("ed_id").cast("string")))
+    rows = along(rows, {"_id_occ": nth()}, key=("id", "ed_id"))
+    rows = along(rows, {"_name_occ": nth()}, key=("id", "event_name"))
+    rows = along(
+        rows,
+        {
+            "seq": nth(),
+            "n": total_sum(F.lit(1)),
+            "_first": total_min(F.struct(*ORDER)),
+            "_last": total_max(F.struct(*ORDER)),
+            "_prev_us": previous(F.col("ts_us")),
+            "last_names": recent(F.col("event_name"), LAST_EVENTS),
+        },
+    )
+    gap = (F.col("ts_us") - F.col("_prev_us")).cast("double")
+    occ = F.col("_id_occ").cast("double")
+    # c log2 c - (c-1) log2 (c-1): what one more occurrence adds to sum(c log2 c).
+    grown = occ * F.log2(occ) - F.when(occ > 1, (occ - 1) * F.log2(occ - 1)).otherwise(0.0)
+    steps = {
+        "unique_ids": running_sum((F.col("_id_occ") == 1).cast("long")),
+        "unique_names": running_sum((F.col("_name_occ") == 1).cast("long")),
+        "_clogc": running_sum(grown),
+        "max_repeat": running_max(F.col("_id_occ")),
+        "_gap_sum": running_sum(gap),
+        "_gap_square": running_sum(gap * gap),
+        "_gap_max": running_max(gap),
+    }
+    steps |= {f"id_{a}": running_sum((F.col("ed_id") == a).cast("long")) for a in actions}
+    steps |= {f"name_{i}": running_sum((F.col("event_name") == n).cast("long")) for i, n in enumerate(names)}
+    steps |= {
+        flag: running_max((F.col("ed_id") == ed).cast("int")) for flag, ed in (milestones or {}).items()
+    }
+    rows = along(rows, steps)
+    if windows:
+        if SLICE in rows.columns:
+            raise ValueError("trailing windows on a sliced log go through trailing_counts")
+        rows = rows.withColumns({f"events_last_{w}d": _trailing(w) for w in windows})
+    n = F.col("seq").cast("double")
+    return rows.withColumn("entropy", F.greatest(F.lit(0.0), F.log2(n) - F.col("_clogc") / n))
+
+
+def _trailing(window_days: int) -> Column:
+    frame = Window.partitionBy("id").orderBy("ts_us").rangeBetween(-window_days * DAY_US, Window.currentRow)
+    return F.count(F.lit(1)).over(frame)
+
+
+def action_columns(
+    *,
+    actions: Sequence[int] = (),
+    milestones: Mapping[str, int] | None = None,
+    full: Column | None = None,
+) -> list[Column]:
+    """Snapshot columns over ``prefix_rows``: counts, times, entropy, repeats, milestones, proportions."""
+    k = F.col("seq")
+    span = F.col("ts_us") - F.col("_first.ts_us")
+    duration = whole_seconds(span)
+    total = full if full is not None else F.col("n")
+    out = [
+        total.alias("full_num_actions"),
+        k.alias("snapshot_num_actions"),
+        (k / total).alias("snapshot_frac_of_journey"),
+        F.col("_first.ed_id").alias("first_action_so_far"),
+        F.col("ed_id").alias("current_last_action"),
+        F.col("unique_ids").alias("num_unique_actions_so_far"),
+        duration.alias("prefix_duration_seconds"),
+        F.when(k > 1, duration / (k - 1)).otherwise(0.0).alias("avg_gap_seconds"),
+        F.when(k > 1, whole_seconds(F.col("ts_us") - F.col("_prev_us"))).otherwise(0).cast("long").alias(
+            "time_since_prev_action_seconds"
+        ),
+        F.col("entropy").alias("action_entropy"),
+        F.col("max_repeat").alias("max_action_repeat"),
+    ]
+    out += [F.col(f"id_{a}").alias(f"action_count_{a}") for a in actions]
+    out += [F.col(flag) for flag in (milestones or {})]
+    out += [F.coalesce(F.try_divide(F.col(f"id_{a}"), k), F.lit(0.0)).alias(f"action_prop_{a}") for a in actions]
+    return out
+
+
+def event_columns(names: Sequence[str], start_us: Column, windows: Sequence[int] = RECENT_WINDOWS_DAYS) -> list[Column]:
+    """Realistic snapshot columns over ``prefix_rows`` of a log without success events."""
+    k = F.col("seq")
+    age = days(F.col("ts_us") - start_us)
+    span = days(F.col("ts_us") - F.col("_first.ts_us"))
+    gaps = (k - 1).cast("double")
+    mean = F.col("_gap_sum") / gaps
+    spread = F.greatest(F.lit(0.0), F.col("_gap_square") / gaps - mean * mean)
+    out = [
+        F.col("ts_us").alias("snapshot_us"),
+        age.alias("snapshot_age_days"),
+        k.alias("num_events"),
+        F.col("unique_names").alias("num_unique_event_names"),
+        F.col("unique_ids").alias("num_unique_ed_ids"),
+        F.col("_first.ts_us").alias("first_event_us"),
+        F.col("ts_us").alias("last_event_us"),
+        F.col("_first.event_name").alias("first_event_name"),
+        F.col("event_name").alias("last_event_name"),
+        F.col("_first.ed_id").alias("first_ed_id"),
+        F.col("ed_id").alias("last_ed_id"),
+        F.col("ed_id").alias("current_state"),
+        span.alias("active_span_days"),
+        F.lit(0.0).alias("days_since_last_event"),
+        (k / (age + 1)).alias("events_per_day_since_start"),
+        (k / (span + 1)).alias("events_per_active_day"),
+        F.when(k > 1, days(mean)).otherwise(0.0).alias("avg_gap_days"),
+        F.when(k > 1, days(F.col("_gap_max"))).otherwise(0.0).alias("max_gap_days"),
+        F.when(k > 2, days(F.sqrt(spread))).otherwise(0.0).alias("std_gap_days"),
+    ]
+    for i in range(1, LAST_EVENTS + 1):
+        out.append(F.coalesce(F.try_element_at("last_names", F.lit(-i)), F.lit(MISSING)).alias(f"last{i}_event"))
+    out += [F.col(f"events_last_{w}d") for w in windows]
+    out += [F.col(f"name_{i}").alias(f"cnt_{clean_text(n)}") for i, n in enumerate(names)]
+    return out
+
+
+def recent_ratios(df: DataFrame) -> DataFrame:
+    return df.withColumns(
+        {f"recent_{w}d_to_30d": F.col(f"events_last_{w}d") / (F.col("events_last_30d") + 1) for w in (1, 3, 7)}
+    )
+
+
+# ---- taking snapshots ----------------------------------------------------
+
+
+def at_position(rows: DataFrame, cut: Column) -> DataFrame:
+    """The prefix of ``cut`` events (an expression over ``n`` and ``id``) of every journey."""
+    return rows.where(F.col("seq") == cut)
+
+
+def at_times(log: JourneyLog, rows: DataFrame, samples: DataFrame) -> DataFrame:
+    """For each sample the running features of its last event at or before ``cutoff_us``.
+
+    Samples are merged into the event order and look back; samples before the first event vanish.
+    """
+    carried = [c for c in samples.columns if c != "id"]
+    features = [c for c in rows.columns if c not in ("id", SLICE)]
+    events = rows.select(
+        "id", F.struct(*features).alias("_row"), F.col("ts_us").alias("_at"), F.lit(0).alias("_probe"),
+        F.col("seq").alias("_pos"), *([SLICE] if SLICE in rows.columns else []),
+    )
+    points = log.place(samples.withColumns({"_at": F.col("cutoff_us"), "_probe": F.lit(1)}), "_at")
+    points = points.withColumn("_pos", F.col("sample_num").cast("long"))
+    merged = events.unionByName(points, allowMissingColumns=True)
+    found = along(merged, {"_found": latest(F.col("_row"))}, order=("_at", "_probe", "_pos"))
+    found = found.where((F.col("_probe") == 1) & F.col("_found").isNotNull())
+    shared = [c for c in carried if c in features]
+    return found.select("id", *[c for c in carried if c not in shared], "_found.*")
+
+
+def trailing_counts(
+    log: JourneyLog, snapshots: DataFrame, windows: Sequence[int], *, keep: Sequence[str] = ("sample_num",)
+) -> DataFrame:
+    """events_last_{w}d for snapshots (id, *keep, snapshot_us, num_events) of logs with hot journeys.
+
+    The count inside the window is the prefix length minus the events before the window, so
+    each window is one more time probe instead of a frame over a huge journey.
+    """
+    from wayfare.operators.transitions import state_at
+
+    probes = snapshots.select(
+        "id", *keep, "snapshot_us", "num_events", F.explode(F.array(*[F.lit(w) for w in windows])).alias("_w")
+    ).withColumn("probe_us", F.col("snapshot_us") - F.col("_w") * F.lit(DAY_US) - 1)
+    before = state_at(log, probes, keep=(*keep, "_w")).select("id", *keep, "_w", F.col("seq").alias("_before"))
+    counted = probes.join(before, ["id", *keep, "_w"], "left").withColumn(
+        "_count", F.col("num_events") - F.coalesce("_before", F.lit(0))
+    )
+    wide = counted.groupBy("id", *keep).agg(
+        *[F.max(F.when(F.col("_w") == w, F.col("_count"))).alias(f"events_last_{w}d") for w in windows]
+    )
+    return snapshots.drop(*[f"events_last_{w}d" for w in windows]).join(wide, ["id", *keep])
+
+
+def position_snapshots(
+    log: JourneyLog,
+    cut: Column,
+    *,
+    actions: Sequence[int] = (),
+    milestones: Mapping[str, int] = MILESTONES,
+    success_state: int = SUCCESS_STATE,
+    horizon_seconds: float = HORIZON_SECONDS,
+) -> DataFrame:
+    """One snapshot per resolved journey with action features and the remaining time to success.
+
+    Outcome, length and end of the journey ride along with the running values; no join.
+    """
+    rows = prefix_rows(log, actions=actions, milestones=milestones)
+    end = log.events.select(F.max("ts_us")).scalar()
+    success = F.col("_last.ed_id") == success_state
+    idle = end - F.col("_last.ts_us") >= F.lit(int(horizon_seconds * 1_000_000))
+    taken = at_position(rows, cut).where(success | idle)
+    remaining = (F.col("_last.ts_us") - F.col("ts_us")) / F.lit(1e6)
+    return taken.select(
+        "id",
+        success.cast("int").alias("label"),
+        F.when(success, "successful").otherwise("incomplete").alias("final_outcome"),
+        F.col("ts_us").alias("snapshot_us"),
+        F.when(success, remaining).alias("remaining_seconds"),
+        *action_columns(actions=actions, milestones=milestones),
+    )
+
+
+def time_snapshots(
+    log: JourneyLog,
+    labeled: DataFrame,
+    *,
+    seed: int = 42,
+    max_samples: int = MAX_SAMPLES_PER_JOURNEY,
+    actions: Sequence[int] = (),
+    milestones: Mapping[str, int] = MILESTONES,
+) -> DataFrame:
+    """Several random time prefixes per resolved journey with action features."""
+    samples = time_samples(labeled, seed=seed, max_samples=max_samples)
+    rows = prefix_rows(log, actions=actions, milestones=milestones)
+    found = at_times(log, rows, samples)
+    return found.select(
+        "id", "sample_num", "cutoff_us", "label", "journey_status",
+        *action_columns(actions=actions, milestones=milestones, full=F.col("full_num_actions")),
+    )
+
+
+def realistic_snapshots(
+    log: JourneyLog,
+    labeled: DataFrame,
+    names: Sequence[str],
+    *,
+    seed: int = 42,
+    max_samples: int = MAX_SAMPLES_PER_JOURNEY,
+    success_event: str = SUCCESS_EVENT,
+    windows: Sequence[int] = RECENT_WINDOWS_DAYS,
+) -> DataFrame:
+    """Leakage-safe snapshots: no success event inside, successful journeys cut by 70 % of the way."""
+    samples = time_samples(labeled, seed=seed, max_samples=max_samples, realistic=True)
+    clean = log.where(F.col("event_name") != success_event)
+    direct = clean.hot is None
+    rows = prefix_rows(clean, names=names, windows=windows if direct else ())
+    found = at_times(clean, rows, samples)
+    out = found.select(
+        "id",
+        "sample_num",
+        F.concat_ws("::", "id", F.col("sample_num").cast("string")).alias("snapshot_id"),
+        "journey_status",
+        F.when(F.col("label") == 1, "complete").otherwise("incomplete").alias("source_table"),
+        "label",
+        "cutoff_us",
+        *event_columns(names, F.col("start_us"), windows if direct else ()),
+    )
+    if not direct:
+        out = trailing_counts(clean, out, windows)
+    return recent_ratios(out)
+
+
+def open_snapshots(
+    log: JourneyLog,
+    names: Sequence[str],
+    *,
+    success_event: str = SUCCESS_EVENT,
+    windows: Sequence[int] = RECENT_WINDOWS_DAYS,
+) -> DataFrame:
+    """The realistic features on the whole observed prefix of every journey."""
+    clean = log.where(F.col("event_name") != success_event)
+    direct = clean.hot is None
+    rows = prefix_rows(clean, names=names, windows=windows if direct else ())
+    out = at_position(rows, F.col("n")).select(
+        "id",
+        F.lit(1).alias("sample_num"),
+        F.concat("id", F.lit("::open")).alias("snapshot_id"),
+        F.lit("open").alias("journey_status"),
+        F.lit("open").alias("source_table"),
+        *event_columns(names, F.col("_first.ts_us"), windows if direct else ()),
+    )
+    if not direct:
+        out = trailing_counts(clean, out, windows)
+    return recent_ratios(out)
+
+
+def open_tabular(log: JourneyLog, actions: Sequence[int], milestones: Mapping[str, int] = MILESTONES) -> DataFrame:
+    """Action features of every journey on all it shows so far."""
+    rows = at_position(prefix_rows(log, actions=actions, milestones=milestones), F.col("n"))
+    return rows.select("id", *action_columns(actions=actions, milestones=milestones))
+
+
+# ---- vocabularies and arrays ---------------------------------------------
+
+
+def top_events(
+    events: DataFrame, labeled: DataFrame, *, n: int = TOP_N_EVENTS, success_event: str = SUCCESS_EVENT
+) -> DataFrame:
+    """Most frequent event names of resolved journeys, success left out; ties by name."""
+    done = labeled.where(F.col("journey_status").isin(*RESOLVED)).select("id")
+    rows = events.where(F.col("event_name").isNotNull() & (F.col("event_name") != success_event))
+    # Counting per journey first keeps the join at one row per (id, name).
+    counts = rows.groupBy("id", "event_name").agg(F.count(F.lit(1)).alias("n")).join(done, "id", "left_semi")
+    return counts.groupBy("event_name").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "event_name").limit(n)
+
+
+def top_actions(rows: DataFrame, column: str = "ed_id", n: int = TOP_N_ACTIONS) -> DataFrame:
+    """Most frequent ids; ties by id."""
+    return rows.groupBy(column).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), column).limit(n)
+
+
+def vocabulary(top: DataFrame, column: str) -> list:
+    """A top list as Python values, for a fixed set of count columns (bounded by its limit)."""
+    return [r[0] for r in top.select(column).collect()]
+
+
+def prefix_action_parts(log: JourneyLog, snapshots: DataFrame, length: str = "snapshot_num_actions", **options) -> DataFrame:
+    """Prefix action arrays of snapshots (one row per part of at most ``part_rows`` events)."""
+    part_rows = options.get("part_rows", 10_000)
+    parts = journey_parts(log, part_rows).select("id", "part", F.col("journey.ed_id").alias("_ids"))
+    left = F.col(length) - F.col("part") * part_rows
+    keys = [c for c in snapshots.columns if c in ("id", "sample_num", "snapshot_id")]
+    return (
+        snapshots.select(*keys, length)
+        .join(parts, "id")
+        .where(left > 0)
+        .select(*keys, "part", F.slice("_ids", F.lit(1), F.least(F.lit(part_rows), left).cast("int")).alias("prefix_actions"))
+    )
+
+
+def action_list_features(df: DataFrame, actions: Sequence[int], column: str = "prefix_actions") -> DataFrame:
+    """Counts per id inside a short action array."""
+    return df.withColumns(
+        {f"action_count_{a}": F.size(F.filter(column, lambda x, a=a: x == a)) for a in actions}
+    )

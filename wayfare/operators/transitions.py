@@ -25,6 +25,7 @@ from wayfare.functions.ordered import (
     latest,
     nth,
     previous,
+    recent,
     running_sum,
     total_max,
     total_sum,
@@ -302,15 +303,12 @@ def order_k_history(
     if order < 2:
         raise ValueError("order must be at least 2")
     kept = log if states is None else log.states(states, also=success_state)
-    rows = along(kept.events, {"seq": nth()})
-    back = [F.col("ed_id")]
-    for i in range(1, order):
-        rows = along(rows, {f"_back{i}": previous(back[-1])})
-        back.append(F.col(f"_back{i}"))
-    history = F.array(*[F.coalesce(c, F.lit(start_state).cast("long")) for c in reversed(back)])
+    rows = along(kept.events, {"seq": nth(), "_last": recent(F.col("ed_id"), order)})
+    pad = F.array_repeat(F.lit(start_state).cast("long"), F.lit(order) - F.size("_last"))
+    history = F.concat(pad, F.col("_last"))
     closed = F.array(*[F.lit(success_state).cast("long")] * order)
     out = rows.withColumn("history", F.when(F.col("ed_id") == success_state, closed).otherwise(history))
-    return out.drop(*[f"_back{i}" for i in range(1, order)])
+    return out.drop("_last")
 
 
 def history_key(history: Column) -> Column:
