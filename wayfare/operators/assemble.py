@@ -185,6 +185,31 @@ def current_state(log: JourneyLog, *, states: Iterable[int] = CUSTOMER_STATES, s
     )
 
 
+def open_journeys(
+    log: JourneyLog,
+    *,
+    states: Iterable[int] = CUSTOMER_STATES,
+    success_state: int = SUCCESS_STATE,
+    horizon_seconds: float = HORIZON_SECONDS,
+) -> DataFrame:
+    """``current_state`` of the journeys still undecided, with status and state from one aggregation."""
+    place = F.struct("ts_us", "ed_id", "event_name")
+    kept = F.col("ed_id").isin(sorted({int(s) for s in states} | {success_state}))
+    seen = F.when(kept, place)
+    rows = log.events.groupBy("id").agg(
+        F.max_by("ed_id", place).alias("_last"),
+        F.max("ts_us").alias("_end"),
+        F.max_by("ed_id", seen).alias("current_state"),
+        F.min(F.when(kept, F.col("ts_us"))).alias("first_us"),
+        F.max(F.when(kept, F.col("ts_us"))).alias("last_us"),
+        F.count_if(kept).alias("n_customer_actions"),
+    )
+    idle = dataset_end_us(log.events) - F.col("_end") >= F.lit(int(horizon_seconds * 1_000_000))
+    rows = rows.where((F.col("_last") != success_state) & ~idle & (F.col("n_customer_actions") > 0))
+    age = ((F.col("last_us") - F.col("first_us")) / F.lit(1e6)).alias("observed_age_seconds")
+    return rows.select("id", "current_state", "first_us", "last_us", "n_customer_actions", age)
+
+
 def milestone_flags(log: JourneyLog, milestones: Mapping[str, int] = MILESTONES) -> DataFrame:
     """0/1 per milestone reached."""
     return log.events.groupBy("id").agg(

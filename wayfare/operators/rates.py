@@ -263,6 +263,20 @@ def fill_thin_segments(totals: DataFrame, segments: Sequence[str], *, min_rows:
     return kept.unionByName(thin)
 
 
+def piecewise_cells(
+    table: DataFrame,
+    edges: Sequence[float],
+    *,
+    success_state: int = SUCCESS_STATE,
+    failure_state: int = FAILURE_STATE,
+) -> DataFrame:
+    """Jumps and split exposure per (bin, from_state, to_state): the one pass of a piecewise fit."""
+    split = age_bin_exposure(table.where(~F.col("state").isin(success_state, failure_state)), edges)
+    return split.groupBy("bin", F.col("state").alias("from_state"), F.col("next_state").alias("to_state")).agg(
+        F.sum("jumps").alias("n"), F.sum("exposure_us").alias("exposure_us")
+    )
+
+
 def piecewise_rates(
     table: DataFrame,
     edges: Sequence[float],
@@ -276,15 +290,17 @@ def piecewise_rates(
 
     Columns: segment (bin), from_state, to_state, n, exposure_us, rate, fallback.
     """
-    start = ~F.col("state").isin(success_state, failure_state)
-    split = age_bin_exposure(table.where(start), edges)
-    cells = split.groupBy("bin", F.col("state").alias("from_state"), F.col("next_state").alias("to_state")).agg(
-        F.sum("jumps").alias("n"), F.sum("exposure_us").alias("exposure_us")
-    )
+    cells = piecewise_cells(table, edges, success_state=success_state, failure_state=failure_state)
     return piecewise_from_cells(cells, len(edges) + 1, min_jumps=min_jumps, min_exposure=min_exposure)
 
 
-def piecewise_from_cells(cells: DataFrame, bins: int, *, min_jumps: int, min_exposure: float) -> DataFrame:
+def piecewise_from_cells(
+    cells: DataFrame,
+    bins: int,
+    *,
+    min_jumps: int = MIN_STATE_TRANSITIONS,
+    min_exposure: float = MIN_EXPOSURE_SECONDS,
+) -> DataFrame:
     """The fallback rule on (bin, from_state, to_state, n, exposure_us) totals."""
     row = Window.partitionBy("bin", "from_state")
     per_bin = cells.withColumns({"_jumps": F.sum("n").over(row), "exposure_us": F.sum("exposure_us").over(row)})
@@ -301,7 +317,7 @@ def piecewise_from_cells(cells: DataFrame, bins: int, *, min_jumps: int, min_exp
     return out.withColumn("rate", rate).withColumn("segment", F.col("bin").cast("string")).drop("bin")
 
 
-def bin_windows(edges: Sequence[float], *, hours_first: bool = False) -> list[str]:
+def bin_windows(edges: Sequence[float]) -> list[str]:
     """Readable window names in days."""
     ends = sorted(edges)
     names = [f"0-{ends[0] / 86400:.0f}d"]
@@ -312,11 +328,8 @@ def bin_windows(edges: Sequence[float], *, hours_first: bool = False) -> list[st
 def piecewise_summary(table: DataFrame, edges: Sequence[float], **options) -> DataFrame:
     """Per age bin: moves, exposure in days, fallback rows and states."""
     success, failure = options.get("success_state", SUCCESS_STATE), options.get("failure_state", FAILURE_STATE)
-    split = age_bin_exposure(table.where(~F.col("state").isin(success, failure)), edges)
+    cells = piecewise_cells(table, edges, success_state=success, failure_state=failure)
     bins = len(edges) + 1
-    cells = split.groupBy("bin", F.col("state").alias("from_state"), F.col("next_state").alias("to_state")).agg(
-        F.sum("jumps").alias("n"), F.sum("exposure_us").alias("exposure_us")
-    )
     fitted = piecewise_from_cells(
         cells,
         bins,

@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wayfare.constants import FAILURE_STATE, HORIZON_SECONDS, SUCCESS_STATE, TIMEOUT_SECONDS
 from wayfare.functions import chains
@@ -230,6 +231,10 @@ def model_rows(table: DataFrame, limit: int = MODEL_ROWS) -> pd.DataFrame:
     return rows
 
 
+def _with_p(df: DataFrame) -> T.StructType:
+    return T.StructType([*df.schema.fields, T.StructField("p", T.DoubleType())])
+
+
 class Ladder:
     """Propagators exp(Q u 2^j) for one generator; any time is a product of a few of them."""
 
@@ -308,7 +313,7 @@ def piecewise_score(
             pdf["p"] = np.where(known, np.clip(p[:, at], 0.0, 1.0), np.nan)
             yield pdf
 
-    out = journeys.mapInPandas(run, journeys.schema.add("p", "double"))
+    out = journeys.mapInPandas(run, _with_p(journeys))
     return out.withColumn("p", F.when(F.isnan("p") | F.col("p").isNull(), fallback).otherwise(F.col("p")))
 
 
@@ -340,7 +345,7 @@ def speed_score(
             pdf["p"] = np.where(states[place] == state, np.clip(p[:, at], 0.0, 1.0), 0.0)
             yield pdf
 
-    return journeys.mapInPandas(run, journeys.schema.add("p", "double"))
+    return journeys.mapInPandas(run, _with_p(journeys))
 
 
 def blend(scores: DataFrame, columns: Sequence[str], name: str = "blend") -> DataFrame:
