@@ -99,13 +99,15 @@ def test_lookups_and_suffixes(logs):
 
 
 def test_snapshots(logs):
+    horizon = DAY // 2
+
     def realistic(log):
-        labeled = assemble.labeled_journeys(log, horizon_seconds=DAY // 2)
-        return snapshots.realistic_snapshots(log, labeled, ["view", "click"], success_event="purchase")
+        return snapshots.realistic_snapshots(
+            log, ["view", "click"], success_event="purchase", horizon_seconds=horizon
+        )
 
     def timed(log):
-        labeled = assemble.labeled_journeys(log, horizon_seconds=DAY // 2)
-        return snapshots.time_snapshots(log, labeled, actions=[4, 12])
+        return snapshots.time_snapshots(log, actions=[4, 12], horizon_seconds=horizon)
 
     same(realistic, logs)
     same(timed, logs)

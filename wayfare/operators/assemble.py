@@ -101,8 +101,7 @@ def labeled_journeys(
     log: JourneyLog, *, success_state: int = SUCCESS_STATE, horizon_seconds: float = HORIZON_SECONDS
 ) -> DataFrame:
     summary = journey_summary(log, success_state)
-    end = dataset_end_us(log.events)
-    return label_by_last_action(summary, end, success_state=success_state, horizon_seconds=horizon_seconds)
+    return label_by_last_action(summary, log.end(), success_state=success_state, horizon_seconds=horizon_seconds)
 
 
 def resolved(labeled: DataFrame) -> DataFrame:
@@ -204,7 +203,7 @@ def open_journeys(
         F.max(F.when(kept, F.col("ts_us"))).alias("last_us"),
         F.count_if(kept).alias("n_customer_actions"),
     )
-    idle = dataset_end_us(log.events) - F.col("_end") >= F.lit(int(horizon_seconds * 1_000_000))
+    idle = log.end() - F.col("_end") >= F.lit(int(horizon_seconds * 1_000_000))
     rows = rows.where((F.col("_last") != success_state) & ~idle & (F.col("n_customer_actions") > 0))
     age = ((F.col("last_us") - F.col("first_us")) / F.lit(1e6)).alias("observed_age_seconds")
     return rows.select("id", "current_state", "first_us", "last_us", "n_customer_actions", age)

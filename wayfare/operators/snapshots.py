@@ -61,41 +61,47 @@ def random_cut(n: Column, *, seed: int = 42) -> Column:
     return F.when(n <= 1, 1).otherwise(F.least(n - 1, k)).cast("long")
 
 
-def time_samples(
-    labeled: DataFrame,
-    *,
-    seed: int = 42,
-    max_samples: int = MAX_SAMPLES_PER_JOURNEY,
-    realistic: bool = False,
-    success_fraction: float = 0.70,
-) -> DataFrame:
-    """Random cutoff times per resolved journey: id, sample_num, cutoff_us, label, journey_status, start_us.
+def with_outcome(log: JourneyLog, *, success_state: int, horizon_seconds: float) -> JourneyLog:
+    """Attach what the whole journey tells: start, end, first success, length and status.
+
+    Totals over the groups the ordered steps use anyway, so labels need no second pass over the log.
+    """
+    rows = along(
+        log.events,
+        {
+            "_j_last": total_max(F.struct(*ORDER)),
+            "_j_start": total_min(F.col("ts_us")),
+            "_j_done": total_min(F.when(F.col("ed_id") == success_state, F.col("ts_us"))),
+            "_j_n": total_sum(F.lit(1)),
+        },
+    )
+    idle = log.end() - F.col("_j_last.ts_us") >= F.lit(int(horizon_seconds * 1_000_000))
+    status = F.when(F.col("_j_last.ed_id") == success_state, "successful").when(idle, "incomplete").otherwise("other")
+    return log.with_events(rows.withColumn("journey_status", status))
+
+
+def sample_points(
+    *, seed: int, max_samples: int, realistic: bool, success_fraction: float = 0.70
+) -> Column:
+    """Random cutoff times of a journey as an array of (sample_num, cutoff_us); empty if it has none.
 
-    Plain samples lie anywhere between first and last event.  Realistic samples end at
-    the first success and, for successful journeys, at 70 % of the way there; journeys without
-    any span are skipped.
+    Plain samples lie anywhere between first and last event.  Realistic samples end at the
+    first success and, for successful journeys, at 70 % of the way there; journeys without any span are skipped.
     """
-    rows = labeled.where(F.col("journey_status").isin(*RESOLVED))
     success = F.col("journey_status") == "successful"
-    end = F.coalesce("completion_us", "end_us") if realistic else F.col("end_us")
-    span = end - F.col("start_us")
-    rows = rows.withColumn("_span", span)
+    end = F.coalesce("_j_done", "_j_last.ts_us") if realistic else F.col("_j_last.ts_us")
+    span = end - F.col("_j_start")
+    reach = span.cast("double")
     if realistic:
-        rows = rows.where(F.col("_span") > 0)
-    reach = F.col("_span")
-    if realistic:
-        reach = F.when(success, F.col("_span") * F.lit(success_fraction)).otherwise(F.col("_span").cast("double"))
-    rows = rows.withColumn("sample_num", F.explode(F.sequence(F.lit(1), sample_count(F.col("_span"), max_samples))))
-    cutoff = F.col("start_us") + F.floor(uniform(seed, "id", "sample_num") * reach).cast("long")
-    return rows.select(
-        "id",
-        "sample_num",
-        cutoff.alias("cutoff_us"),
-        success.cast("int").alias("label"),
-        "journey_status",
-        "start_us",
-        F.col("num_actions").alias("full_num_actions"),
-    )
+        reach = F.when(success, span * F.lit(success_fraction)).otherwise(reach)
+
+    def point(k: Column) -> Column:
+        cutoff = F.col("_j_start") + F.floor(uniform(seed, "id", k) * reach).cast("long")
+        return F.struct(k.alias("sample_num"), cutoff.alias("cutoff_us"))
+
+    points = F.transform(F.sequence(F.lit(1), sample_count(span, max_samples)), point)
+    usable = F.col("journey_status").isin(*RESOLVED)
+    return F.when(usable & (span > 0) if realistic else usable, points)
 
 
 # ---- running features ----------------------------------------------------
@@ -118,29 +124,20 @@ def prefix_rows(
     rows = log.events.withColumn("event_name", F.coalesce("event_name", F.col("ed_id").cast("string")))
     rows = along(rows, {"_id_occ": nth()}, key=("id", "ed_id"))
     rows = along(rows, {"_name_occ": nth()}, key=("id", "event_name"))
-    rows = along(
-        rows,
-        {
-            "seq": nth(),
-            "n": total_sum(F.lit(1)),
-            "_first": total_min(F.struct(*ORDER)),
-            "_last": total_max(F.struct(*ORDER)),
-            "_prev_us": previous(F.col("ts_us")),
-            "last_names": recent(F.col("event_name"), LAST_EVENTS),
-        },
-    )
-    gap = (F.col("ts_us") - F.col("_prev_us")).cast("double")
     occ = F.col("_id_occ").cast("double")
     # c log2 c - (c-1) log2 (c-1): what one more occurrence adds to sum(c log2 c).
     grown = occ * F.log2(occ) - F.when(occ > 1, (occ - 1) * F.log2(occ - 1)).otherwise(0.0)
     steps = {
+        "seq": nth(),
+        "n": total_sum(F.lit(1)),
+        "_first": total_min(F.struct(*ORDER)),
+        "_last": total_max(F.struct(*ORDER)),
+        "_prev_us": previous(F.col("ts_us")),
+        "last_names": recent(F.col("event_name"), LAST_EVENTS),
         "unique_ids": running_sum((F.col("_id_occ") == 1).cast("long")),
         "unique_names": running_sum((F.col("_name_occ") == 1).cast("long")),
         "_clogc": running_sum(grown),
         "max_repeat": running_max(F.col("_id_occ")),
-        "_gap_sum": running_sum(gap),
-        "_gap_square": running_sum(gap * gap),
-        "_gap_max": running_max(gap),
     }
     steps |= {f"id_{a}": running_sum((F.col("ed_id") == a).cast("long")) for a in actions}
     steps |= {f"name_{i}": running_sum((F.col("event_name") == n).cast("long")) for i, n in enumerate(names)}
@@ -148,6 +145,15 @@ def prefix_rows(
         flag: running_max((F.col("ed_id") == ed).cast("int")) for flag, ed in (milestones or {}).items()
     }
     rows = along(rows, steps)
+    gap = (F.col("ts_us") - F.col("_prev_us")).cast("double")
+    rows = along(
+        rows,
+        {
+            "_gap_sum": running_sum(gap),
+            "_gap_square": running_sum(gap * gap),
+            "_gap_max": running_max(gap),
+        },
+    )
     if windows:
         if SLICE in rows.columns:
             raise ValueError("trailing windows on a sliced log go through trailing_counts")
@@ -243,24 +249,29 @@ def at_position(rows: DataFrame, cut: Column) -> DataFrame:
     return rows.where(F.col("seq") == cut)
 
 
-def at_times(log: JourneyLog, rows: DataFrame, samples: DataFrame) -> DataFrame:
-    """For each sample the running features of its last event at or before ``cutoff_us``.
+def at_samples(log: JourneyLog, rows: DataFrame, points: Column) -> DataFrame:
+    """For each sample of a journey the running features of its last event at or before the cutoff.
 
-    Samples are merged into the event order and look back; samples before the first event vanish.
+    Samples enter the event order next to the first event of their journey and look back; nothing is
+    joined and the log is read once.  Samples before the first event vanish.
     """
-    carried = [c for c in samples.columns if c != "id"]
     features = [c for c in rows.columns if c not in ("id", SLICE)]
-    events = rows.select(
-        "id", F.struct(*features).alias("_row"), F.col("ts_us").alias("_at"), F.lit(0).alias("_probe"),
-        F.col("seq").alias("_pos"), *([SLICE] if SLICE in rows.columns else []),
+    kind = "struct<sample_num:int,cutoff_us:bigint>"
+    event = F.array(F.lit(None).cast(kind))
+    both = F.when((F.col("seq") == 1) & points.isNotNull(), F.concat(event, points.cast(f"array<{kind}>"))).otherwise(event)
+    merged = rows.withColumn("_s", F.explode(both))
+    merged = merged.withColumns(
+        {
+            "_probe": F.col("_s").isNotNull(),
+            "_at": F.coalesce("_s.cutoff_us", "ts_us"),
+            "_pos": F.coalesce(F.col("_s.sample_num").cast("long"), "seq"),
+        }
+    )
+    merged = log.place(merged.drop(SLICE), "_at")
+    found = along(
+        merged, {"_found": latest(F.when(~F.col("_probe"), F.struct(*features)))}, order=("_at", "_probe", "_pos")
     )
-    points = log.place(samples.withColumns({"_at": F.col("cutoff_us"), "_probe": F.lit(1)}), "_at")
-    points = points.withColumn("_pos", F.col("sample_num").cast("long"))
-    merged = events.unionByName(points, allowMissingColumns=True)
-    found = along(merged, {"_found": latest(F.col("_row"))}, order=("_at", "_probe", "_pos"))
-    found = found.where((F.col("_probe") == 1) & F.col("_found").isNotNull())
-    shared = [c for c in carried if c in features]
-    return found.select("id", *[c for c in carried if c not in shared], "_found.*")
+    return found.where(F.col("_probe") & F.col("_found").isNotNull()).select("id", "_s.*", "_found.*")
 
 
 def trailing_counts(
@@ -299,16 +310,15 @@ def position_snapshots(
 
     Outcome, length and end of the journey ride along with the running values; no join.
     """
-    rows = prefix_rows(log, actions=actions, milestones=milestones)
-    end = log.events.select(F.max("ts_us")).scalar()
-    success = F.col("_last.ed_id") == success_state
-    idle = end - F.col("_last.ts_us") >= F.lit(int(horizon_seconds * 1_000_000))
-    taken = at_position(rows, cut).where(success | idle)
+    full = with_outcome(log, success_state=success_state, horizon_seconds=horizon_seconds)
+    resolved = full.where(F.col("journey_status").isin(*RESOLVED))
+    taken = at_position(prefix_rows(resolved, actions=actions, milestones=milestones), cut)
+    success = F.col("journey_status") == "successful"
     remaining = (F.col("_last.ts_us") - F.col("ts_us")) / F.lit(1e6)
     return taken.select(
         "id",
         success.cast("int").alias("label"),
-        F.when(success, "successful").otherwise("incomplete").alias("final_outcome"),
+        F.col("journey_status").alias("final_outcome"),
         F.col("ts_us").alias("snapshot_us"),
         F.when(success, remaining).alias("remaining_seconds"),
         *action_columns(actions=actions, milestones=milestones),
@@ -317,51 +327,59 @@ def position_snapshots(
 
 def time_snapshots(
     log: JourneyLog,
-    labeled: DataFrame,
     *,
     seed: int = 42,
     max_samples: int = MAX_SAMPLES_PER_JOURNEY,
     actions: Sequence[int] = (),
     milestones: Mapping[str, int] = MILESTONES,
+    success_state: int = SUCCESS_STATE,
+    horizon_seconds: float = HORIZON_SECONDS,
 ) -> DataFrame:
     """Several random time prefixes per resolved journey with action features."""
-    samples = time_samples(labeled, seed=seed, max_samples=max_samples)
-    rows = prefix_rows(log, actions=actions, milestones=milestones)
-    found = at_times(log, rows, samples)
+    full = with_outcome(log, success_state=success_state, horizon_seconds=horizon_seconds)
+    full = full.where(F.col("journey_status").isin(*RESOLVED))
+    rows = prefix_rows(full, actions=actions, milestones=milestones)
+    found = at_samples(log, rows, sample_points(seed=seed, max_samples=max_samples, realistic=False))
     return found.select(
-        "id", "sample_num", "cutoff_us", "label", "journey_status",
-        *action_columns(actions=actions, milestones=milestones, full=F.col("full_num_actions")),
+        "id",
+        "sample_num",
+        "cutoff_us",
+        (F.col("journey_status") == "successful").cast("int").alias("label"),
+        "journey_status",
+        *action_columns(actions=actions, milestones=milestones, full=F.col("_j_n")),
     )
 
 
 def realistic_snapshots(
     log: JourneyLog,
-    labeled: DataFrame,
     names: Sequence[str],
     *,
     seed: int = 42,
     max_samples: int = MAX_SAMPLES_PER_JOURNEY,
     success_event: str = SUCCESS_EVENT,
+    success_state: int = SUCCESS_STATE,
+    horizon_seconds: float = HORIZON_SECONDS,
     windows: Sequence[int] = RECENT_WINDOWS_DAYS,
 ) -> DataFrame:
     """Leakage-safe snapshots: no success event inside, successful journeys cut by 70 % of the way."""
-    samples = time_samples(labeled, seed=seed, max_samples=max_samples, realistic=True)
-    clean = log.where(F.col("event_name") != success_event)
+    full = with_outcome(log, success_state=success_state, horizon_seconds=horizon_seconds)
+    clean = full.where(F.col("journey_status").isin(*RESOLVED) & (F.col("event_name") != success_event))
     direct = clean.hot is None
     rows = prefix_rows(clean, names=names, windows=windows if direct else ())
-    found = at_times(clean, rows, samples)
+    found = at_samples(log, rows, sample_points(seed=seed, max_samples=max_samples, realistic=True))
+    label = F.col("journey_status") == "successful"
     out = found.select(
         "id",
         "sample_num",
         F.concat_ws("::", "id", F.col("sample_num").cast("string")).alias("snapshot_id"),
         "journey_status",
-        F.when(F.col("label") == 1, "complete").otherwise("incomplete").alias("source_table"),
-        "label",
+        F.when(label, "complete").otherwise("incomplete").alias("source_table"),
+        label.cast("int").alias("label"),
         "cutoff_us",
-        *event_columns(names, F.col("start_us"), windows if direct else ()),
+        *event_columns(names, F.col("_j_start"), windows if direct else ()),
     )
     if not direct:
-        out = trailing_counts(clean, out, windows)
+        out = trailing_counts(log.where(F.col("event_name") != success_event), out, windows)
     return recent_ratios(out)
 
 

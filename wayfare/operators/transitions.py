@@ -74,7 +74,7 @@ def _pairs(events: DataFrame) -> DataFrame:
 
 def transitions_of(log: JourneyLog, ids: DataFrame, **options) -> DataFrame:
     """Transition table of a set of journeys (the set is applied before any ordering)."""
-    return transitions(JourneyLog(log.events.join(ids.select("id"), "id", "left_semi"), log.hot), **options)
+    return transitions(log.of(ids), **options)
 
 
 def timeout_transitions(
@@ -92,13 +92,13 @@ def timeout_transitions(
     Status, order and successor come out of one placement of the log: the last
     action of the whole journey is a total over the same groups as the successor window.
     """
-    end = end_us if end_us is not None else log.events.select(F.max("ts_us")).scalar()
+    end = end_us if end_us is not None else log.end()
     rows = along(log.events, {"_end": total_max(F.struct(*ORDER))})
     success = F.col("_end.ed_id") == success_state
     idle = end - F.col("_end.ts_us") >= F.lit(_us(horizon_seconds))
     rows = rows.withColumn("_failed", ~success & idle).where(success | idle).drop("_end")
     if states is not None:
-        rows = JourneyLog(rows).states(states, also=success_state).events
+        rows = log.with_events(rows).states(states, also=success_state).events
     rows = along(rows, {"seq": nth(), "_next": following(F.struct("ed_id", "ts_us"))})
     last = F.col("_next").isNull()
     rows = rows.where(~last | F.col("_failed")).select(
@@ -126,8 +126,8 @@ def prefix_transitions(
     """
     rows = along(log.events, {"_pos": nth(), "n": total_sum(F.lit(1))})
     rows = rows.where(F.col("_pos") <= cut).drop("_pos", "n")
-    kept = JourneyLog(rows) if states is None else JourneyLog(rows).states(states, also=success_state)
-    return _pairs(kept.events)
+    kept = log.with_events(rows)
+    return _pairs((kept if states is None else kept.states(states, also=success_state)).events)
 
 
 def state_at(log: JourneyLog, probes: DataFrame, *, keep: Sequence[str] = ("sample_num",)) -> DataFrame:
@@ -195,7 +195,7 @@ def suffix_transitions(
         "_late",
     )
     found = _as_of(
-        JourneyLog(rows.drop("_before", "_late", "_stop", "_stop_after"), log.hot),
+        log.with_events(rows.drop("_before", "_late", "_stop", "_stop_after")),
         snapshots.select("id", "snapshot_id", F.col("snapshot_us").alias("probe_us")),
         ("snapshot_id",),
         F.struct("ed_id", "seq", "n", "_next", "_stop_second"),
@@ -219,44 +219,45 @@ def suffix_transitions(
     )
     # Snapshots meet events block by block, so neither side has a heavy key.
     low, high = F.col("at_seq").bitwiseAND(F.lit(~(WALK_BLOCK - 1))), F.col("last_seq")
-    spread = found.where(~F.col("closed_at_start")).withColumn(
-        "block", F.explode(F.sequence(low, high, F.lit(WALK_BLOCK).cast("long")))
-    )
-    walk = spread.join(steps, ["id", "block"]).where(
-        (F.col("seq") > F.col("at_seq")) & (F.col("seq") <= F.col("last_seq"))
-    )
+    spread = found.withColumn("block", F.explode(F.sequence(low, high, F.lit(WALK_BLOCK).cast("long"))))
+    walk = spread.alias("s").join(
+        steps.alias("e"),
+        (F.col("s.id") == F.col("e.id"))
+        & (F.col("s.block") == F.col("e.block"))
+        & (F.col("e.seq") > F.col("s.at_seq"))
+        & (F.col("e.seq") <= F.col("s.last_seq")),
+        "left",
+    ).drop(F.col("e.id"), F.col("e.block"), F.col("s.block"))
     first = F.col("seq") == F.col("at_seq") + 1
     late_here = F.col("_late") & ~first
     from_state = F.when(first, F.col("current_state")).otherwise(F.col("prev_state"))
     from_us = F.when(first, F.col("snapshot_us")).otherwise(F.col("prev_us"))
-    moves = walk.select(
-        "snapshot_id",
-        "id",
-        "seq",
-        from_state.alias("state"),
-        F.when(late_here, F.lit(failure_state).cast("long")).otherwise(F.col("ed_id")).alias("next_state"),
-        F.when(late_here, F.lit(limit)).otherwise(F.greatest(F.lit(0), F.col("ts_us") - from_us)).alias("dt_us"),
-        # A walk that runs out of events closes with an inactivity failure.
-        (~F.col("stopped") & (F.col("seq") == F.col("n"))).alias("_closes"),
-        F.col("ed_id").alias("_end_state"),
-    )
-    closing = moves.where("_closes").select(
-        "snapshot_id",
-        "id",
-        (F.col("seq") + 1).alias("seq"),
-        F.col("_end_state").alias("state"),
-        F.lit(failure_state).cast("long").alias("next_state"),
-        F.lit(limit).alias("dt_us"),
+    failure = F.lit(failure_state).cast("long")
+
+    def row(seq: Column, state: Column, next_state: Column, dt_us: Column) -> Column:
+        return F.struct(
+            seq.alias("seq"), state.alias("state"), next_state.alias("next_state"), dt_us.cast("long").alias("dt_us")
+        )
+
+    move = row(
+        F.col("seq"),
+        from_state,
+        F.when(late_here, failure).otherwise(F.col("ed_id")),
+        F.when(late_here, F.lit(limit)).otherwise(F.greatest(F.lit(0), F.col("ts_us") - from_us)),
     )
-    at_start = found.where("closed_at_start").select(
+    # A walk that runs out of events, or never starts, closes with an inactivity failure.
+    closing = row(F.col("seq") + 1, F.col("ed_id"), failure, F.lit(limit))
+    at_start = row(F.col("at_seq") + 1, F.col("current_state"), failure, F.lit(limit))
+    out = walk.select(
         "snapshot_id",
         "id",
-        (F.col("at_seq") + 1).alias("seq"),
-        F.col("current_state").alias("state"),
-        F.lit(failure_state).cast("long").alias("next_state"),
-        F.lit(limit).alias("dt_us"),
+        F.inline(
+            F.when(F.col("closed_at_start"), F.array(at_start))
+            .when(F.col("seq").isNull(), F.slice(F.array(at_start), 1, 0))
+            .when(~F.col("stopped") & (F.col("seq") == F.col("n")), F.array(move, closing))
+            .otherwise(F.array(move))
+        ),
     )
-    out = moves.drop("_closes", "_end_state").unionByName(closing).unionByName(at_start)
     return _table(out.where(F.col("state") != F.col("next_state")), "snapshot_id")
 
 

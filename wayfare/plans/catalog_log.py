@@ -269,7 +269,7 @@ ANY = """CASE WHEN has_order_shipped THEN 'complete'
 @query("label_any_success", with_(OL_LABEL) + f"SELECT id, completion_us, {ANY} AS source_table FROM sm")
 def _(spark, folder):
     log = adapters.orders_log(spark, folder)
-    out = assemble.label_by_any_success(assemble.journey_summary(log), assemble.dataset_end_us(log.events))
+    out = assemble.label_by_any_success(assemble.journey_summary(log), log.end())
     return out.select("id", "completion_us", "source_table")
 
 

@@ -135,13 +135,13 @@ FROM ({PREFIX.format(key="id, sample_num, cutoff_us, label, journey_status", src
 )
 def _(spark, folder):
     log, labeled = ev(spark, folder)
-    out = snapshots.time_snapshots(log, labeled, milestones={})
+    out = snapshots.time_snapshots(log, horizon_seconds=H12, milestones={})
     return r6(out.drop("action_entropy", "max_action_repeat"))
 
 
 def time_actions(spark, folder, *columns):
     log, labeled = ev(spark, folder)
-    out = snapshots.time_snapshots(log, labeled, actions=EV_ACTIONS)
+    out = snapshots.time_snapshots(log, horizon_seconds=H12, actions=EV_ACTIONS)
     return r6(out.select("id", "sample_num", *columns))
 
 
@@ -204,7 +204,7 @@ def _(spark, folder):
 def _(spark, folder):
     # Occurrences over all prefixes are the sums of the per-snapshot counts.
     log, labeled = ev(spark, folder)
-    taken = snapshots.time_snapshots(log, labeled, actions=EV_ACTIONS, milestones={})
+    taken = snapshots.time_snapshots(log, horizon_seconds=H12, actions=EV_ACTIONS, milestones={})
     sums = taken.agg(*[F.sum(f"action_count_{a}").alias(str(a)) for a in EV_ACTIONS])
     long = sums.select(F.explode(F.map_from_arrays(
         F.array(*[F.lit(a).cast("long") for a in EV_ACTIONS]), F.array(*[F.col(f"`{a}`") for a in EV_ACTIONS])
@@ -232,7 +232,7 @@ FROM px GROUP BY ALL"""
 @query("snapshot_realistic", clean_sql("ev", EV_LABEL, "purchase") + BASE.replace("GROUP BY ALL", "GROUP BY id, sample_num, journey_status, label"))
 def _(spark, folder):
     log, labeled = ev(spark, folder)
-    out = snapshots.realistic_snapshots(log, labeled, [], success_event="purchase")
+    out = snapshots.realistic_snapshots(log, [], success_event="purchase", horizon_seconds=H12)
     clean = log.where(F.col("event_name") != "purchase")
     parts = snapshots.prefix_action_parts(clean, out, "num_events")
     text = F.concat_ws(">", F.transform("prefix_actions", lambda x: x.cast("string")))
@@ -269,7 +269,7 @@ FEATURES = [
 )
 def _(spark, folder):
     log, labeled = ev(spark, folder)
-    out = snapshots.realistic_snapshots(log, labeled, [], success_event="purchase")
+    out = snapshots.realistic_snapshots(log, [], success_event="purchase", horizon_seconds=H12)
     return r6(out.select("id", "sample_num", "label", *FEATURES))
 
 
@@ -280,7 +280,7 @@ def _(spark, folder):
 )
 def _(spark, folder):
     log, labeled = ol(spark, folder)
-    out = snapshots.realistic_snapshots(log, labeled, [])
+    out = snapshots.realistic_snapshots(log, [])
     return r6(out.select("id", "sample_num", "label", *FEATURES))
 
 
@@ -296,7 +296,7 @@ LASTK = ", ".join(
 )
 def _(spark, folder):
     log, labeled = ol(spark, folder)
-    out = snapshots.realistic_snapshots(log, labeled, [])
+    out = snapshots.realistic_snapshots(log, [])
     return out.select("id", "sample_num", *[f"last{i}_event" for i in range(1, 6)])
 
 
@@ -312,7 +312,7 @@ FROM (SELECT id, sample_num, {TRAIL} FROM (SELECT *, max(ts_us) OVER (PARTITION
 )
 def _(spark, folder):
     log, labeled = ev(spark, folder)
-    out = snapshots.realistic_snapshots(log, labeled, [], success_event="purchase")
+    out = snapshots.realistic_snapshots(log, [], success_event="purchase", horizon_seconds=H12)
     return r6(
         out.select(
             "id", "sample_num", *[f"events_last_{w}d" for w in (1, 3, 7, 14, 30)], *[f"recent_{w}d_to_30d" for w in (1, 3, 7)]
@@ -341,7 +341,7 @@ def _(spark, folder):
 def _(spark, folder):
     log, labeled = ev(spark, folder)
     names = snapshots.vocabulary(snapshots.top_events(log.events, labeled, success_event="purchase"), "event_name")
-    out = snapshots.realistic_snapshots(log, labeled, names, success_event="purchase")
+    out = snapshots.realistic_snapshots(log, names, success_event="purchase", horizon_seconds=H12)
     return out.select("id", "sample_num", *[f"cnt_{n}" for n in sorted(names)])
 
 

@@ -82,9 +82,7 @@ def score_suite(
     if needed & {"clustered", "spectral"}:
         actions = segments.top_states(plain)
         features = settle(segments.journey_features(plain, actions))
-        open_log = JourneyLog(log.events.join(base.select("id"), "id", "left_semi"), log.hot).states(
-            transitions.CUSTOMER_STATES, also=28
-        )
+        open_log = log.of(base).states(transitions.CUSTOMER_STATES, also=28)
         open_features = settle(segments.journey_features_open(open_log, actions))
         columns = segments.cluster_columns(features)
         if "clustered" in needed:
@@ -175,10 +173,12 @@ def _truncated(log, base, needed, *, clusters, timeout_seconds, label_horizon_se
     labeled = settle(assemble.labeled_journeys(log, horizon_seconds=label_horizon_seconds))
     names = snapshots.vocabulary(snapshots.top_events(log.events, labeled, success_event=success_event), "event_name")
     taken = settle(
-        snapshots.realistic_snapshots(log, labeled, names, success_event=success_event, max_samples=max_samples)
+        snapshots.realistic_snapshots(
+            log, names, success_event=success_event, max_samples=max_samples, horizon_seconds=label_horizon_seconds
+        )
     )
     suffix = settle(transitions.suffix_transitions(log, taken, timeout_seconds=timeout_seconds))
-    opened = JourneyLog(log.events.join(base.select("id"), "id", "left_semi"), log.hot)
+    opened = log.of(base)
     open_rows = settle(snapshots.open_snapshots(opened, names, success_event=success_event))
     text = ["first_event_name", "last_event_name", *[f"last{i}_event" for i in range(1, 6)]]
     categories = {c: encode.fit_categories(taken, c) for c in text}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,13 +24,29 @@ EVENT_COLUMNS = ("id", "event_timestamp", "event_name", "ed_id")
 @dataclass(frozen=True)
 class JourneyLog:
     """``events``: id, event_timestamp, event_name, ed_id, ts_us (and slice when some
-    journeys are hot).  ``hot``: id, lo_us, width_us of the journeys that were cut."""
+    journeys are hot).  ``hot``: id, lo_us, width_us of the journeys that were cut.
+    ``end_us``: last event time of the whole raw log, kept by every subset of it."""
 
     events: DataFrame
     hot: DataFrame | None = None
+    end_us: int | None = None
+
+    def with_events(self, events: DataFrame) -> JourneyLog:
+        """The same log with other rows (a subset, or rows with more columns)."""
+        return replace(self, events=events)
 
     def where(self, condition: Column | str) -> JourneyLog:
-        return JourneyLog(self.events.where(condition), self.hot)
+        return self.with_events(self.events.where(condition))
+
+    def of(self, ids: DataFrame) -> JourneyLog:
+        """Only the journeys listed in ``ids``."""
+        return self.with_events(self.events.join(ids.select("id"), "id", "left_semi"))
+
+    def end(self) -> Column:
+        """Dataset end in microseconds."""
+        if self.end_us is not None:
+            return F.lit(self.end_us)
+        return self.events.select(F.max("ts_us")).scalar()
 
     def states(self, states, *, also: int | None = None) -> JourneyLog:
         """Keep the given event ids (and one more, usually success)."""
@@ -55,7 +71,12 @@ def open_log(events: DataFrame, *, deduplicate: bool = True, hot_rows: int = HOT
         F.col("event_name").cast("string").alias("event_name"),
         F.col("ed_id").cast("long").alias("ed_id"),
     )
-    hot = _hot_journeys(rows, hot_rows)
+    spans = rows.groupBy("id").agg(
+        F.count(F.lit(1)).alias("n"), F.min("ts_us").alias("lo_us"), F.max("ts_us").alias("hi_us")
+    )
+    # One map-side-combined pass over two columns tells the end of the log and the longest journey.
+    found = spans.agg(F.max("hi_us").alias("end_us"), F.max("n").alias("longest")).first()
+    hot = _hot_journeys(spans, hot_rows) if (found.longest or 0) > hot_rows else None
     part = ["id"]
     if hot is not None:
         rows = _with_slice(rows, hot, "ts_us")
@@ -72,19 +93,12 @@ def open_log(events: DataFrame, *, deduplicate: bool = True, hot_rows: int = HOT
         "ts_us",
         *part[1:],
     )
-    return JourneyLog(out, hot)
+    return JourneyLog(out, hot, found.end_us)
 
 
-def _hot_journeys(rows: DataFrame, hot_rows: int) -> DataFrame | None:
-    """(id, lo_us, width_us) of journeys above ``hot_rows`` rows, None if there are none.
-
-    One map-side-combined count over two columns.  At most rows / hot_rows journeys qualify.
-    """
-    spans = (
-        rows.groupBy("id")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("ts_us").alias("lo_us"), F.max("ts_us").alias("hi_us"))
-        .where(F.col("n") > hot_rows)
-    )
+def _hot_journeys(spans: DataFrame, hot_rows: int) -> DataFrame:
+    """(id, lo_us, width_us) of journeys above ``hot_rows`` rows: at most rows / hot_rows of them."""
+    spans = spans.where(F.col("n") > hot_rows)
     pieces = F.least(
         F.lit(MAX_SLICES), F.greatest(F.lit(2), F.ceil(F.col("n") * SLICES_PER_HOT_ROWS / F.lit(hot_rows)))
     )
@@ -92,10 +106,8 @@ def _hot_journeys(rows: DataFrame, hot_rows: int) -> DataFrame | None:
         "id", "lo_us", F.floor((F.col("hi_us") - F.col("lo_us")) / pieces + 1).cast("long").alias("width_us")
     )
     found = spans.limit(LOCAL_HOT_JOURNEYS + 1).collect()
-    if not found:
-        return None
     if len(found) <= LOCAL_HOT_JOURNEYS:
-        return rows.sparkSession.createDataFrame(found, spans.schema)
+        return spans.sparkSession.createDataFrame(found, spans.schema)
     return settle(spans)
 
 
