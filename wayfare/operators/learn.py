@@ -121,10 +121,14 @@ def tune(
 
 
 def isotonic(train: DataFrame, test: DataFrame, *, p: str = "p", label: str = "label") -> DataFrame:
-    """Monotone calibration fitted on held-out scores; outside values take the border value."""
-    model = IsotonicRegression(featuresCol=p, labelCol=label, predictionCol="calibrated").fit(
-        train.select(F.col(p), F.col(label).cast("double"))
-    )
+    """Monotone calibration fitted on held-out scores; outside values take the border value.
+
+    Equal scores are pooled first, so the fit sees one weighted row per distinct score.
+    """
+    pooled = train.groupBy(p).agg(F.avg(label).alias("_rate"), F.count(F.lit(1)).cast("double").alias("_weight"))
+    model = IsotonicRegression(
+        featuresCol=p, labelCol="_rate", weightCol="_weight", predictionCol="calibrated"
+    ).fit(pooled)
     return model.transform(test).withColumn("calibrated", clip(F.col("calibrated")))
 
 

@@ -39,7 +39,7 @@ from wayfare.functions.ordered import (
     total_min,
     total_sum,
 )
-from wayfare.operators.assemble import RESOLVED, journey_parts
+from wayfare.operators.assemble import PART_ROWS, RESOLVED, journey_parts
 from wayfare.sources.log import JourneyLog
 
 MISSING = "missing"
@@ -437,17 +437,19 @@ def vocabulary(top: DataFrame, column: str) -> list:
     return [r[0] for r in top.select(column).collect()]
 
 
-def prefix_action_parts(log: JourneyLog, snapshots: DataFrame, length: str = "snapshot_num_actions", **options) -> DataFrame:
+def prefix_action_parts(
+    log: JourneyLog, snapshots: DataFrame, length: str = "snapshot_num_actions", *, part_rows: int = PART_ROWS
+) -> DataFrame:
     """Prefix action arrays of snapshots (one row per part of at most ``part_rows`` events)."""
-    part_rows = options.get("part_rows", 10_000)
     parts = journey_parts(log, part_rows).select("id", "part", F.col("journey.ed_id").alias("_ids"))
     left = F.col(length) - F.col("part") * part_rows
     keys = [c for c in snapshots.columns if c in ("id", "sample_num", "snapshot_id")]
+    taken = F.slice("_ids", F.lit(1), F.least(F.lit(part_rows), left).cast("int"))
     return (
         snapshots.select(*keys, length)
         .join(parts, "id")
         .where(left > 0)
-        .select(*keys, "part", F.slice("_ids", F.lit(1), F.least(F.lit(part_rows), left).cast("int")).alias("prefix_actions"))
+        .select(*keys, length, "part", taken.alias("prefix_actions"))
     )
 
 

@@ -222,18 +222,28 @@ def _(spark, folder):
 @query(
     "flatten_journeys",
     with_(OL_LABEL)
-    + """SELECT sm.id, num_actions, num_unique_actions, start_us, end_us, duration_seconds, first_action, last_action,
-  has_order_shipped, actions
-FROM sm JOIN (SELECT id, string_agg(ed_id::VARCHAR, '>' ORDER BY ts_us, ed_id) AS actions FROM ol GROUP BY id) USING (id)""",
+    + """SELECT id, num_actions, num_unique_actions, start_us, end_us, duration_seconds, first_action, last_action, has_order_shipped FROM sm""",
 )
 def _(spark, folder):
     log = adapters.orders_log(spark, folder)
-    parts = assemble.journey_parts(log)
-    path = F.concat_ws(">", F.transform("journey", lambda e: e["ed_id"].cast("string")))
-    lists = parts.groupBy("id").agg(
-        F.concat_ws(">", F.transform(F.array_sort(F.collect_list(F.struct("part", path.alias("p")))), lambda x: x["p"])).alias("actions")
+    return assemble.journey_summary(log).drop("start_time", "end_time", "completion_us")
+
+
+@query(
+    "journey_parts",
+    with_(OL, "nb AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ts_us, ed_id) AS pos FROM ol)")
+    + """SELECT id, (pos - 1) // 8 AS part, count(*)::INT AS n, string_agg(ed_id::VARCHAR, '>' ORDER BY pos) AS actions,
+  string_agg(event_name, '>' ORDER BY pos) AS names FROM nb GROUP BY ALL""",
+)
+def _(spark, folder):
+    parts = assemble.journey_parts(adapters.orders_log(spark, folder), 8)
+    return parts.select(
+        "id",
+        "part",
+        F.size("journey").alias("n"),
+        F.concat_ws(">", F.transform("journey", lambda e: e["ed_id"].cast("string"))).alias("actions"),
+        F.concat_ws(">", F.transform("journey", lambda e: e["event_name"])).alias("names"),
     )
-    return assemble.journey_summary(log).drop("start_time", "end_time", "completion_us").join(lists, "id")
 
 
 @query(

@@ -9,6 +9,7 @@ from wayfare.operators import assemble, encode, snapshots
 from wayfare.plans import sql
 from wayfare.plans.registry import query, r6
 from wayfare.plans.sql import DAY, EV, EV_LABEL, OL, OL_LABEL, with_
+from wayfare.session import settle
 from wayfare.sources import adapters
 
 H12 = 43_200
@@ -48,22 +49,17 @@ FROM {src} GROUP BY {key}"""
 @query(
     "snapshot_frac",
     with_(OL, numbered("ol"))
-    + f"""SELECT id, max(n) AS full_num_actions, count(*) AS snapshot_num_actions,
-  string_agg(ed_id::VARCHAR, '>' ORDER BY pos) AS prefix FROM nb WHERE pos <= {FRAC} GROUP BY id""",
+    + f"""SELECT id, (pos - 1) // 6 AS part, {FRAC}::BIGINT AS snapshot_num_actions,
+  string_agg(ed_id::VARCHAR, '>' ORDER BY pos) AS prefix FROM nb WHERE pos <= {FRAC} GROUP BY id, part, n""",
 )
 def _(spark, folder):
     log = adapters.orders_log(spark, folder)
     summary = assemble.journey_summary(log).select(
-        "id",
-        F.col("num_actions").alias("full_num_actions"),
-        snapshots.fraction_cut(F.col("num_actions")).alias("snapshot_num_actions"),
+        "id", snapshots.fraction_cut(F.col("num_actions")).alias("snapshot_num_actions")
     )
-    parts = snapshots.prefix_action_parts(log, summary)
-    text = F.concat_ws(">", F.transform("prefix_actions", lambda x: x.cast("string")))
-    joined = parts.groupBy("id").agg(
-        F.concat_ws(">", F.transform(F.array_sort(F.collect_list(F.struct("part", text.alias("t")))), lambda x: x["t"])).alias("prefix")
-    )
-    return summary.join(joined, "id")
+    parts = snapshots.prefix_action_parts(log, summary, part_rows=6)
+    text = F.concat_ws(">", F.transform("prefix_actions", lambda x: x.cast("string"))).alias("prefix")
+    return parts.select("id", "part", "snapshot_num_actions", text)
 
 
 @query(
@@ -72,7 +68,7 @@ def _(spark, folder):
     + PREFIX.format(key="id", src=f"(SELECT * FROM rs WHERE pos <= {RAND})"),
 )
 def _(spark, folder):
-    log, _labels = ev(spark, folder)
+    log = adapters.events_log(spark, folder)
     out = snapshots.position_snapshots(log, snapshots.random_cut(F.col("n")), milestones={}, horizon_seconds=H12)
     return out.select(
         "id", "full_num_actions", "snapshot_num_actions", "first_action_so_far", "current_last_action",
@@ -89,7 +85,7 @@ def _(spark, folder):
 FROM ({PREFIX.format(key="id", src=f"(SELECT * FROM rs WHERE pos <= {FRAC})")}) p JOIN lb USING (id)""",
 )
 def _(spark, folder):
-    log, _labels = ol(spark, folder)
+    log = adapters.orders_log(spark, folder)
     out = snapshots.position_snapshots(log, snapshots.fraction_cut(F.col("n")), milestones={})
     return r6(out.drop("snapshot_us", "remaining_seconds", "action_entropy", "max_action_repeat"))
 
@@ -102,7 +98,7 @@ def _(spark, folder):
 FROM nb JOIN lb USING (id) WHERE pos = {FRAC} AND journey_status IN ('successful', 'incomplete')""",
 )
 def _(spark, folder):
-    log, _labels = ol(spark, folder)
+    log = adapters.orders_log(spark, folder)
     out = snapshots.position_snapshots(log, snapshots.fraction_cut(F.col("n")), milestones={})
     return r6(out.select("id", "label", "snapshot_us", "remaining_seconds"))
 
@@ -134,13 +130,13 @@ PREFIX_ROWS = """px AS (SELECT s.id, s.sample_num, s.cutoff_us, s.label, s.journ
 FROM ({PREFIX.format(key="id, sample_num, cutoff_us, label, journey_status", src="px")})""",
 )
 def _(spark, folder):
-    log, labeled = ev(spark, folder)
+    log = adapters.events_log(spark, folder)
     out = snapshots.time_snapshots(log, horizon_seconds=H12, milestones={})
     return r6(out.drop("action_entropy", "max_action_repeat"))
 
 
 def time_actions(spark, folder, *columns):
-    log, labeled = ev(spark, folder)
+    log = adapters.events_log(spark, folder)
     out = snapshots.time_snapshots(log, horizon_seconds=H12, actions=EV_ACTIONS)
     return r6(out.select("id", "sample_num", *columns))
 
@@ -203,7 +199,7 @@ def _(spark, folder):
 )
 def _(spark, folder):
     # Occurrences over all prefixes are the sums of the per-snapshot counts.
-    log, labeled = ev(spark, folder)
+    log = adapters.events_log(spark, folder)
     taken = snapshots.time_snapshots(log, horizon_seconds=H12, actions=EV_ACTIONS, milestones={})
     sums = taken.agg(*[F.sum(f"action_count_{a}").alias(str(a)) for a in EV_ACTIONS])
     long = sums.select(F.explode(F.map_from_arrays(
@@ -223,24 +219,23 @@ def clean_sql(log: str, label: str, success: str) -> str:
     )
 
 
-BASE = """SELECT id, sample_num, id || '::' || sample_num AS snapshot_id, journey_status,
-  CASE WHEN label = 1 THEN 'complete' ELSE 'incomplete' END AS source_table, label, max(ts_us) AS snapshot_us, count(*) AS num_events,
-  arg_max(ed_id, pos) AS current_state, string_agg(ed_id::VARCHAR, '>' ORDER BY pos) AS prefix
-FROM px GROUP BY ALL"""
+REALISTIC = """SELECT p.*, x.part, x.prefix FROM (
+  SELECT id, sample_num, id || '::' || sample_num AS snapshot_id, journey_status,
+    CASE WHEN label = 1 THEN 'complete' ELSE 'incomplete' END AS source_table, label, max(ts_us) AS snapshot_us, count(*) AS num_events,
+    arg_max(ed_id, pos) AS current_state FROM px GROUP BY id, sample_num, journey_status, label) p
+JOIN (SELECT id, sample_num, (pos - 1) // 16 AS part, string_agg(ed_id::VARCHAR, '>' ORDER BY pos) AS prefix FROM px GROUP BY ALL) x USING (id, sample_num)"""
 
 
-@query("snapshot_realistic", clean_sql("ev", EV_LABEL, "purchase") + BASE.replace("GROUP BY ALL", "GROUP BY id, sample_num, journey_status, label"))
+@query("snapshot_realistic", clean_sql("ev", EV_LABEL, "purchase") + REALISTIC)
 def _(spark, folder):
-    log, labeled = ev(spark, folder)
+    log = adapters.events_log(spark, folder)
     out = snapshots.realistic_snapshots(log, [], success_event="purchase", horizon_seconds=H12)
-    clean = log.where(F.col("event_name") != "purchase")
-    parts = snapshots.prefix_action_parts(clean, out, "num_events")
-    text = F.concat_ws(">", F.transform("prefix_actions", lambda x: x.cast("string")))
-    prefix = parts.groupBy("snapshot_id").agg(
-        F.concat_ws(">", F.transform(F.array_sort(F.collect_list(F.struct("part", text.alias("t")))), lambda x: x["t"])).alias("prefix")
-    )
     base = ["id", "sample_num", "snapshot_id", "journey_status", "source_table", "label", "snapshot_us", "num_events", "current_state"]
-    return out.select(*base).join(prefix, "snapshot_id")
+    out = settle(out.select(*base))
+    clean = log.where(F.col("event_name") != "purchase")
+    parts = snapshots.prefix_action_parts(clean, out, "num_events", part_rows=16)
+    text = F.concat_ws(">", F.transform("prefix_actions", lambda x: x.cast("string"))).alias("prefix")
+    return out.join(parts.select("snapshot_id", "part", text), "snapshot_id")
 
 
 def feature_sql(source: str, keys: str, start: str, grouped: str) -> str:
@@ -268,7 +263,7 @@ FEATURES = [
     + feature_sql("px", "id, sample_num, label", "start_us", "id, sample_num, label, start_us"),
 )
 def _(spark, folder):
-    log, labeled = ev(spark, folder)
+    log = adapters.events_log(spark, folder)
     out = snapshots.realistic_snapshots(log, [], success_event="purchase", horizon_seconds=H12)
     return r6(out.select("id", "sample_num", "label", *FEATURES))
 
@@ -279,7 +274,7 @@ def _(spark, folder):
     + feature_sql("px", "id, sample_num, label", "start_us", "id, sample_num, label, start_us"),
 )
 def _(spark, folder):
-    log, labeled = ol(spark, folder)
+    log = adapters.orders_log(spark, folder)
     out = snapshots.realistic_snapshots(log, [])
     return r6(out.select("id", "sample_num", "label", *FEATURES))
 
@@ -295,7 +290,7 @@ LASTK = ", ".join(
     + f"SELECT id, sample_num, {LASTK} FROM (SELECT *, max(pos) OVER (PARTITION BY id, sample_num) AS top FROM px) GROUP BY id, sample_num",
 )
 def _(spark, folder):
-    log, labeled = ol(spark, folder)
+    log = adapters.orders_log(spark, folder)
     out = snapshots.realistic_snapshots(log, [])
     return out.select("id", "sample_num", *[f"last{i}_event" for i in range(1, 6)])
 
@@ -311,7 +306,7 @@ TRAIL = ", ".join(f"count(*) FILTER (hi - ts_us <= {w} * {DAY}::BIGINT) AS event
 FROM (SELECT id, sample_num, {TRAIL} FROM (SELECT *, max(ts_us) OVER (PARTITION BY id, sample_num) AS hi FROM px) GROUP BY id, sample_num)""",
 )
 def _(spark, folder):
-    log, labeled = ev(spark, folder)
+    log = adapters.events_log(spark, folder)
     out = snapshots.realistic_snapshots(log, [], success_event="purchase", horizon_seconds=H12)
     return r6(
         out.select(

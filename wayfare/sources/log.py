@@ -15,6 +15,8 @@ HOT_ROWS = 2_000_000
 # Slices aimed at per HOT_ROWS rows, and the most for one journey.
 SLICES_PER_HOT_ROWS = 16
 MAX_SLICES = 65_536
+# Rows aimed at per task when the log is placed; more tasks than configured are used if needed.
+ROWS_PER_TASK = 4_000_000
 # Up to this many hot journeys the profile is kept as a local relation.
 LOCAL_HOT_JOURNEYS = 10_000
 
@@ -74,14 +76,19 @@ def open_log(events: DataFrame, *, deduplicate: bool = True, hot_rows: int = HOT
     spans = rows.groupBy("id").agg(
         F.count(F.lit(1)).alias("n"), F.min("ts_us").alias("lo_us"), F.max("ts_us").alias("hi_us")
     )
-    # One map-side-combined pass over two columns tells the end of the log and the longest journey.
-    found = spans.agg(F.max("hi_us").alias("end_us"), F.max("n").alias("longest")).first()
+    # One map-side-combined pass over two columns tells the size and end of the log and its longest journey.
+    found = spans.agg(
+        F.max("hi_us").alias("end_us"), F.max("n").alias("longest"), F.sum("n").alias("rows")
+    ).first()
     hot = _hot_journeys(spans, hot_rows) if (found.longest or 0) > hot_rows else None
     part = ["id"]
     if hot is not None:
         rows = _with_slice(rows, hot, "ts_us")
         part = ["id", SLICE]
-    rows = rows.repartition(*part)
+    tasks = -(-(found.rows or 0) // ROWS_PER_TASK)
+    configured = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Within the configured number AQE may merge small partitions; beyond it the number is explicit.
+    rows = rows.repartition(*part) if tasks <= configured else rows.repartition(tasks, *part)
     if deduplicate:
         # One survivor per key, chosen by value, so a re-run keeps the same row.
         rows = rows.groupBy(*part, "ts_us", "event_name").agg(F.min("ed_id").alias("ed_id"))
