@@ -12,7 +12,10 @@ from wayfare.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session(8, partitions=4)
+    session = local_session(8, partitions=2)
+    # Tables are tiny: interpreting the plans is quicker than compiling them.
+    session.conf.set("spark.sql.codegen.wholeStage", "false")
+    session.conf.set("spark.sql.codegen.factoryMode", "NO_CODEGEN")
     yield session
     session.stop()
 

@@ -1,10 +1,14 @@
 """Ordered computations along a journey that stay parallel when one journey is huge.
 
 A plain window needs every row of a key in one task.  Here a key may be cut into
-time-ordered slices (column ``slice``; -1 marks keys that were not cut).  Each step
-is evaluated inside its slice, a summary with one row per slice supplies what
-the earlier or later slices contribute, and the two are combined.  Without
-a ``slice`` column the same steps are ordinary windows.
+time-ordered slices (column ``slice``).  Each step is evaluated inside its slice, a
+summary with one row per slice supplies what the earlier or later slices contribute,
+and the two are combined.
+
+A log with huge journeys is a union of two branches: ordinary rows, where ``slice`` is
+the literal null, and rows of cut journeys, where it is never null.  The optimizer
+folds tests on ``slice`` per branch, so ordinary rows only ever meet plain windows and
+keep their placement by journey.  Without a ``slice`` column all rows are ordinary.
 """
 
 from __future__ import annotations
@@ -15,6 +19,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wayfare.session import settle
+
 SLICE = "slice"
 ORDER = ("ts_us", "ed_id", "event_name")
 
@@ -84,14 +90,33 @@ def along(
     order: Sequence[str] = ORDER,
 ) -> DataFrame:
     """Add one column per step, computed per ``key`` in ``order``."""
-    sliced = SLICE in df.columns
-    part = [*key, SLICE] if sliced else list(key)
-    if not sliced:
-        return df.withColumns({name: _local(step, part, order, wrap=False) for name, step in steps.items()})
+    if SLICE not in df.columns:
+        return _plain(df, steps, key, order)
+    ordinary = _plain(df.where(F.col(SLICE).isNull()).drop(SLICE), steps, key, order)
+    # Written once per level: the slice summary and the rows both read it, so levels do not multiply.
+    cut = along_slices(settle(df.where(F.col(SLICE).isNotNull())), steps, key=key, order=order)
+    return both_branches(ordinary, cut)
+
+
+def both_branches(ordinary: DataFrame, cut: DataFrame) -> DataFrame:
+    """Union that lets the optimizer tell the branches apart by ``slice``."""
+    return ordinary.withColumn(SLICE, F.lit(None).cast("int")).unionByName(
+        cut.withColumn(SLICE, F.coalesce(SLICE, F.lit(0)))
+    )
+
 
+def _plain(df: DataFrame, steps: Mapping[str, Step], key: Sequence[str], order: Sequence[str]) -> DataFrame:
+    return df.withColumns({name: _local(step, list(key), order, wrap=False) for name, step in steps.items()})
+
+
+def along_slices(
+    df: DataFrame, steps: Mapping[str, Step], *, key: Sequence[str], order: Sequence[str]
+) -> DataFrame:
+    """The same steps where every row has a slice; the order must never go back to an earlier slice."""
+    part = [*key, SLICE]
     out = df.withColumns({f"_in_{name}": _local(step, part, order, wrap=True) for name, step in steps.items()})
     base = out if any(step.kind == "recent" for step in steps.values()) else df
-    slices = base.where(F.col(SLICE) >= 0).groupBy(*part).agg(
+    slices = base.groupBy(*part).agg(
         *[_summary(step, order, f"_in_{name}").alias(f"_s_{name}") for name, step in steps.items()]
     )
     carried = slices.select(

@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayfare.functions.ordered import SLICE, Step, along, running_sum, total_sum
+from wayfare.functions.ordered import SLICE, Step, along_slices, running_sum, total_sum
 
 # Slices per doubling of 1 + |value|; scores in [0, 1] span a single doubling.
 SLICES_PER_OCTAVE = 1_024
@@ -38,7 +38,7 @@ def sliced_running(
     key = list(by) or ["_all"]
     rows = counts if by else counts.withColumn("_all", F.lit(0))
     rows = rows.withColumn(SLICE, value_slice(F.col(value), per_octave))
-    out = along(rows, steps, key=key, order=[value]).drop(SLICE)
+    out = along_slices(rows, steps, key=key, order=[value]).drop(SLICE)
     return out if by else out.drop("_all")
 
 

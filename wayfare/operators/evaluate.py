@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfare.functions.columns import calibration_bin, clip, uniform
-from wayfare.functions.ordered import SLICE, along, nth, running_sum, total_sum
+from wayfare.functions.ordered import SLICE, along_slices, nth, running_sum, total_sum
 from wayfare.functions.ranks import SCORE_SLICES, cumulative_counts, profile_values, sliced_running
 from wayfare.session import settle
 
@@ -180,7 +180,7 @@ def _label_rank(labels: DataFrame, label: str, seed: int) -> DataFrame:
     """Random but repeatable rank of each journey inside its label, sliced by the draw itself."""
     rows = labels.withColumn("_u", uniform(seed, "id"))
     rows = rows.withColumn(SLICE, F.floor(F.col("_u") * SPLIT_SLICES).cast("int"))
-    return along(
+    return along_slices(
         rows, {"_rank": nth(), "_size": total_sum(F.lit(1))}, key=(label,), order=("_u", "id")
     ).drop(SLICE)
 

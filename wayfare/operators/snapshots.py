@@ -267,7 +267,7 @@ def at_samples(log: JourneyLog, rows: DataFrame, points: Column) -> DataFrame:
             "_pos": F.coalesce(F.col("_s.sample_num").cast("long"), "seq"),
         }
     )
-    merged = log.place(merged.drop(SLICE), "_at")
+    merged = log.place(merged, "_at")
     found = along(
         merged, {"_found": latest(F.when(~F.col("_probe"), F.struct(*features)))}, order=("_at", "_probe", "_pos")
     )

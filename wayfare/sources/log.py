@@ -7,7 +7,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayfare.functions.ordered import SLICE
+from wayfare.functions.ordered import SLICE, both_branches
 from wayfare.session import settle
 
 # A journey above this many rows is cut into time slices.
@@ -57,7 +57,14 @@ class JourneyLog:
 
     def place(self, rows: DataFrame, time_us: str = "ts_us") -> DataFrame:
         """Give rows keyed by (id, time) the slice their journey uses at that time."""
-        return rows if self.hot is None else _with_slice(rows, self.hot, time_us)
+        if self.hot is None:
+            return rows
+        if SLICE in rows.columns:
+            ordinary, cut = rows.where(F.col(SLICE).isNull()).drop(SLICE), rows.where(F.col(SLICE).isNotNull()).drop(SLICE)
+        else:
+            ids = self.hot.select("id")
+            ordinary, cut = rows.join(ids, "id", "left_anti"), rows.join(ids, "id", "left_semi")
+        return both_branches(ordinary, _with_slice(cut, self.hot, time_us))
 
 
 def open_log(events: DataFrame, *, deduplicate: bool = True, hot_rows: int = HOT_ROWS) -> JourneyLog:
@@ -81,18 +88,23 @@ def open_log(events: DataFrame, *, deduplicate: bool = True, hot_rows: int = HOT
         F.max("hi_us").alias("end_us"), F.max("n").alias("longest"), F.sum("n").alias("rows")
     ).first()
     hot = _hot_journeys(spans, hot_rows) if (found.longest or 0) > hot_rows else None
-    part = ["id"]
-    if hot is not None:
-        rows = _with_slice(rows, hot, "ts_us")
-        part = ["id", SLICE]
     tasks = -(-(found.rows or 0) // ROWS_PER_TASK)
+    if hot is None:
+        return JourneyLog(_placed(rows, ["id"], tasks, deduplicate), None, found.end_us)
+    ordinary = _placed(rows.join(hot.select("id"), "id", "left_anti"), ["id"], tasks, deduplicate)
+    cut = _with_slice(rows.join(hot.select("id"), "id", "left_semi"), hot, "ts_us")
+    cut = settle(_placed(cut, ["id", SLICE], tasks, deduplicate))
+    return JourneyLog(both_branches(ordinary, cut), hot, found.end_us)
+
+
+def _placed(rows: DataFrame, part: list[str], tasks: int, deduplicate: bool) -> DataFrame:
     configured = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # Within the configured number AQE may merge small partitions; beyond it the number is explicit.
     rows = rows.repartition(*part) if tasks <= configured else rows.repartition(tasks, *part)
     if deduplicate:
         # One survivor per key, chosen by value, so a re-run keeps the same row.
         rows = rows.groupBy(*part, "ts_us", "event_name").agg(F.min("ed_id").alias("ed_id"))
-    out = rows.select(
+    return rows.select(
         "id",
         F.timestamp_micros("ts_us").alias("event_timestamp"),
         "event_name",
@@ -100,7 +112,6 @@ def open_log(events: DataFrame, *, deduplicate: bool = True, hot_rows: int = HOT
         "ts_us",
         *part[1:],
     )
-    return JourneyLog(out, hot, found.end_us)
 
 
 def _hot_journeys(spans: DataFrame, hot_rows: int) -> DataFrame:
@@ -119,9 +130,6 @@ def _hot_journeys(spans: DataFrame, hot_rows: int) -> DataFrame:
 
 
 def _with_slice(rows: DataFrame, hot: DataFrame, time_us: str) -> DataFrame:
+    """Slice of rows of cut journeys."""
     place = F.floor((F.col(time_us) - F.col("lo_us")) / F.col("width_us")).cast("int")
-    return (
-        rows.join(hot, "id", "left")
-        .withColumn(SLICE, F.when(F.col("lo_us").isNull(), -1).otherwise(F.greatest(F.lit(0), place)))
-        .drop("lo_us", "width_us")
-    )
+    return rows.join(hot, "id").withColumn(SLICE, F.greatest(F.lit(0), place)).drop("lo_us", "width_us")
