@@ -125,7 +125,9 @@ def _hot_journeys(spans: DataFrame, hot_rows: int) -> DataFrame:
     )
     found = spans.limit(LOCAL_HOT_JOURNEYS + 1).collect()
     if len(found) <= LOCAL_HOT_JOURNEYS:
-        return spans.sparkSession.createDataFrame(found, spans.schema)
+        # Counted above: small enough to send everywhere, so huge journeys are told apart before any shuffle.
+        return F.broadcast(spans.sparkSession.createDataFrame(found, spans.schema))
+    # More than that: the planner decides by file size, AQE splits what stays skewed.
     return settle(spans)
 
 
