@@ -75,6 +75,15 @@ def _(spark, folder):
     return log.events.select("id", "ts_us", "event_name", "ed_id")
 
 
+@query(
+    "dedup_by_id",
+    with_(OL_RAW) + "SELECT id, ts_us, ed_id, min(event_name) AS event_name FROM ol_raw GROUP BY id, ts_us, ed_id",
+)
+def _(spark, folder):
+    rows = clean.deduplicate(adapters.raw_orders(spark, folder), ("id", "ed_id", "event_timestamp"))
+    return rows.select("id", F.unix_micros("event_timestamp").alias("ts_us"), "ed_id", "event_name")
+
+
 @query(
     "duplicate_report",
     with_(OL_RAW)
