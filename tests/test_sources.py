@@ -26,6 +26,12 @@ def test_unknown_states_are_refused(spark):
         readers.customer_states(known, [2, 5])
 
 
+def test_definitions_from_csv(spark, tmp_path):
+    known = spark.createDataFrame([(28, "order_shipped"), (4, "browse")], "event_definition_id long, event_name string")
+    writers.write_csv(known, str(tmp_path / "d"))
+    assert sorted(readers.read_definitions(spark, str(tmp_path / "d")).collect()) == sorted(known.collect())
+
+
 def test_csv_and_parquet(spark, small, tmp_path):
     events = adapters.raw_events(spark, small).limit(50)
     writers.write_parquet(events, str(tmp_path / "p"))

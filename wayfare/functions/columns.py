@@ -48,11 +48,6 @@ def clip(p: Column, low: float = 0.0, high: float = 1.0) -> Column:
     return F.least(F.lit(high), F.greatest(F.lit(low), p))
 
 
-def clean_name(column: Column) -> Column:
-    """Event name as a column-name suffix."""
-    return F.translate(F.translate(column, " -/", "___"), "()", "")
-
-
 def clean_text(name: str) -> str:
     return name.translate(str.maketrans({" ": "_", "-": "_", "/": "_", "(": None, ")": None}))
 

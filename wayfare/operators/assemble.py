@@ -64,11 +64,6 @@ def completion_time(log: JourneyLog, success_state: int = SUCCESS_STATE) -> Data
     return log.events.groupBy("id").agg(F.min(hit).alias("completion_us"))
 
 
-def dataset_end_us(events: DataFrame) -> Column:
-    """Last event time of the log as a scalar subquery (no collect, no join)."""
-    return events.select(F.max(F.unix_micros("event_timestamp"))).scalar()
-
-
 def label_by_last_action(
     summary: DataFrame,
     end_us: Column,

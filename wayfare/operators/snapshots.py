@@ -451,10 +451,3 @@ def prefix_action_parts(
         .where(left > 0)
         .select(*keys, length, "part", taken.alias("prefix_actions"))
     )
-
-
-def action_list_features(df: DataFrame, actions: Sequence[int], column: str = "prefix_actions") -> DataFrame:
-    """Counts per id inside a short action array."""
-    return df.withColumns(
-        {f"action_count_{a}": F.size(F.filter(column, lambda x, a=a: x == a)) for a in actions}
-    )

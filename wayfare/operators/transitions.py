@@ -61,13 +61,14 @@ def transitions(
 
 
 def _pairs(events: DataFrame) -> DataFrame:
-    rows = along(events, {"seq": nth(), "_next": following(F.struct("ed_id", "ts_us"))})
+    # Two flat successors: a struct per row would be built and copied by the window.
+    rows = along(events, {"seq": nth(), "_next_state": following(F.col("ed_id")), "_next_us": following(F.col("ts_us"))})
     return _table(
-        rows.where(F.col("_next").isNotNull()).select(
+        rows.where(F.col("_next_us").isNotNull()).select(
             "*",
             F.col("ed_id").alias("state"),
-            F.col("_next.ed_id").alias("next_state"),
-            F.greatest(F.lit(0), F.col("_next.ts_us") - F.col("ts_us")).alias("dt_us"),
+            F.col("_next_state").alias("next_state"),
+            F.greatest(F.lit(0), F.col("_next_us") - F.col("ts_us")).alias("dt_us"),
         )
     )
 
@@ -99,14 +100,14 @@ def timeout_transitions(
     rows = rows.withColumn("_failed", ~success & idle).where(success | idle).drop("_end")
     if states is not None:
         rows = log.with_events(rows).states(states, also=success_state).events
-    rows = along(rows, {"seq": nth(), "_next": following(F.struct("ed_id", "ts_us"))})
-    last = F.col("_next").isNull()
+    rows = along(rows, {"seq": nth(), "_next_state": following(F.col("ed_id")), "_next_us": following(F.col("ts_us"))})
+    last = F.col("_next_us").isNull()
     rows = rows.where(~last | F.col("_failed")).select(
         "*",
         F.col("ed_id").alias("state"),
-        F.when(last, F.lit(failure_state).cast("long")).otherwise(F.col("_next.ed_id")).alias("next_state"),
+        F.when(last, F.lit(failure_state).cast("long")).otherwise(F.col("_next_state")).alias("next_state"),
         F.when(last, F.lit(_us(timeout_seconds)))
-        .otherwise(F.greatest(F.lit(0), F.col("_next.ts_us") - F.col("ts_us")))
+        .otherwise(F.greatest(F.lit(0), F.col("_next_us") - F.col("ts_us")))
         .alias("dt_us"),
     )
     return _table(rows.where(F.col("state") != F.col("next_state")))
@@ -319,14 +320,11 @@ def history_key(history: Column) -> Column:
 def order_k_transitions(log: JourneyLog, order: int = 2, **options) -> DataFrame:
     """Transitions between histories (text keys), unchanged histories dropped."""
     rows = order_k_history(log, order, **options).withColumn("_key", history_key(F.col("history")))
-    rows = along(rows, {"_next": following(F.struct("_key", "ts_us"))})
-    return (
-        rows.where(F.col("_next").isNotNull() & (F.col("_key") != F.col("_next._key")))
-        .select(
-            "id",
-            "seq",
-            F.col("_key").alias("state"),
-            F.col("_next._key").alias("next_state"),
-            F.greatest(F.lit(0), F.col("_next.ts_us") - F.col("ts_us")).alias("dt_us"),
-        )
+    rows = along(rows, {"_next_key": following(F.col("_key")), "_next_us": following(F.col("ts_us"))})
+    return rows.where(F.col("_next_us").isNotNull() & (F.col("_key") != F.col("_next_key"))).select(
+        "id",
+        "seq",
+        F.col("_key").alias("state"),
+        F.col("_next_key").alias("next_state"),
+        F.greatest(F.lit(0), F.col("_next_us") - F.col("ts_us")).alias("dt_us"),
     )

@@ -11,7 +11,7 @@ from wayfare.plans.catalog_scores import HIT, PRIOR, rate_sql, rated_snapshots
 from wayfare.plans.catalog_snapshots import RAND, numbered
 from wayfare.plans.catalog_transitions import DAY, H12
 from wayfare.plans.registry import query, r6
-from wayfare.plans.sql import EV_LABEL, OL, OL_LABEL, recursive, uniform, with_
+from wayfare.plans.sql import EV_LABEL, OL_LABEL, recursive, uniform, with_
 from wayfare.plans.suite import score_suite
 from wayfare.plans.sweeps import edge_sweep, k_sweep, position_snapshots_for_rules, rule_comparison
 from wayfare.session import settle

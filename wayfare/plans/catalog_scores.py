@@ -20,15 +20,14 @@ from wayfare.plans.catalog_transitions import (
     PIECE,
     SEGMENT_SQL,
     STRAT,
-    ev_timeout,
     ev_transitions,
     first_state_segments,
-    ol_timeout,
     order_sql,
 )
+from wayfare.plans.catalog_log import definitions
 from wayfare.plans.catalog_snapshots import FRAC, numbered
 from wayfare.plans.registry import query, r6
-from wayfare.plans.sql import CUSTOMER28, EV, EV_LABEL, OL, OL_LABEL, recursive, with_
+from wayfare.plans.sql import CUSTOMER28, EV, EV_LABEL, OL_LABEL, recursive, with_
 from wayfare.session import settle
 from wayfare.sources import adapters
 
@@ -40,10 +39,6 @@ op AS (SELECT cs.* FROM cs JOIN lb USING (id) WHERE journey_status = 'other')"""
 PRIOR = "pr AS (SELECT segment, sum(n) FILTER (t = 28) / sum(n) AS prior FROM pt GROUP BY segment)"
 
 
-def ev_current(spark, folder):
-    return assemble.current_state(adapters.events_log(spark, folder))
-
-
 @query(
     "transition_prob",
     recursive(
@@ -405,6 +400,31 @@ def _(spark, folder):
     return r6(out.drop("segment"))
 
 
+@query(
+    "state_peaks",
+    DIST
+    + """SELECT state, round(peak, 6) AS peak, row_number() OVER (ORDER BY peak DESC, state)::INT AS rank
+FROM (SELECT state, max(p) AS peak FROM sd GROUP BY state) QUALIFY rank <= 8""",
+)
+def _(spark, folder):
+    table = rates.rate_table(ev_transitions(spark, folder))
+    return r6(scoring.top_states_by_peak(scoring.state_distribution(table, {23: 1.0}, GRID)).drop("segment"))
+
+
+@query(
+    "top_rates_labeled",
+    with_(*EV_RATES, "d AS (SELECT ed_id, min(event_name) AS name FROM ev GROUP BY ed_id)")
+    + """SELECT f AS from_state, t AS to_state, a.name AS from_name, b.name AS to_name, round(rate * 86400, 6) AS rate_per_day
+FROM rt JOIN d a ON a.ed_id = f JOIN d b ON b.ed_id = t ORDER BY rate DESC, f, t LIMIT 5""",
+)
+def _(spark, folder):
+    names = settle(definitions(spark, folder))
+    top = rates.top_rates(rates.rate_table(ev_transitions(spark, folder)), 5)
+    for side in ("from", "to"):
+        top = assemble.with_event_label(top, names, f"{side}_state").withColumnRenamed("event_name", f"{side}_name")
+    return r6(top.select("from_state", "to_state", "from_name", "to_name", (F.col("rate") * 86400.0).alias("rate_per_day")))
+
+
 @query(
     "score_by_state",
     BLEND_SQL
