@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wayfare.session import ship_package
+
 Plan = Callable[[SparkSession, str], DataFrame]
 
 
@@ -26,6 +28,7 @@ def query(name: str, oracle: str | None = None) -> Callable[[Plan], Plan]:
         def run(spark: SparkSession, folder: str) -> DataFrame:
             # The tables hold zone-less timestamps; read them as UTC wherever the session lives.
             spark.conf.set("spark.sql.session.timeZone", "UTC")
+            ship_package(spark)
             return plan(spark, folder)
 
         if name in REGISTRY:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import io
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,9 +33,30 @@ def local_session(cpus: int | str = "*", *, partitions: int = 8, memory: str = "
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
+    ship_package(session)
     return session
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors once per application, for functions that run in Python there.
+
+    Spark copies the archive from the driver to every executor.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_wayfare_shipped", False):
+        return
+    top = Path(__file__).resolve().parent
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as archive:
+        for file in sorted(top.rglob("*.py")):
+            archive.write(file, file.relative_to(top.parent))
+    # The driver serves this file as long as it lives.
+    path = Path(tempfile.mkdtemp(prefix="wayfare-")) / "wayfare.zip"
+    path.write_bytes(packed.getvalue())
+    context.addPyFile(str(path))
+    context._wayfare_shipped = True
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder named by ``spark.checkpoint.dir``; a private one only for a local session without it."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
