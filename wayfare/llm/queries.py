@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfare.llm import fingerprints, mixing, packing, quality_rules, sharding, simhash
+from wayfare.llm import fingerprints, mixing, packing, quality_rules, sharding, simhash, suffix_dedup
 from wayfare.llm.oracles import MIXING, QUALITY_RULES
+from wayfare.session import ship_package
 
 Plan = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +24,7 @@ def tokenizer_path(name: str = BYTE_BPE) -> str:
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
@@ -52,6 +54,14 @@ def op3_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op6_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    rows = suffix_dedup.deduplicated(table(spark, folder, "documents"))
+    removed = F.aggregate("removed", F.lit(0).cast("long"), lambda a, r: a + r["end"] - r["start"])
+    return rows.select(
+        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 def op7_sharding(spark: SparkSession, folder: str) -> DataFrame:
     rows = sharding.sharded(table(spark, folder, "documents"), 16)
     return rows.select(
@@ -80,7 +90,7 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Plan] = {
-    f.__name__: f for f in (op1_packing, op2_simhash, op3_fingerprints, op7_sharding, op9_quality_rules, op10_mixing)
+    f.__name__: f for f in (op1_packing, op2_simhash, op3_fingerprints, op6_suffix_dedup, op7_sharding, op9_quality_rules, op10_mixing)
 }
 
 ORACLES: dict[str, str] = {"op9_quality_rules": QUALITY_RULES, "op10_mixing": MIXING}
