@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfare.llm import fingerprints, mixing, packing, quality_rules, sharding, simhash, suffix_dedup
+from wayfare.llm import fingerprints, mixing, packing, quality_classifier, quality_rules, secrets, sharding, simhash, suffix_dedup, wrappers
 from wayfare.llm.oracles import MIXING, QUALITY_RULES
 from wayfare.session import ship_package
 
@@ -54,6 +54,21 @@ def op3_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op4_wrappers(spark: SparkSession, folder: str) -> DataFrame:
+    rows = wrappers.extracted(table(spark, folder, "pages"))
+    return rows.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op5_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = quality_classifier.learned(docs, table(spark, folder, "labels"))
+    rows = quality_classifier.scored(docs, model)
+    doc_id = F.col("row.doc_id")
+    return rows.select(
+        doc_id.alias("doc_id"), quality_classifier.held_out(doc_id).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
+    )
+
+
 def op6_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     rows = suffix_dedup.deduplicated(table(spark, folder, "documents"))
     removed = F.aggregate("removed", F.lit(0).cast("long"), lambda a, r: a + r["end"] - r["start"])
@@ -76,6 +91,10 @@ def op7_sharding(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op8_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.scanned(table(spark, folder, "documents")).select("doc_id", "start", "end", "digest", "probability", "secret")
+
+
 def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     rows = quality_rules.quality_verdicts(table(spark, folder, "documents"))
     counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -90,7 +109,19 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Plan] = {
-    f.__name__: f for f in (op1_packing, op2_simhash, op3_fingerprints, op6_suffix_dedup, op7_sharding, op9_quality_rules, op10_mixing)
+    f.__name__: f
+    for f in (
+        op1_packing,
+        op2_simhash,
+        op3_fingerprints,
+        op4_wrappers,
+        op5_quality_classifier,
+        op6_suffix_dedup,
+        op7_sharding,
+        op8_secrets,
+        op9_quality_rules,
+        op10_mixing,
+    )
 }
 
 ORACLES: dict[str, str] = {"op9_quality_rules": QUALITY_RULES, "op10_mixing": MIXING}
