@@ -280,12 +280,13 @@ def repeated_spans(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, b
     rows = _keyed(docs)
     kind = docs.schema["doc_id"].dataType.simpleString()
     found = settle(rows.mapInArrow(_found_stretches(length, gram), f"doc_id {kind}, {STRETCH}"))
-    shared = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("anchor").alias("s_anchor"))
+    # Counts are written before they are joined: the join then reads two tables, and a hot anchor's stretches can be split.
+    shared = settle(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("anchor").alias("s_anchor")))
     # From here on only stretches whose anchor is not alone.
     several = settle(found.join(shared, F.col("anchor") == F.col("s_anchor"), "left_semi"))
     place = F.struct("doc_id", "key_text", "at", "windows", "offset")
     contents = settle(several.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("one")))
-    per_anchor = contents.groupBy(F.col("anchor").alias("c_anchor")).agg(F.count(F.lit(1)).alias("contents"))
+    per_anchor = settle(contents.groupBy(F.col("anchor").alias("c_anchor")).agg(F.count(F.lit(1)).alias("contents")))
     counted = settle(contents.join(per_anchor, F.col("anchor") == F.col("c_anchor")).drop("c_anchor"))
     whole = counted.where("n > 1").select("anchor", "content", F.lit(0).alias("skip"), F.col("one.windows").alias("n"))
 
