@@ -11,15 +11,15 @@ from wayfare.session import settle
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Hang neighbours of each node on its smallest one: the larger neighbours, or the node and its smaller ones.
 
-    The minimum is an aggregate that starts before the shuffle, and goes back by a join, so a node with very
-    many neighbours is no group in one task.
+    The minimum is an aggregate that starts before the shuffle; it is written, and goes back by a join that can be split, so a
+    node with very many neighbours is no group in one task.
     """
     if large:
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        least = settle(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
         return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
     # Here a > b in every edge.
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
+    least = settle(edges.groupBy("a").agg(F.min("b").alias("m")))
     moved = edges.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionAll(least.select("a", F.col("m").alias("b"))).distinct()
 

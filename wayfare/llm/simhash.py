@@ -174,7 +174,7 @@ def grouped(rows: DataFrame) -> DataFrame:
     once = settle(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("least_id")))
     roots = settle(components(links(once)))
     named = once.join(roots, F.col("fingerprint") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fingerprint"))
-    least = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    least = settle(named.groupBy("root").agg(F.min("least_id").alias("component_id")))
     classes = settle(named.join(least, "root").select(F.col("fingerprint").alias("f"), "component_id"))
     return rows.join(classes, F.col("fingerprint") == F.col("f")).drop("f")
 
