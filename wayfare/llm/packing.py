@@ -235,9 +235,9 @@ def packed(docs: DataFrame, path: str, *, id_column: str = "doc_id", limit: int
         coder = encoder(path)
         sequence = TaskContext.get().partitionId() << 32
         for batch in batches:
-            texts = batch.column(1).to_pylist()
+            texts = [t or "" for t in batch.column(1).to_pylist()]
             for begin, end in _blocks(texts):
-                found = pack_block([x or "" for x in texts[begin:end]], coder, limit)
+                found = pack_block(texts[begin:end], coder, limit)
                 columns = [batch.column(0).slice(begin, end - begin).take(pa.array(found["doc"]))]
                 columns += [pa.array(found[c].astype(np.int64)) for c in ("start", "length", "ids_crc32", "doc_tokens")]
                 columns += [pa.array(found["window"].astype(np.int64) + sequence), pa.array(found["offset"].astype(np.int64))]

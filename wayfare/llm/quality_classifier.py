@@ -158,7 +158,7 @@ def fitted(rows: list[np.ndarray], labels: np.ndarray, calibrate: np.ndarray) ->
     ratio = log_count_ratio(chosen, labels[fit])
     w, bias = dual_descent(chosen, labels[fit], ratio)
     model = Model(w.astype(np.float32), bias, 1.0, 0.0)
-    held = calibrate if calibrate.any() else fit
+    held = calibrate if len(set(labels[calibrate].tolist())) == 2 else np.ones(len(rows), bool)
     margins = np.array([model.margin(r) for r, c in zip(rows, held, strict=True) if c])
     return Model(model.weights, bias, *calibrated(margins, labels[held]))
 

@@ -40,14 +40,12 @@ def first_map(slots: int, shards: int) -> dict[int, int]:
 
 
 def rebalanced(slot_map: dict[int, int], sizes: dict[int, int], shards: int) -> dict[int, int]:
-    """An edited map with near equal bytes per shard.
+    """An edited map with near equal bytes per shard; a balanced map stays as it is.
 
-    Shards above the mean give up slots, largest first, as long as that brings them closer to the mean; these and
-    slots of shards that no longer exist go, largest first, to the lightest shard.  Then the heaviest and the
-    lightest shard exchange the slot or pair of slots that evens them out most, until nothing helps.
+    Slots of shards that no longer exist go, largest first, to the lightest shard.  Then the heaviest and the
+    lightest shard exchange the slot or pair of slots that evens them out most; a shard that nothing helps is set
+    aside, until none is left above the lightest.
     """
-    if not slot_map:
-        return {}
     load = [0] * shards
     held: list[set[int]] = [set() for _ in range(shards)]
     pool = []
@@ -57,29 +55,24 @@ def rebalanced(slot_map: dict[int, int], sizes: dict[int, int], shards: int) ->
             load[shard] += sizes.get(slot, 0)
         else:
             pool.append(slot)
-    mean = sum(sizes.get(s, 0) for s in slot_map) / shards
-    by_size = lambda s: (-sizes.get(s, 0), s)
-    for shard in range(shards):
-        for slot in sorted(held[shard], key=by_size):
-            if 0 < sizes.get(slot, 0) <= 2 * (load[shard] - mean):
-                held[shard].discard(slot)
-                load[shard] -= sizes[slot]
-                pool.append(slot)
     lightest = [(load[k], k) for k in range(shards)]
     heapq.heapify(lightest)
-    for slot in sorted(pool, key=by_size):
+    for slot in sorted(pool, key=lambda s: (-sizes.get(s, 0), s)):
         _, k = heapq.heappop(lightest)
         held[k].add(slot)
         load[k] += sizes.get(slot, 0)
         heapq.heappush(lightest, (load[k], k))
-    while _exchange(held, load, sizes):
-        pass
+    open_ = set(range(shards))
+    while len(open_) > 1:
+        high = max(open_, key=lambda k: (load[k], -k))
+        low = min(open_, key=lambda k: (load[k], k))
+        if not _exchange(held, load, sizes, high, low):
+            open_.discard(high)
     return {slot: k for k in range(shards) for slot in held[k]}
 
 
-def _exchange(held: list[set[int]], load: list[int], sizes: dict[int, int]) -> bool:
-    """Move or swap slots between the heaviest and the lightest shard so that their difference shrinks most."""
-    high, low = max(range(len(load)), key=lambda k: (load[k], -k)), min(range(len(load)), key=lambda k: (load[k], k))
+def _exchange(held: list[set[int]], load: list[int], sizes: dict[int, int], high: int, low: int) -> bool:
+    """Move or swap slots between two shards so that their difference shrinks most; false if nothing shrinks it."""
     gap = load[high] - load[low]
     if gap <= 1:
         return False

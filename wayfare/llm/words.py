@@ -28,12 +28,12 @@ def n_words(text: Column) -> Column:
 
 
 def shingles(w: Column, width: int, of: Callable[..., Column]) -> Column:
-    """``of(word, word, ...)`` for every run of ``width`` words; the whole sequence when there are fewer
-    words, nothing when there are none.  ``w`` must be cheap to name often (see ``let``)."""
+    """``of(word, word, ...)`` for every run of ``width`` words; the whole sequence, joined by blanks, when
+    there are fewer, nothing when there are none.  ``w`` must be cheap to name often (see ``let``)."""
     several = F.transform(
         F.sequence(F.lit(0), F.size(w) - width), lambda i: of(*(F.get(w, i + k) for k in range(width)))
     )
-    few = F.array(F.aggregate(F.slice(w, 2, width), of(F.get(w, F.lit(0))), lambda a, x: F.xxhash64(a, x)))
+    few = F.array(of(F.array_join(w, " ")))
     return F.when(F.size(w) >= width, several).when(F.size(w) > 0, few).otherwise(F.array().cast("array<bigint>"))
 
 
