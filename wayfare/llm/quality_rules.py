@@ -145,7 +145,8 @@ def quality_verdicts(docs: DataFrame, limits: LineLimits = LineLimits()) -> Data
     """
     key = document_key(docs)
     counts = base_counts(docs["text"])
-    rows = kept_row(docs, key_id=key[0], key_text=key[1], c=counts)
+    # One generated row each: a later filter on the counts then cannot repeat them below the join.
+    rows = kept_row(docs, key_id=key[0], key_text=key[1], c=F.explode(F.array(counts)))
     found = _joined(rows, line_losses(docs, limits))
     n, repeated = F.col("c.n_words"), F.col("c.n_repeat_words")
     removed = F.least(F.coalesce("removed_words", F.lit(0)), n)
