@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from wayfare.functions import chains
-from wayfare.operators import assemble, encode, evaluate, learn, rates, scoring, segments, snapshots, transitions
+from wayfare.operators import assemble, encode, evaluate, learn, neighbours, rates, scoring, segments, snapshots, transitions
 from wayfare.plans.catalog_evaluation import scored
 from wayfare.session import settle
 from wayfare.sources import adapters
@@ -178,7 +178,7 @@ def test_components_of_chains(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(i, i + 1) for i in range(100, 120)]
     df = spark.createDataFrame(edges, "src long, dst long")
     nodes = spark.createDataFrame([(i,) for i in [*range(0, 41), *range(100, 121), 500]], "node long")
-    got = {r.node: r.component for r in segments.components(df, nodes).collect()}
+    got = {r.node: r.component for r in neighbours.components(df, nodes).collect()}
     assert got == {i: 0 if i <= 40 else 100 if i <= 120 else 500 for i in got}
 
 

@@ -43,5 +43,3 @@ MIN_TIME_SECONDS = 1e-9
 
 # Trailing windows of the snapshot features, in days.
 RECENT_WINDOWS_DAYS = (1, 3, 7, 14, 30)
-
-SPECTRAL_MAX_FIT_ROWS = 25_000

@@ -45,9 +45,13 @@ def sliced_running(
 def cumulative_counts(
     df: DataFrame, value: str, *, by: Sequence[str] = (), per_octave: int = SLICES_PER_OCTAVE
 ) -> DataFrame:
-    """by, value, n, upto (rows with value <= this one), total."""
+    """by, value, n, upto (rows with value <= this one), total, amount (sum of all values)."""
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
-    steps = {"upto": running_sum(F.col("n")), "total": total_sum(F.col("n"))}
+    steps = {
+        "upto": running_sum(F.col("n")),
+        "total": total_sum(F.col("n")),
+        "amount": total_sum(F.col("n") * F.col(value).cast("double")),
+    }
     return sliced_running(counts, value, steps, by=by, per_octave=per_octave)
 
 
@@ -64,8 +68,9 @@ def profile_values(
     v, n = F.col(value).cast("double"), F.col("n")
     aggregates = [
         F.sum("n").alias("n_rows"),
-        F.sum(v * n).alias("_s1"),
-        F.sum(v * v * n).alias("_s2"),
+        F.max("amount").alias("_amount"),
+        # Around the mean, so that large values that are close together keep their spread.
+        F.sum(n * (v - F.col("amount") / F.col("total")) * (v - F.col("amount") / F.col("total"))).alias("_spread"),
         F.min(v).alias("min"),
         F.max(v).alias("max"),
     ]
@@ -76,12 +81,11 @@ def profile_values(
             aggregates.append(F.max(F.when(hit, v)).alias(f"_{side}_{name}"))
     out = table.groupBy(*by).agg(*aggregates)
     rows = F.col("n_rows")
-    mean = F.col("_s1") / rows
-    spread = F.greatest(F.lit(0.0), F.col("_s2") - F.col("_s1") * mean) / (rows - 1)
+    mean = F.col("_amount") / rows
     columns = [
         F.col("n_rows").alias("n"),
         mean.alias("mean"),
-        F.when(rows > 1, F.sqrt(spread)).alias("std"),
+        F.when(rows > 1, F.sqrt(F.col("_spread") / (rows - 1))).alias("std"),
         "min",
         "max",
     ]

@@ -350,6 +350,11 @@ def time_snapshots(
     )
 
 
+def unsuccessful(success_event: str) -> Column:
+    """Any event but success; one without a name is kept."""
+    return ~F.col("event_name").eqNullSafe(F.lit(success_event))
+
+
 def realistic_snapshots(
     log: JourneyLog,
     names: Sequence[str],
@@ -363,7 +368,7 @@ def realistic_snapshots(
 ) -> DataFrame:
     """Leakage-safe snapshots: no success event inside, successful journeys cut by 70 % of the way."""
     full = with_outcome(log, success_state=success_state, horizon_seconds=horizon_seconds)
-    clean = full.where(F.col("journey_status").isin(*RESOLVED) & (F.col("event_name") != success_event))
+    clean = full.where(F.col("journey_status").isin(*RESOLVED) & unsuccessful(success_event))
     direct = clean.hot is None
     rows = prefix_rows(clean, names=names, windows=windows if direct else ())
     found = at_samples(log, rows, sample_points(seed=seed, max_samples=max_samples, realistic=True))
@@ -379,7 +384,7 @@ def realistic_snapshots(
         *event_columns(names, F.col("_j_start"), windows if direct else ()),
     )
     if not direct:
-        out = trailing_counts(log.where(F.col("event_name") != success_event), out, windows)
+        out = trailing_counts(log.where(unsuccessful(success_event)), out, windows)
     return recent_ratios(out)
 
 
@@ -391,7 +396,7 @@ def open_snapshots(
     windows: Sequence[int] = RECENT_WINDOWS_DAYS,
 ) -> DataFrame:
     """The realistic features on the whole observed prefix of every journey."""
-    clean = log.where(F.col("event_name") != success_event)
+    clean = log.where(unsuccessful(success_event))
     direct = clean.hot is None
     rows = prefix_rows(clean, names=names, windows=windows if direct else ())
     out = at_position(rows, F.col("n")).select(

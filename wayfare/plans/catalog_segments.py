@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from wayfare.operators import segments, snapshots, transitions
+from wayfare.operators import neighbours, segments, snapshots, transitions
 from wayfare.plans import sql
 from wayfare.plans.catalog_snapshots import FRAC, numbered
 from wayfare.plans.catalog_transitions import ev_transitions
@@ -139,7 +139,7 @@ nn AS (SELECT * FROM k WHERE rank <= {NEIGHBOURS})"""
 @query("nearest_neighbours", with_(KNN) + "SELECT id, neighbour, rank, round(distance, 6) AS distance FROM nn")
 def _(spark, folder):
     rows = vectors(spark, folder)
-    return r6(segments.nearest_neighbours(rows, segments.fit_sample(rows), NEIGHBOURS, exclude_self=True))
+    return r6(neighbours.nearest_neighbours(rows, rows, NEIGHBOURS, exclude_self=True))
 
 
 @query(
@@ -154,5 +154,5 @@ def _(spark, folder):
 def _(spark, folder):
     # One neighbour each: the graph falls into many components.
     rows = vectors(spark, folder)
-    edges = segments.neighbour_edges(rows, segments.fit_sample(rows), 1)
-    return segments.components(edges, rows.select(F.col("id").alias("node")))
+    edges = neighbours.neighbour_edges(rows, 1)
+    return neighbours.components(edges, rows.select(F.col("id").alias("node")))

@@ -213,7 +213,7 @@ def clean_sql(log: str, label: str, success: str) -> str:
     return with_(
         label,
         f"""nb AS (SELECT *, row_number() OVER w AS pos, lag(ts_us) OVER w AS prev_us, count(*) OVER (PARTITION BY id) AS n
-  FROM {log} WHERE event_name <> '{success}' WINDOW w AS (PARTITION BY id ORDER BY ts_us, ed_id))""",
+  FROM {log} WHERE event_name IS DISTINCT FROM '{success}' WINDOW w AS (PARTITION BY id ORDER BY ts_us, ed_id))""",
         REAL_SAMPLES,
         PREFIX_ROWS,
     )
@@ -340,7 +340,7 @@ def _(spark, folder):
     return out.select("id", "sample_num", *[f"cnt_{n}" for n in sorted(names)])
 
 
-OPEN_NB = """nb AS (SELECT *, row_number() OVER w AS pos, lag(ts_us) OVER w AS prev_us FROM ev WHERE event_name <> 'purchase'
+OPEN_NB = """nb AS (SELECT *, row_number() OVER w AS pos, lag(ts_us) OVER w AS prev_us FROM ev WHERE event_name IS DISTINCT FROM 'purchase'
   WINDOW w AS (PARTITION BY id ORDER BY ts_us, ed_id))"""
 
 
