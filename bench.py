@@ -15,7 +15,7 @@ from pathlib import Path
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from wayfare.plans.catalog import all_queries  # noqa: E402
-from wayfare.session import local_session  # noqa: E402
+from wayfare.session import local_session, release_settled  # noqa: E402
 
 HEADLINE = [
     "dedup_events",
@@ -70,6 +70,7 @@ def main() -> None:
         started = time.perf_counter()
         found[name].plan(spark, folder).write.format("noop").mode("overwrite").save()
         spent[name] = round(time.perf_counter() - started, 3)
+        release_settled(spark)
         print(f"{name} {spent[name]}", file=sys.stderr, flush=True)
     scale = re.search(r"sf([0-9.]+)", folder)
     print(

@@ -17,7 +17,7 @@ import duckdb
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 from wayfare.plans.catalog import all_queries  # noqa: E402
-from wayfare.session import local_session  # noqa: E402
+from wayfare.session import local_session, release_settled  # noqa: E402
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -64,6 +64,7 @@ def main() -> int:
             print(f"FAIL  {name}: spark: {str(error)[:1500]}", flush=True)
             continue
         took = time.time() - started
+        release_settled(spark)
         if q.oracle is None:
             print(f"rows  {name}: {len(got)} rows {took:.2f}s", flush=True)
             continue

@@ -76,6 +76,16 @@ def settle(df: DataFrame) -> DataFrame:
     a join with a settled table broadcasts only when its files are under
     ``spark.sql.autoBroadcastJoinThreshold`` and shuffles otherwise.
     """
-    path = f"{shared_folder(df.sparkSession)}/settled/{uuid.uuid4().hex}"
+    path = f"{_settled(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _settled(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/settled/{spark.sparkContext.applicationId}"
+
+
+def release_settled(spark: SparkSession) -> None:
+    """Delete the tables this application has settled; call it when no result that reads them is needed any more."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_settled(spark))
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
