@@ -399,6 +399,42 @@ def _(spark, folder):
     return learn.isotonic(rows.where("NOT is_test"), rows.where("is_test")).select("id", "label", "p", "calibrated")
 
 
+# Pooled means in min-max form: the value at a score is the largest, over all starts at or below it, of the smallest mean from
+# there to any end at or above it.  Between two fitted scores the value is interpolated.
+ISOTONIC = (
+    BASE.rstrip()
+    + f""",
+sp AS (SELECT id, label, round(blend, 9) AS p, row_number() OVER (PARTITION BY label ORDER BY {uniform(42, "id")}, id) <= round(count(*) OVER (PARTITION BY label) * 0.3) AS is_test FROM sc),
+po AS (SELECT p, row_number() OVER (ORDER BY p) AS i, sum(y) OVER (ORDER BY p) AS y, sum(w) OVER (ORDER BY p) AS w, y AS y1, w AS w1
+  FROM (SELECT p, sum(label)::DOUBLE AS y, count(*)::DOUBLE AS w FROM sp WHERE NOT is_test GROUP BY p)),
+mm AS (SELECT b.i, min((b.y - a.y + a.y1) / (b.w - a.w + a.w1)) OVER (PARTITION BY a.i ORDER BY b.i DESC) AS m FROM po a JOIN po b ON a.i <= b.i),
+ft AS (SELECT po.p, f FROM (SELECT i, max(m) AS f FROM mm GROUP BY i) JOIN po USING (i)),
+bt AS (SELECT t.id, t.label, t.p, lo.p AS p0, lo.f AS f0 FROM sp t ASOF LEFT JOIN ft lo ON t.p >= lo.p WHERE t.is_test),
+bu AS (SELECT bt.*, hi.p AS p1, hi.f AS f1 FROM bt ASOF LEFT JOIN ft hi ON bt.p <= hi.p)
+SELECT id, label, round(p, 6) AS p, round(CASE WHEN p0 IS NULL THEN f1 WHEN p1 IS NULL OR p1 = p0 THEN f0 ELSE f0 + (f1 - f0) * (p - p0) / (p1 - p0) END, 6) AS calibrated FROM bu"""
+)
+
+
+@query("isotonic_blend", ISOTONIC)
+def _(spark, folder):
+    # Scores to nine places: equal ones are pooled.
+    rows = scored(spark, folder).select("id", "label", F.round("blend", 9).alias("p"))
+    rows = settle(evaluate.stratified_split(rows, 0.3))
+    return r6(learn.isotonic(rows.where("NOT is_test"), rows.where("is_test")).select("id", "label", "p", "calibrated"))
+
+
+@query(
+    "holdout_accuracy_blend",
+    BASE.rstrip()
+    + f""",
+sp AS (SELECT label, blend AS p, row_number() OVER (PARTITION BY label ORDER BY {uniform(42, "id")}, id) <= round(count(*) OVER (PARTITION BY label) * 0.25) AS is_test FROM sc)
+SELECT round(avg(((p >= 0.5)::INT = label)::INT), 6) AS accuracy, count(*) AS n FROM sp WHERE is_test""",
+)
+def _(spark, folder):
+    rows = evaluate.stratified_split(scored(spark, folder).select("id", "label", F.col("blend").alias("p")))
+    return r6(learn.holdout_accuracy(rows.where("is_test")))
+
+
 @query("suite")
 def _(spark, folder):
     log = adapters.events_log(spark, folder)

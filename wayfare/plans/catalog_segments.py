@@ -116,6 +116,46 @@ def _(spark, folder):
     return fitted.assign(segments.journey_features_open(log, actions)).select("id", "segment")
 
 
+SHARES = [f"action_prop_{a}" for a in ACTIONS]
+# Centres: mean shares of the journeys that start in the same state.  Open journeys are assigned to the same centres.
+CENTRES = with_(
+    EV,
+    sql.transitions("ev"),
+    "jf AS (SELECT id, arg_min(state, seq) AS first_state, " + ", ".join(f"count(*) FILTER (state = {a}) / (count(*) + 1) AS action_prop_{a}" for a in ACTIONS) + " FROM tr GROUP BY id)",
+    f"""oj AS (SELECT id, {", ".join(f"count(*) FILTER (ed_id = {a}) / count(*) AS action_prop_{a}" for a in ACTIONS)} FROM ev WHERE ed_id IN {CUSTOMER28} GROUP BY id)""",
+    "ce AS (SELECT CAST(first_state AS VARCHAR) AS segment, " + ", ".join(f"avg({c}) AS {c}" for c in SHARES) + " FROM jf GROUP BY 1)",
+)
+
+
+def nearest_sql(rows: str) -> str:
+    square = " + ".join(f"(r.{c} - ce.{c}) ** 2" for c in SHARES)
+    return f"SELECT id, arg_min(segment, (d, segment)) AS segment FROM (SELECT r.id, ce.segment, round({square}, 9) AS d FROM {rows} r, ce) GROUP BY id"
+
+
+def centred(spark, folder):
+    features = settle(segments.journey_features(ev_transitions(spark, folder), ACTIONS).select("id", "first_state", *SHARES))
+    return features, segments.group_centres(features, SHARES, "first_state")
+
+
+@query("centre_segments", CENTRES + nearest_sql("jf"))
+def _(spark, folder):
+    features, centres = centred(spark, folder)
+    return segments.nearest_centre(features, SHARES, centres).select("id", "segment")
+
+
+@query("centre_segments_open", CENTRES + nearest_sql("oj"))
+def _(spark, folder):
+    _, centres = centred(spark, folder)
+    log = adapters.events_log(spark, folder).states(transitions.CUSTOMER_STATES, also=28)
+    return segments.nearest_centre(segments.journey_features_open(log, ACTIONS), SHARES, centres).select("id", "segment")
+
+
+@query("centre_summary", CENTRES + f"SELECT segment, count(*) AS n_rows FROM ({nearest_sql('jf')}) GROUP BY segment")
+def _(spark, folder):
+    features, centres = centred(spark, folder)
+    return segments.segment_summary(segments.nearest_centre(features, SHARES, centres))
+
+
 @query("spectral_segments")
 def _(spark, folder):
     table = ev_transitions(spark, folder)

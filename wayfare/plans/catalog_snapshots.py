@@ -200,11 +200,11 @@ def _(spark, folder):
 def _(spark, folder):
     # Occurrences over all prefixes are the sums of the per-snapshot counts.
     log = adapters.events_log(spark, folder)
-    taken = snapshots.time_snapshots(log, horizon_seconds=H12, actions=EV_ACTIONS, milestones={})
-    sums = taken.agg(*[F.sum(f"action_count_{a}").alias(str(a)) for a in EV_ACTIONS])
-    long = sums.select(F.explode(F.map_from_arrays(
-        F.array(*[F.lit(a).cast("long") for a in EV_ACTIONS]), F.array(*[F.col(f"`{a}`") for a in EV_ACTIONS])
-    )).alias("ed_id", "n"))
+    # Every id of the log takes part: there are as many as event definitions.
+    ids = snapshots.vocabulary(log.events.where("ed_id IS NOT NULL").select("ed_id").distinct().orderBy("ed_id"), "ed_id")
+    taken = snapshots.time_snapshots(log, horizon_seconds=H12, actions=ids, milestones={})
+    counts = [F.struct(F.lit(a).cast("long").alias("ed_id"), F.sum(f"action_count_{a}").alias("n")) for a in ids]
+    long = taken.agg(F.array(*counts).alias("e")).select(F.inline("e"))
     return long.where(F.col("n") > 0).orderBy(F.desc("n"), "ed_id").limit(20)
 
 
@@ -232,7 +232,7 @@ def _(spark, folder):
     out = snapshots.realistic_snapshots(log, [], success_event="purchase", horizon_seconds=H12)
     base = ["id", "sample_num", "snapshot_id", "journey_status", "source_table", "label", "snapshot_us", "num_events", "current_state"]
     out = settle(out.select(*base))
-    clean = log.where(F.col("event_name") != "purchase")
+    clean = log.where(snapshots.unsuccessful("purchase"))
     parts = snapshots.prefix_action_parts(clean, out, "num_events", part_rows=16)
     text = F.concat_ws(">", F.transform("prefix_actions", lambda x: x.cast("string"))).alias("prefix")
     return out.join(parts.select("snapshot_id", "part", text), "snapshot_id")
