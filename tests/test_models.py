@@ -202,3 +202,13 @@ def test_scaling_fills_with_the_median(spark):
     assert (median, mean, std) == pytest.approx((2.0, values.mean(), values.std()))
     got = sorted(r.x for r in fitted.apply(df).collect())
     assert got == pytest.approx(sorted((values - values.mean()) / values.std()))
+
+
+def test_nearest_centre(spark):
+    df = spark.createDataFrame([("a", 0.0, 0.0), ("b", 1.0, 1.0), ("c", 0.5, 0.5), ("d", 0.9, 1.2)], "id string, x double, y double")
+    centres = segments.group_centres(df.where("id IN ('a', 'b')"), ["x", "y"], "id")
+    assert centres == [("a", [0.0, 0.0]), ("b", [1.0, 1.0])]
+    got = {r["id"]: r["segment"] for r in segments.nearest_centre(df, ["x", "y"], centres).collect()}
+    # A tie goes to the first segment.
+    assert got == {"a": "a", "b": "b", "c": "a", "d": "b"}
+    assert segments.nearest_centre(df.where("false"), ["x", "y"], centres).count() == 0
