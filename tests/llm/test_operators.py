@@ -218,6 +218,14 @@ def test_wrappers(spark):
     assert wrappers.extracted(pages.where("page_id < 0")).count() == 0
 
 
+def test_wrappers_at_any_depth(spark):
+    body = "<div><b>x<em>" * 5_000 + "<p>deep</p>"
+    rows = [(1, "http://a.example/1", f"<body><article>{body}"), (2, "http://a.example/2", "<body><article><svg/><p>a</p><select><option>b</select><p>c"), (3, None, f"<body>{body}")]
+    got = {r["page_id"]: r["text"] for r in wrappers.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    deep = "\n".join(["x"] * 5_000 + ["deep"])
+    assert got == {1: deep, 2: "a\nc", 3: deep}
+
+
 def test_wrapper_groups():
     of = lambda page: wrappers.skeleton(wrappers.parse(page))
     both = wrappers._merged(of("<ul><li>a</li><li>b</li></ul><p>x</p>"), of("<ul><li>a<i>k</i></li></ul><h2>t</h2><p>x</p>"))

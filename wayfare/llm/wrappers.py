@@ -23,7 +23,7 @@ from wayfare.session import settle
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(script|style|noscript|template|textarea|iframe|svg|select|title)\b[^>]*>.*?(?:</\1\s*>|\Z)"
+    r"|<(script|style|noscript|template|textarea|iframe|title)\b[^>]*>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)",
     re.S | re.I,
 )
@@ -36,7 +36,7 @@ BLOCKS = frozenset(
 # An opening tag ends an open element of these kinds, up to the nearest of the holders.
 ENDS = {"p": frozenset({"p"}), "li": frozenset({"li"}), "dt": frozenset({"dt", "dd"}), "dd": frozenset({"dt", "dd"}), "tr": frozenset({"tr", "td", "th"}), "td": frozenset({"td", "th"}), "th": frozenset({"td", "th"}), "option": frozenset({"option"})}
 HOLDERS = frozenset("html body article section main div ul ol dl table form aside nav footer header blockquote".split())
-OUTSIDE = frozenset("nav aside footer form button menu dialog fieldset input label object embed audio video canvas".split())
+OUTSIDE = frozenset("nav aside footer form button menu dialog fieldset input label object embed audio video canvas select svg".split())
 # Words in class, id or role that mark what is not the article.
 MARKED = frozenset(
     "ad ads advert advertisement adverts adsbygoogle sponsored sponsor promo banner sidebar comments comment respond discussion disqus notice notices cookie"
@@ -45,6 +45,8 @@ MARKED = frozenset(
 )
 ARTICLE = frozenset("articlebody article-body post-content entry-content article-content story-body main-content".split())
 SALTS = 16
+# Levels of a skeleton; what lies deeper is one text slot there.  Pages themselves are read at any depth.
+LEVELS = 64
 
 
 class Element:
@@ -111,14 +113,16 @@ def outside(e: Element, in_article: bool) -> bool:
 # A skeleton node: [kind, flags, children]; flags hold "+" and "?"; "#" is a text slot.
 
 
-def skeleton(e: Element) -> list:
-    """The union-free expression of one page."""
+def skeleton(e: Element, levels: int = LEVELS) -> list:
+    """The union-free expression of one page, ``levels`` deep."""
+    if not levels:
+        return [e.kind, "", [["#", "", []]] if e.children else []]
     nodes: list = []
     for child in e.children:
         if isinstance(child, str):
             node = ["#", "", []] if child.strip() else None
         else:
-            node = skeleton(child)
+            node = skeleton(child, levels - 1)
         if node is None:
             continue
         if nodes and nodes[-1][0] == node[0]:
@@ -209,12 +213,16 @@ def _find(e: Element, path: tuple[str, ...]) -> list[Element]:
 def _densest(root: Element) -> list[Element]:
     """Without a known container: the deepest element that holds most of the text outside of what is marked."""
 
-    def text(e: Element) -> int:
-        return sum(len(c.strip()) if isinstance(c, str) else 0 if outside(c, False) else text(c) for c in e.children)
-
-    here, whole = root, text(root)
+    order = [root]
+    for e in order:
+        order += [c for c in e.children if not isinstance(c, str) and not outside(c, False)]
+    size: dict[Element, int] = {}
+    # Every element comes after the one that holds it.
+    for e in reversed(order):
+        size[e] = sum(len(c.strip()) if isinstance(c, str) else size.get(c, 0) for c in e.children)
+    here, whole = root, size[root]
     while True:
-        inner = [c for c in here.children if not isinstance(c, str) and c.name in BLOCKS and not outside(c, False) and text(c) > 0.6 * whole]
+        inner = [c for c in here.children if not isinstance(c, str) and c.name in BLOCKS and size.get(c, 0) > 0.6 * whole]
         if not inner or inner[0].name in ("p", "pre"):
             return [here]
         here = inner[0]
@@ -231,23 +239,26 @@ def blocks(e: Element) -> list[str]:
             out.append(text)
         part.clear()
 
-    def walk(x: Element) -> None:
-        for c in x.children:
+    # Open elements: what is left of their children, and whether they are blocks.  Pages may be nested deeper than calls may be.
+    stack = [(iter(e.children), True)]
+    while stack:
+        rest, block = stack[-1]
+        for c in rest:
             if isinstance(c, str):
                 part.append(c)
             elif c.name == "br":
                 part.append("\n")
             elif outside(c, True):
                 close()
-            elif c.name in BLOCKS:
-                close()
-                walk(c)
-                close()
             else:
-                walk(c)
-
-    walk(e)
-    close()
+                if c.name in BLOCKS:
+                    close()
+                stack.append((iter(c.children), c.name in BLOCKS))
+                break
+        else:
+            stack.pop()
+            if block:
+                close()
     return out
 
 
@@ -298,7 +309,7 @@ def _read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def extracted(pages: DataFrame) -> DataFrame:
     """page_id, url, text of every row of ``pages``.
 
-    Null or empty html gives the empty text; a null url belongs to the host ''; rows that repeat give a row each;
+    Null or empty html gives the empty text; elements may be nested to any depth; a null url belongs to the host ''; rows that repeat give a row each;
     other columns are not read; an empty table gives no rows.
     """
     by_host = settle(wrappers(pages)).select(F.col("host").alias("w_host"), "wrapper")
