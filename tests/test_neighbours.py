@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wayfare.functions.ranks import profile_values
+from wayfare.functions.ranks import cumulative_counts, even_slices, profile_values
 from wayfare.operators import neighbours, snapshots
 from wayfare.sources.log import open_log
 
@@ -55,6 +55,15 @@ def test_spread_of_large_close_values(spark):
     assert got["std"] == pytest.approx(values.std(ddof=1), rel=1e-4)
 
 
+def test_close_values_spread_over_slices(spark):
+    values = [i * 1e-9 for i in range(4_000)]
+    df = spark.createDataFrame([(v, "ab"[i % 2]) for i, v in enumerate(values)], "v double, g string")
+    sizes = [r["count"] for r in even_slices(df, ["v"]).groupBy("slice").count().collect()]
+    assert len(sizes) == 2 and max(sizes) < 2_600
+    got = {(r["g"], r["v"]): (r["upto"], r["total"]) for r in cumulative_counts(df.union(df), "v", by=("g",)).collect()}
+    assert got == {("ab"[i % 2], v): (2 * (i // 2 + 1), 4_000) for i, v in enumerate(values)}
+
+
 def test_events_without_a_name_stay(spark):
     at = lambda h: dt.datetime(2024, 1, 1, h)
     rows = [("a", at(0), "browse", 4), ("a", at(1), None, 11), ("a", at(2), "checkout", 6), ("a", at(3), "order_shipped", 28)]

@@ -1,8 +1,8 @@
 """Exact ranks and quantiles without a global sort in one task.
 
-Equal values are counted first, the distinct values are cut into slices that
-follow the value order, and counts are accumulated slice by slice.  No task sees
-more than one slice of the distinct values.
+Equal values are counted first, the distinct values are dealt by range into even
+slices that follow the value order, and counts are accumulated slice by slice.  No
+task sees more than one slice of the distinct values.
 """
 
 from __future__ import annotations
@@ -13,17 +13,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayfare.functions.ordered import SLICE, Step, along_slices, running_sum, total_sum
+from wayfare.session import settle
 
-# Slices per doubling of 1 + |value|; scores in [0, 1] span a single doubling.
-SLICES_PER_OCTAVE = 1_024
-SCORE_SLICES = 65_536
-_OFFSET = 1 << 23
 
+def even_slices(rows: DataFrame, order: Sequence[str]) -> DataFrame:
+    """``rows`` with a slice that follows ``order``, written once.
 
-def value_slice(value: Column, per_octave: int = SLICES_PER_OCTAVE) -> Column:
-    """Non-negative integer that never decreases as ``value`` grows."""
-    size = F.floor(F.log2(F.lit(1.0) + F.abs(value)) * per_octave)
-    return (F.lit(_OFFSET) + F.when(value < 0, -size - 1).otherwise(size)).cast("int")
+    Spark samples the rows for the bounds of the slices, so these are even however the values lie.
+    """
+    slices = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return settle(rows.repartitionByRange(slices, *order).withColumn(SLICE, F.spark_partition_id()))
 
 
 def sliced_running(
@@ -32,19 +31,16 @@ def sliced_running(
     steps: Mapping[str, Step],
     *,
     by: Sequence[str] = (),
-    per_octave: int = SLICES_PER_OCTAVE,
 ) -> DataFrame:
     """Ordered steps over distinct values (``counts`` holds one row per by + value)."""
     key = list(by) or ["_all"]
     rows = counts if by else counts.withColumn("_all", F.lit(0))
-    rows = rows.withColumn(SLICE, value_slice(F.col(value), per_octave))
+    rows = even_slices(rows, [*by, value])
     out = along_slices(rows, steps, key=key, order=[value]).drop(SLICE)
     return out if by else out.drop("_all")
 
 
-def cumulative_counts(
-    df: DataFrame, value: str, *, by: Sequence[str] = (), per_octave: int = SLICES_PER_OCTAVE
-) -> DataFrame:
+def cumulative_counts(df: DataFrame, value: str, *, by: Sequence[str] = ()) -> DataFrame:
     """by, value, n, upto (rows with value <= this one), total, amount (sum of all values)."""
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
     steps = {
@@ -52,7 +48,7 @@ def cumulative_counts(
         "total": total_sum(F.col("n")),
         "amount": total_sum(F.col("n") * F.col(value).cast("double")),
     }
-    return sliced_running(counts, value, steps, by=by, per_octave=per_octave)
+    return sliced_running(counts, value, steps, by=by)
 
 
 def profile_values(
@@ -61,10 +57,9 @@ def profile_values(
     quantiles: Mapping[str, float],
     *,
     by: Sequence[str] = (),
-    per_octave: int = SLICES_PER_OCTAVE,
 ) -> DataFrame:
     """n, mean, sample std, min, max and exact linear-interpolated quantiles per group."""
-    table = cumulative_counts(df, value, by=by, per_octave=per_octave)
+    table = cumulative_counts(df, value, by=by)
     v, n = F.col(value).cast("double"), F.col("n")
     aggregates = [
         F.sum("n").alias("n_rows"),

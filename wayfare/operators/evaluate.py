@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from wayfare.functions.columns import calibration_bin, clip, uniform
 from wayfare.functions.ordered import SLICE, along_slices, nth, running_sum, total_sum
-from wayfare.functions.ranks import SCORE_SLICES, cumulative_counts, profile_values, sliced_running
+from wayfare.functions.ranks import cumulative_counts, profile_values, sliced_running
 from wayfare.session import settle
 
 EDGE = 1e-6
@@ -45,7 +45,7 @@ def rank_metrics(df: DataFrame, *by: str, p: str = "p", label: str = "label") ->
         "pos_all": total_sum(F.col("pos")),
         "neg_all": total_sum(F.col("neg")),
     }
-    table = sliced_running(counts, "_p", steps, by=by, per_octave=SCORE_SLICES)
+    table = sliced_running(counts, "_p", steps, by=by)
     above_pos = F.col("pos_all") - F.col("pos_upto") + F.col("pos")
     above_neg = F.col("neg_all") - F.col("neg_upto") + F.col("neg")
     wins = F.col("pos").cast("double") * (F.col("neg_upto") - F.col("neg") / 2)
@@ -99,7 +99,7 @@ def prediction_summary(long: DataFrame, template: DataFrame, *, by: str = "model
         F.bool_and(F.col("_want").eqNullSafe(F.col("ordinal"))).alias("_same"),
     )
     total = template.select(F.count(F.lit(1))).scalar()
-    stats = profile_values(long, p, {"p50": 0.5, "p90": 0.9, "p99": 0.99}, by=(by,), per_octave=SCORE_SLICES)
+    stats = profile_values(long, p, {"p50": 0.5, "p90": 0.9, "p99": 0.99}, by=(by,))
     return (
         counts.join(placed, by)
         .join(stats.drop("n"), by)
@@ -120,7 +120,7 @@ def score_diagnostics(df: DataFrame, *by: str, p: str = "p", prevalence: float)
 
 def ecdf(df: DataFrame, *by: str, p: str = "p") -> DataFrame:
     """Share of rows at or below each distinct score."""
-    table = cumulative_counts(df, p, by=by, per_octave=SCORE_SLICES)
+    table = cumulative_counts(df, p, by=by)
     return table.select(*by, p, "n", (F.col("upto") / F.col("total")).alias("share"))
 
 
@@ -129,7 +129,7 @@ def risk_curve(df: DataFrame, *by: str, p: str = "p", points: int = 2_000, top:
 
     Ranks come from the counts of distinct scores; rows are never sorted.
     """
-    table = cumulative_counts(df, p, by=by, per_octave=SCORE_SLICES)
+    table = cumulative_counts(df, p, by=by)
     stride = F.greatest(F.lit(1), F.floor(F.col("total") / points)).cast("long")
     first = F.col("total") - F.col("upto")
     last = first + F.col("n") - 1
@@ -147,7 +147,7 @@ def spearman(wide: DataFrame, models: Sequence[str]) -> DataFrame:
     long = wide.select(
         "id", F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.col(m).alias("p")) for m in models])).alias("e")
     ).select("id", "e.model", "e.p")
-    table = cumulative_counts(long, "p", by=("model",), per_octave=SCORE_SLICES)
+    table = cumulative_counts(long, "p", by=("model",))
     ranks = settle(table.select("model", "p", (F.col("upto") - (F.col("n") - 1) / 2).alias("rank")))
     out = wide.select("id", *models)
     for i, m in enumerate(models):
@@ -170,7 +170,7 @@ def score_by_current_state(wide: DataFrame, models: Sequence[str], *, top: int =
     long = wide.join(best, state, "left_semi").select(
         state, F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.col(m).alias("p")) for m in models])).alias("e")
     ).select("e.model", state, "e.p")
-    stats = profile_values(long, "p", {"median": 0.5}, by=("model", state), per_octave=SCORE_SLICES)
+    stats = profile_values(long, "p", {"median": 0.5}, by=("model", state))
     return stats.select(
         "model", state, F.col("mean").alias("mean_probability"), F.col("median").alias("median_probability"), "n"
     )
