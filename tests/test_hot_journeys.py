@@ -22,6 +22,7 @@ from wayfare.functions.ordered import (
 )
 from wayfare.operators import assemble, clean, snapshots, transitions
 from wayfare.sources import adapters
+from wayfare.sources.log import open_log
 
 DAY = 86_400
 
@@ -58,6 +59,23 @@ def test_every_step(logs):
     same(lambda log: along(log.events, steps).drop("slice"), logs)
 
 
+def test_part_of_a_log(logs):
+    keep = ("id", "event_name", "ed_id", "ts_us")
+    same(lambda log: log.of(log.events.where("ed_id = 4").select("id").distinct()).events, logs, *keep)
+    hot = logs[1].hot.select("id")
+    same(lambda log: log.of(hot).events, logs, *keep)
+    assert logs[1].of(hot).events.where("slice IS NULL").count() == 0
+
+
+def test_burst_is_cut_evenly(spark):
+    start = 1_700_000_000_000_000
+    times = [start - 10 * 365 * DAY * 1_000_000, *(start + 15_000 * i for i in range(4_000))]
+    rows = spark.createDataFrame([("a", t, "view", 4) for t in times] + [("b", start, "view", 4)], "id string, t long, event_name string, ed_id long")
+    log = open_log(rows.select("id", F.timestamp_micros("t").alias("event_timestamp"), "event_name", "ed_id"), hot_rows=1_000)
+    sizes = [r["count"] for r in log.events.where("slice IS NOT NULL").groupBy("id", "slice").count().collect()]
+    assert sum(sizes) == len(times) and len(sizes) > 50 and max(sizes) < 200
+
+
 def test_journeys_and_gaps(logs):
     same(lambda log: clean.renumber_steps(log).drop("slice"), logs)
     same(clean.interevent_gaps, logs)

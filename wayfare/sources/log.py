@@ -12,13 +12,10 @@ from wayfare.session import settle
 
 # A journey above this many rows is cut into time slices.
 HOT_ROWS = 2_000_000
-# Slices aimed at per HOT_ROWS rows, and the most for one journey.
+# Slices aimed at per HOT_ROWS rows.
 SLICES_PER_HOT_ROWS = 16
-MAX_SLICES = 65_536
 # Rows aimed at per task when the log is placed; more tasks than configured are used if needed.
 ROWS_PER_TASK = 4_000_000
-# Up to this many hot journeys the profile is kept as a local relation.
-LOCAL_HOT_JOURNEYS = 10_000
 
 EVENT_COLUMNS = ("id", "event_timestamp", "event_name", "ed_id")
 
@@ -26,7 +23,7 @@ EVENT_COLUMNS = ("id", "event_timestamp", "event_name", "ed_id")
 @dataclass(frozen=True)
 class JourneyLog:
     """``events``: id, event_timestamp, event_name, ed_id, ts_us (and slice when some
-    journeys are hot).  ``hot``: id, lo_us, width_us of the journeys that were cut.
+    journeys are hot).  ``hot``: id and bounds (in blocks) of the journeys that were cut.
     ``end_us``: last event time of the whole raw log, kept by every subset of it."""
 
     events: DataFrame
@@ -41,8 +38,15 @@ class JourneyLog:
         return self.with_events(self.events.where(condition))
 
     def of(self, ids: DataFrame) -> JourneyLog:
-        """Only the journeys listed in ``ids``."""
-        return self.with_events(self.events.join(ids.select("id"), "id", "left_semi"))
+        """Only the journeys listed in ``ids``; cut journeys keep their placement by slice."""
+        ids = ids.select("id")
+        if SLICE not in self.events.columns:
+            return self.with_events(self.events.join(ids, "id", "left_semi"))
+        ordinary = self.events.where(F.col(SLICE).isNull()).drop(SLICE).join(ids, "id", "left_semi")
+        cut = self.events.where(F.col(SLICE).isNotNull())
+        # One row per slice meets the ids, never the events of a whole journey.
+        slices = cut.select("id", SLICE).distinct().join(ids, "id", "left_semi")
+        return self.with_events(both_branches(ordinary, cut.join(slices, ["id", SLICE], "left_semi")))
 
     def end(self) -> Column:
         """Dataset end in microseconds."""
@@ -80,14 +84,12 @@ def open_log(events: DataFrame, *, deduplicate: bool = True, hot_rows: int = HOT
         F.col("event_name").cast("string").alias("event_name"),
         F.col("ed_id").cast("long").alias("ed_id"),
     )
-    spans = rows.groupBy("id").agg(
-        F.count(F.lit(1)).alias("n"), F.min("ts_us").alias("lo_us"), F.max("ts_us").alias("hi_us")
-    )
+    spans = rows.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.max("ts_us").alias("hi_us"))
     # One map-side-combined pass over two columns tells the size and end of the log and its longest journey.
     found = spans.agg(
         F.max("hi_us").alias("end_us"), F.max("n").alias("longest"), F.sum("n").alias("rows")
     ).first()
-    hot = _hot_journeys(spans, hot_rows) if (found.longest or 0) > hot_rows else None
+    hot = _hot_journeys(rows, spans, hot_rows, found.longest) if (found.longest or 0) > hot_rows else None
     tasks = -(-(found.rows or 0) // ROWS_PER_TASK)
     if hot is None:
         return JourneyLog(_placed(rows, ["id"], tasks, deduplicate), None, found.end_us)
@@ -114,24 +116,29 @@ def _placed(rows: DataFrame, part: list[str], tasks: int, deduplicate: bool) ->
     )
 
 
-def _hot_journeys(spans: DataFrame, hot_rows: int) -> DataFrame:
-    """(id, lo_us, width_us) of journeys above ``hot_rows`` rows: at most rows / hot_rows of them."""
-    spans = spans.where(F.col("n") > hot_rows)
-    pieces = F.least(
-        F.lit(MAX_SLICES), F.greatest(F.lit(2), F.ceil(F.col("n") * SLICES_PER_HOT_ROWS / F.lit(hot_rows)))
-    )
-    spans = spans.select(
-        "id", "lo_us", F.floor((F.col("hi_us") - F.col("lo_us")) / pieces + 1).cast("long").alias("width_us")
-    )
-    found = spans.limit(LOCAL_HOT_JOURNEYS + 1).collect()
-    if len(found) <= LOCAL_HOT_JOURNEYS:
-        # Counted above: small enough to send everywhere, so huge journeys are told apart before any shuffle.
-        return F.broadcast(spans.sparkSession.createDataFrame(found, spans.schema))
-    # More than that: the planner decides by file size, AQE splits what stays skewed.
-    return settle(spans)
+def _hot_journeys(rows: DataFrame, spans: DataFrame, hot_rows: int, longest: int) -> DataFrame:
+    """(id, blocks) of journeys above ``hot_rows`` rows: the times at which a journey is cut, about evenly by its rows.
+
+    The bounds are approximate quantiles of the event times, so a burst is cut as finely as it is long.  They come in
+    blocks, so that a lookup reads about the square root of their number.
+    """
+    pieces = F.greatest(F.lit(2), F.ceil(F.col("n") * SLICES_PER_HOT_ROWS / F.lit(hot_rows)))
+    ids = settle(spans.where(F.col("n") > hot_rows).select("id", pieces.cast("long").alias("pieces")))
+    most = max(2, -(-longest * SLICES_PER_HOT_ROWS // hot_rows))
+    at = F.percentile_approx("ts_us", [i / most for i in range(1, most)], 10 * most)
+    cuts = rows.join(ids, "id").groupBy("id", "pieces").agg(at.alias("at"))
+    # The longest journey keeps all bounds, a shorter one every so many.
+    picked = F.filter("at", lambda _, i: F.floor((i + 1) * F.col("pieces") / most) > F.floor(i * F.col("pieces") / most))
+    cuts = cuts.select("id", F.array_distinct(picked).alias("at")).where(F.size("at") > 0)
+    step = F.ceil(F.sqrt(F.size("at"))).cast("int")
+    starts = F.sequence(F.lit(1), F.size("at"), step)
+    return settle(cuts.select("id", F.transform(starts, lambda k: F.slice("at", k, step)).alias("blocks")))
 
 
 def _with_slice(rows: DataFrame, hot: DataFrame, time_us: str) -> DataFrame:
-    """Slice of rows of cut journeys."""
-    place = F.floor((F.col(time_us) - F.col("lo_us")) / F.col("width_us")).cast("int")
-    return rows.join(hot, "id").withColumn(SLICE, F.greatest(F.lit(0), place)).drop("lo_us", "width_us")
+    """Slice of rows of cut journeys: the number of bounds at or before their time."""
+    before = lambda bound: bound <= F.col(time_us)
+    block = F.size(F.filter("blocks", lambda b: before(b[0])))
+    inside = F.size(F.filter(F.get("blocks", block - 1), before))
+    place = F.when(block > 0, (block - 1) * F.size(F.get("blocks", F.lit(0))) + inside).otherwise(0)
+    return rows.join(hot, "id").withColumn(SLICE, F.coalesce(place, F.lit(0))).drop("blocks")
