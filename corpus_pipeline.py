@@ -9,7 +9,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wayfare.llm import mixing, packing, quality_rules, secrets, simhash
+from wayfare.llm import mixing, near_copies, packing, quality_rules, secrets
 from wayfare.llm.queries import ORACLES as OPERATOR_ORACLES
 from wayfare.llm.queries import QUERIES as OPERATOR_QUERIES
 from wayfare.llm.queries import table, tokenizer_path
@@ -23,9 +23,9 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: the one with the smallest id."""
+    """One document of each group of near duplicates (0.8 or more of their five-word shingles) stays: the one with the smallest id."""
     ship_package(spark)
-    return simhash.deduplicated(docs)
+    return near_copies.deduplicated(docs)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

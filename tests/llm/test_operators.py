@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from wayfare.llm import fingerprints, graph, mixing, packing, quality_classifier, quality_rules, secrets, sharding, simhash, suffix_dedup, wrappers
+from wayfare.llm import fingerprints, graph, mixing, near_copies, packing, quality_classifier, quality_rules, secrets, sharding, simhash, suffix_dedup, wrappers
 from wayfare.llm.queries import QUERIES, tokenizer_path
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -153,6 +153,32 @@ def test_simhash_links_in_small_blocks(spark):
         assert all(len(set(s)) == 1 for s in sets.values()) and len({s[0] for s in sets.values()}) == len(sets)
 
 
+def test_dedup_stage_keeps_one_of_near_copies(spark):
+    rng = np.random.default_rng(11)
+    texts = []
+    for g in range(12):
+        base = [f"g{g}w{i}" for i in range(240)]
+        # Three scattered edits change at most 15 of 236 shingles of a text: pairs are 0.77 to 0.94 alike.
+        for edits in (0, 3, 3, 4, 9):
+            w = list(base)
+            for k in rng.choice(240, edits, replace=False):
+                w[k] = f"e{rng.integers(1 << 40)}"
+            texts.append(" ".join(w))
+    texts += ["", None, "one", " ".join(texts[0].upper().split())]
+    sets = [set(near_copies.shingle_set(t).tolist()) for t in texts]
+    grams = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(split, texts[:60])]
+    assert [len(s) for s in sets[:60]] == [len(g) for g in grams]
+    alike = lambda a, b: a == b or len(a & b) >= 0.8 * max(1, len(a | b))
+    groups = brute_groups(sets, alike)
+    frame = spark.createDataFrame([(100 - i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)], DOCS)
+    want = {min(100 - i for i, g in enumerate(groups) if g == x) for x in set(groups)}
+    assert {r["doc_id"] for r in corpus_pipeline.dedup_stage(spark, frame, "").collect()} == want
+    assert len(want) < simhash.deduplicated(frame).count()
+    # Blocks of few rows give the same groups.
+    small = near_copies.grouped(frame, block=2, sets=2).groupBy("group").agg(F.min("doc_id").alias("d")).collect()
+    assert {r["d"] for r in small} == want
+
+
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(1000, 1000 + i) for i in range(60)] + [(7, 7)]
     got = {r["node"]: r["root"] for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -186,10 +186,15 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     """
     rows = grouped(fingerprinted(docs))
     # Groups without any id are told apart by their fingerprint.
-    group = ["component_id", F.when(F.col("component_id").isNull(), F.col("fingerprint")).alias("none")]
+    none = F.when(F.col("component_id").isNull(), F.col("fingerprint"))
+    return first_rows(docs, rows.withColumn("none", none), ["component_id", "none"])
+
+
+def first_rows(docs: DataFrame, rows: DataFrame, group: list[str]) -> DataFrame:
+    """One row of ``docs`` for each group of ``rows`` (doc_id, row_key and the columns ``group``)."""
     equal = rows.groupBy(*group, "doc_id", "row_key").agg(F.count(F.lit(1)).alias("n"))
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_key", "n")
-    best = equal.groupBy("component_id", "none").agg(F.min(order).alias("best"))
+    best = equal.groupBy(*group).agg(F.min(order).alias("best"))
     kept = settle(best.select(F.col("best.doc_id").alias("k_id"), F.col("best.row_key").alias("k_key"), F.col("best.n").alias("k_n")))
     names = [F.col(f"`{c}`") for c in docs.columns]
     keyed = docs.select(F.struct(*names).alias("row"), F.col("doc_id").alias("id__"), F.xxhash64(*names).alias("key__"))
