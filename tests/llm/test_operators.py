@@ -392,6 +392,19 @@ def test_quality_rules(spark, docs, empty):
     assert clean[3] == own(3) and clean[205] == rows[36][1] and 100 not in clean
 
 
+def test_frequent_lines_are_longest_or_beside_copies(spark):
+    letters = str.maketrans("0123456789", "abcdefghij")
+    own = lambda i, n=12: "\n".join(" ".join(f"u{i}k{j}n{k}" for j in range(5)) for k in range(n)).translate(letters)
+    legal = "this long legal paragraph is longer than any other line of the short texts that carry it"
+    rows = [(i, f"{own(i)}\n{legal}", "en", "a", 1) for i in range(25)]
+    # Many copies of one text beside different texts with the same line; copies alone count once.
+    rows += [(100 + i, f"menu line\n{own(100 + i)}", "en", "b", 1) for i in range(25)]
+    rows += [(200 + i, f"menu line\n{own(999)}", "en", "b", 1) for i in range(100)]
+    rows += [(400 + i, f"copied line\n{own(998)}", "en", "c", 1) for i in range(100)]
+    clean = {r["doc_id"]: r["text"] for r in quality_rules.without_frequent_lines(spark.createDataFrame(rows, DOCS)).collect()}
+    assert clean == {i: "\n".join(x for x in t.split("\n") if x not in (legal, "menu line")) for i, t, *_ in rows}
+
+
 def test_mixing(spark, docs, empty):
     got = mixing.mixed(docs).collect()
     assert Counter((r["row"]["doc_id"], r["size"]) for r in got) == Counter((r[0], len(split(r[1]))) for r in odd_rows())

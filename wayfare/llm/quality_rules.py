@@ -3,10 +3,8 @@
 Normalised lines are hashed, distinct documents are counted per (host, line), lines above the limits
 are removed, and a document that loses most of its words is rejected.
 
-Copies of one text must not make its lines look like boilerplate.  A document is therefore counted by
-its longest line: however many copies carry a line, they share that longest line and count once or a few
-times.  A line is boilerplate if it is found under at least ``min_contexts`` longest lines that
-are not itself, and these are at least ``min_spread`` of the documents that carry it.
+Copies of one text must not make its lines look like boilerplate, so documents with equal texts count once.  A line is
+boilerplate if at least ``min_contexts`` different texts of its host carry it, however many other documents do.
 
 Only DataFrame functions; no row of text is shuffled for the verdicts.
 """
@@ -24,11 +22,10 @@ from wayfare.session import settle
 
 @dataclass(frozen=True)
 class LineLimits:
-    """A line is removed when both limits are reached; a document is depleted when fewer than
+    """A line is removed when ``min_contexts`` different texts carry it; a document is depleted when fewer than
     ``min_left`` words stay or more than ``max_removed`` of its words went."""
 
     min_contexts: int = 20
-    min_spread: float = 0.7
     min_left: int = 20
     max_removed: float = 0.7
 
@@ -96,29 +93,25 @@ def document_key(docs: DataFrame) -> list[Column]:
 
 
 def _document_lines(docs: DataFrame) -> DataFrame:
-    """One row per line with a word: its hash, its words, its place, and the longest line of its document."""
+    """One row per line with a word: its hash, its words and its place."""
     entry = lambda x: F.struct(normal_line(x).alias("line"))
     hashed = lambda e: F.struct(
-        F.length(e["line"]).alias("size"), F.xxhash64(e["line"]).alias("line"), F.size(F.split(e["line"], " ")).cast("long").alias("words")
+        F.xxhash64(e["line"]).alias("line"), F.size(F.split(e["line"], " ")).cast("long").alias("words")
     )
     lines = F.transform(F.transform(_lines(docs["text"]), entry), hashed)
-    rows = docs.select(*document_key(docs), docs["source"].alias("host"), lines.alias("lines"))
-    rows = rows.select("key_id", "key_text", "host", F.array_max("lines")["line"].alias("longest"), F.posexplode("lines").alias("place", "e"))
-    return rows.select("key_id", "key_text", "host", "longest", "place", F.col("e.line").alias("line"), F.col("e.words").alias("words"))
+    rows = docs.select(*document_key(docs), docs["source"].alias("host"), F.posexplode(lines).alias("place", "e"))
+    return rows.select("key_id", "key_text", "host", "place", F.col("e.line").alias("line"), F.col("e.words").alias("words"))
 
 
 def frequent_lines(docs: DataFrame, limits: LineLimits = LineLimits()) -> DataFrame:
-    """host, line (hash), n_docs, n_contexts of the lines above the limits.
+    """host, line (hash), n_contexts (different texts that carry it) of the lines above the limit.
 
-    Counts start with the contexts of a line, so a line that a third of all documents carry is spread over
+    Counts start with the texts of a line, so a line that a third of all documents carry is spread over
     many tasks and arrives in the last one as one number per task.  A null host is a host.
     """
-    once = _document_lines(docs).groupBy("host", "line", "longest", "key_id", "key_text").agg(F.count(F.lit(1)).alias("n"))
-    contexts = once.groupBy("host", "line", "longest").agg(F.count(F.lit(1)).alias("n"))
-    counted = contexts.groupBy("host", "line").agg(
-        F.sum("n").alias("n_docs"), F.count(F.when(F.col("longest") != F.col("line"), 1)).alias("n_contexts")
-    )
-    return counted.where((F.col("n_contexts") >= limits.min_contexts) & (F.col("n_contexts") >= limits.min_spread * F.col("n_docs")))
+    once = _document_lines(docs).groupBy("host", "line", "key_text").agg(F.count(F.lit(1)).alias("n"))
+    counted = once.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n_contexts"))
+    return counted.where(F.col("n_contexts") >= limits.min_contexts)
 
 
 def line_losses(docs: DataFrame, limits: LineLimits = LineLimits()) -> DataFrame:
