@@ -252,6 +252,21 @@ def test_wrappers_at_any_depth(spark):
     assert got == {1: deep, 2: "a\nc", 3: deep}
 
 
+def test_wrappers_read_whole_pages_of_all_templates():
+    list_ = "<ul>" + "<li>item of a long list</li>" * 9 + "</ul>"
+    pages = {
+        f"<body><div class=text><h1>T</h1><p>intro</p>{list_}</div></body>": ["T", "intro", *["item of a long list"] * 9],
+        "<body><div id=p17><h2>teaser</h2><main><p>one</p></main></div></body>": ["one"],
+        "<body><div id=p18><h2>teaser</h2><main><p>two</p></main></div></body>": ["two"],
+        "<body><h2>teaser</h2><div class=content><p>three</p><div class=post>in it</div></div></body>": ["three", "in it"],
+        "<body><h2>teaser</h2><div class=post><p>four</p></div></body>": ["four"],
+        "<body><h2>teaser</h2><article><p>five</p></article></body>": ["five"],
+    }
+    found = wrappers.wrapper(wrappers.json.dumps(wrappers.skeleton(wrappers.parse(p))) for p in pages)
+    paths = wrappers.article_paths(found)
+    assert {p: wrappers.read_page(p, paths).split("\n") for p in pages} == pages
+
+
 def test_wrapper_groups():
     of = lambda page: wrappers.skeleton(wrappers.parse(page))
     both = wrappers._merged(of("<ul><li>a</li><li>b</li></ul><p>x</p>"), of("<ul><li>a<i>k</i></li></ul><h2>t</h2><p>x</p>"))

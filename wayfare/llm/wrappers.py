@@ -44,6 +44,7 @@ MARKED = frozenset(
     " navigation pagination pager footer masthead toolbar widget skip login search".split()
 )
 ARTICLE = frozenset("articlebody article-body post-content entry-content article-content story-body main-content".split())
+HOLDING = ARTICLE | {"content", "main", "post"}
 SALTS = 16
 # Levels of a skeleton; what lies deeper is one text slot there.  Pages themselves are read at any depth.
 LEVELS = 64
@@ -52,15 +53,17 @@ LEVELS = 64
 class Element:
     __slots__ = ("children", "kind", "marks", "name")
 
-    def __init__(self, name: str, marks: frozenset[str] = frozenset()):
+    def __init__(self, name: str, marks: frozenset[str] = frozenset(), kinds: frozenset[str] | None = None):
         self.name, self.marks, self.children = name, marks, []
-        self.kind = name if name != "div" and name != "section" and name != "span" else ".".join([name, *sorted(marks)])
+        self.kind = name if name != "div" and name != "section" and name != "span" else ".".join([name, *sorted(marks if kinds is None else kinds)])
 
 
-def _marks(attributes: str) -> frozenset[str]:
+def _marks(attributes: str) -> tuple[frozenset[str], frozenset[str]]:
+    """Words of all marks, and of those that make the kind: an id that is not known as an article's often names one page only."""
     if "=" not in attributes:
-        return frozenset()
-    return frozenset(w for m in MARKS.finditer(attributes) for w in (m[2] or m[3] or m[4] or "").lower().split())
+        return frozenset(), frozenset()
+    found = [(m[1].lower(), w) for m in MARKS.finditer(attributes) for w in (m[2] or m[3] or m[4] or "").lower().split()]
+    return frozenset(w for _, w in found), frozenset(w for name, w in found if name != "id" or w in MARKED or w in HOLDING)
 
 
 def parse(page: str) -> Element:
@@ -92,7 +95,7 @@ def parse(page: str) -> Element:
                     break
                 if stack[k].name in HOLDERS:
                     break
-        element = Element(name, _marks(m[4]))
+        element = Element(name, *_marks(m[4]))
         stack[-1].children.append(element)
         if name not in VOID and not m[4].rstrip().endswith("/"):
             stack.append(element)
@@ -178,7 +181,7 @@ def wrapper(skeletons: Iterator[str]) -> list:
 
 
 def article_paths(node: list, path: tuple[str, ...] = ()) -> list[tuple[str, ...]]:
-    """Paths in a wrapper to the elements that hold the article: outermost ``article``, else ``main``, else marked containers."""
+    """Paths in a wrapper to the elements that may hold the article: outermost ``article``, then ``main``, then marked containers."""
     found: dict[str, list[tuple[str, ...]]] = {"article": [], "main": [], "marked": []}
 
     def walk(n: list, path: tuple[str, ...]) -> None:
@@ -186,7 +189,7 @@ def article_paths(node: list, path: tuple[str, ...] = ()) -> list[tuple[str, ...
         here = Element(name, frozenset(marks))
         if n[0] != "#page" and outside(here, False):
             return
-        role = name if name in ("article", "main") else "marked" if here.marks & ARTICLE or here.marks & {"content", "main", "post"} else None
+        role = name if name in ("article", "main") else "marked" if here.marks & HOLDING else None
         if role and _slots(n):
             found[role].append((*path, n[0]))
             if role == "article":
@@ -195,7 +198,7 @@ def article_paths(node: list, path: tuple[str, ...] = ()) -> list[tuple[str, ...
             walk(c, (*path, n[0]))
 
     walk(node, path)
-    return found["article"] or found["main"][:1] or found["marked"][:1]
+    return [p for role in ("article", "main", "marked") for p in found[role]]
 
 
 def _slots(n: list) -> bool:
@@ -210,9 +213,8 @@ def _find(e: Element, path: tuple[str, ...]) -> list[Element]:
     return [f for c in e.children if not isinstance(c, str) for f in _find(c, path[1:])]
 
 
-def _densest(root: Element) -> list[Element]:
-    """Without a known container: the deepest element that holds most of the text outside of what is marked."""
-
+def _holder(root: Element) -> list[Element]:
+    """Without a known container: the lowest element that holds all text outside of what is marked."""
     order = [root]
     for e in order:
         order += [c for c in e.children if not isinstance(c, str) and not outside(c, False)]
@@ -221,11 +223,12 @@ def _densest(root: Element) -> list[Element]:
     for e in reversed(order):
         size[e] = sum(len(c.strip()) if isinstance(c, str) else size.get(c, 0) for c in e.children)
     here, whole = root, size[root]
-    while True:
-        inner = [c for c in here.children if not isinstance(c, str) and c.name in BLOCKS and size.get(c, 0) > 0.6 * whole]
+    while whole:
+        inner = [c for c in here.children if not isinstance(c, str) and c.name in BLOCKS and size.get(c, 0) == whole]
         if not inner or inner[0].name in ("p", "pre"):
-            return [here]
+            break
         here = inner[0]
+    return [here]
 
 
 def blocks(e: Element) -> list[str]:
@@ -262,11 +265,26 @@ def blocks(e: Element) -> list[str]:
     return out
 
 
+def _outermost(root: Element, found: list[Element]) -> list[Element]:
+    """``found`` in page order; elements inside another one are read with it."""
+    wanted, out, stack = set(found), [], [root] if found else []
+    while stack:
+        e = stack.pop()
+        if e in wanted:
+            out.append(e)
+        else:
+            stack += [c for c in reversed(e.children) if not isinstance(c, str)]
+    return out
+
+
 def read_page(page: str | None, paths: list[tuple[str, ...]]) -> str:
     """Main text of a page through its host's article paths."""
     root = parse(page or "")
-    holders = [e for p in paths for e in _find(root, p)] or _densest(root)
-    # Elements inside another holder are read with it.
+    # A page is read through the first role that it has; a host may have several templates.
+    roles: dict[str, list[Element]] = {"article": [], "main": [], "marked": []}
+    for p in paths:
+        roles[p[-1] if p[-1] in roles else "marked"] += _find(root, p)
+    holders = _outermost(root, roles["article"] or roles["main"] or roles["marked"]) or _holder(root)
     return "\n".join(b for e in holders for b in blocks(e))
 
 
