@@ -250,8 +250,8 @@ def _(spark, folder):
 
 @query("k_sweep")
 def _(spark, folder):
-    table, labels = sweep_inputs(spark, folder, 2)
-    return k_sweep(table, labels, [2, 3], folds=2, horizon_seconds=H12)
+    table, labels = sweep_inputs(spark, folder, 5)
+    return k_sweep(table, labels, list(range(2, 13)), folds=5, horizon_seconds=H12)
 
 
 @query(
@@ -345,12 +345,12 @@ def learner_scores(spark, folder, make):
 
 @query("rf_scores")
 def _(spark, folder):
-    return learner_scores(spark, folder, lambda c: learn.random_forest(c, trees=30))[3]
+    return learner_scores(spark, folder, learn.random_forest)[3]
 
 
 @query("gbt_scores")
 def _(spark, folder):
-    return learner_scores(spark, folder, lambda c: learn.boosting(c, rounds=15))[3]
+    return learner_scores(spark, folder, learn.boosting)[3]
 
 
 @query("logreg_scores")
@@ -360,12 +360,12 @@ def _(spark, folder):
 
 @query("holdout_accuracy")
 def _(spark, folder):
-    return learn.holdout_accuracy(learner_scores(spark, folder, lambda c: learn.random_forest(c, trees=30))[3])
+    return learn.holdout_accuracy(learner_scores(spark, folder, learn.random_forest)[3])
 
 
 @query("importances")
 def _(spark, folder):
-    model, rows, columns, _scores = learner_scores(spark, folder, lambda c: learn.random_forest(c, trees=30))
+    model, rows, columns, _scores = learner_scores(spark, folder, learn.random_forest)
     return learn.importances(model, columns, rows)
 
 
@@ -377,8 +377,8 @@ def _(spark, folder):
         columns,
         {
             "logistic": learn.logistic(columns),
-            "random_forest": learn.random_forest(columns, trees=30),
-            "boosting": learn.boosting(columns, rounds=10),
+            "random_forest": learn.random_forest(columns),
+            "boosting": learn.boosting(columns),
         },
     )
 
@@ -445,5 +445,4 @@ def _(spark, folder):
         label_horizon_seconds=H12,
         edges=(DAY, 7 * DAY, 14 * DAY),
         success_event="purchase",
-        max_samples=30,
     )

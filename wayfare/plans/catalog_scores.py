@@ -252,7 +252,7 @@ def _(spark, folder):
     features = settle(segments.journey_features(table, segments.top_states(table)))
     columns = [c for c in features.columns if c != "id"]
     train = features.join(rates.journey_speed(table, fitted).select("id", "log_alpha"), "id")
-    model = learn.log_speed_model(train, columns, rounds=10)
+    model = learn.log_speed_model(train, columns)
     predicted = model.transform(features).select("id", "current_state", F.col("predicted_log_alpha").alias("log_alpha"))
     return scoring.speed_score(predicted, fitted, horizon_seconds=H12)
 
