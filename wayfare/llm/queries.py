@@ -7,13 +7,28 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfare.llm import fingerprints, mixing, packing, quality_classifier, quality_rules, secrets, sharding, simhash, suffix_dedup, wrappers
+from wayfare.llm import (
+    byte_pairs,
+    fingerprints,
+    merkle,
+    mixing,
+    packing,
+    quality_classifier,
+    quality_rules,
+    secrets,
+    sharding,
+    simhash,
+    spelling,
+    suffix_dedup,
+    wrappers,
+)
 from wayfare.llm.oracles import MIXING, QUALITY_RULES
 from wayfare.session import ship_package
 
 Plan = Callable[[SparkSession, str], DataFrame]
 
 BYTE_BPE = "byte_bpe_50k.json"
+BYTE_RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
 def tokenizer_path(name: str = BYTE_BPE) -> str:
@@ -108,6 +123,32 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_byte_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    path, pattern = tokenizer_path(BYTE_RANKS), public_tokenizers.PATTERN
+    rows = byte_pairs.encoded(table(spark, folder, "documents").select("doc_id", "text"), path, pattern)
+    return rows.select(
+        F.col("row.doc_id").alias("doc_id"),
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(byte_pairs.decoded(F.col("ids"), path, pattern), 256).alias("decoded_sha256"),
+    )
+
+
+def op12_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variants(table(spark, folder, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op13_merkle(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    tampered = F.translate("text", merkle.UPPER, merkle.LOWER)
+    fifth = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    return merkle.manifest(
+        docs, ["doc_id", "source", "lang", "n_chars", "text"], tree="source", key="doc_id", changed={"text": tampered}, if_changed=fifth
+    )
+
+
 QUERIES: dict[str, Plan] = {
     f.__name__: f
     for f in (
@@ -121,6 +162,9 @@ QUERIES: dict[str, Plan] = {
         op8_secrets,
         op9_quality_rules,
         op10_mixing,
+        op11_byte_pairs,
+        op12_spelling,
+        op13_merkle,
     )
 }
 
