@@ -272,3 +272,18 @@ def test_manifest_query_with_whole_proofs(spark, small):
     assert sorted((tuple(r) for r in got.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified").collect()), key=repr) == plain_manifest(rows, fifth)
     whole = merkle.manifest(spark.read.parquet(f"{small}/documents.parquet"), ["doc_id", "text"], tree="source", key="doc_id", whole=True).collect()
     assert all(h(r["proof"]) == r["proof_sha256"] and r["verified"] for r in whole)
+
+
+def test_suffix_dedup_query_shows_what_stays(spark, small):
+    texts = {r["doc_id"]: (r["text"] or "").encode() for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    got = QUERIES["op6_suffix_dedup"](spark, small).collect()
+    starts = Counter(t[i : i + 400] for t in texts.values() for i in range(len(t) - 399))
+    for r in got:
+        raw = texts[r["doc_id"]]
+        gone = bytearray(len(raw))
+        for i in range(len(raw) - 399):
+            if starts[raw[i : i + 400]] > 1:
+                gone[i : i + 400] = b"\1" * 400
+        kept = bytes(b for b, g in zip(raw, gone, strict=True) if not g)
+        assert (r["n_removed"], r["kept_sha256"]) == (sum(gone), hashlib.sha256(kept).hexdigest())
+        assert r["text"].replace("�", "") == kept.decode(errors="ignore").replace("�", "")

@@ -1,11 +1,14 @@
 """Near-dedup by similarity: long SimHash fingerprints find candidates, exact Jaccard decides.
 
-A text is the set of its word shingles.  Its fingerprint has several 64-bit words, each cut into three segments like the ones
-of ``simhash``; every segment is indexed with one bit wildcarded, and texts meet by equality.  The more words, the more of the pairs at the
-limit share a segment.  Candidates that are also near in the rest of their fingerprints make
-clusters; within a cluster all shingle sets are compared, and what is ``similarity`` alike is linked.
-
-Texts with equal sets meet first.  Buckets and clusters above a block are cut into pairs of blocks; of both only links
+A text is the set of its word shingles.  Its fingerprint has two 64-bit words that check a pair, and further ones that are cut
+into segments; every segment is indexed with one bit wildcarded, like those of ``simhash``, and texts meet by
+equality.  Segments are so long that a bucket holds a few unrelated texts whatever their number, and so many that
+``1 - MISSED`` of the pairs right at the limit share one.  A pair in a bucket is a candidate if its check words differ in
+no more bits than they do for sets at the limit; nothing after that drops it.  Candidates make clusters, within a cluster
+all shingle sets are compared, and what is ``similarity`` alike is linked.
+
+Texts with equal sets meet first, and those with equal check words are candidates at once.  The index is moved once, with nothing
+but the check words.  Buckets and clusters above a block are cut into pairs of blocks; of both only links
 that join two parts are emitted.
 """
 
@@ -25,8 +28,15 @@ from wayfare.session import settle
 
 WIDTH = 5
 SIMILARITY = 0.8
-WORDS = 8
-BLOCK = 1024
+# Share of the pairs at the limit that meet in no segment.
+MISSED = 0.02
+# Words of a fingerprint that check a pair.
+CHECKS = 2
+# Check words in a block of a bucket, and the share of them (1 in SEEN) from which large buckets are known beforehand.
+BLOCK = 4096
+SEEN = 64
+# Buckets up to this size are compared side by side.
+SIDE = 32
 # Texts whose sets are compared in one group.
 SETS = 256
 
@@ -53,7 +63,7 @@ def _mixed(hashes: np.ndarray, word: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def fingerprint(hashes: np.ndarray, words: int = WORDS) -> np.ndarray:
+def fingerprint(hashes: np.ndarray, words: int) -> np.ndarray:
     """``words`` longs: a bit is 1 if it is set in over half of the hashes."""
     counts = np.zeros((words, 64), np.int64)
     for i in range(0, len(hashes), simhash.CHUNK):
@@ -66,33 +76,68 @@ def fingerprint(hashes: np.ndarray, words: int = WORDS) -> np.ndarray:
     return np.packbits(2 * counts > len(hashes), axis=1, bitorder="little").view("<i8").ravel()
 
 
-def prints(docs: DataFrame, *, width: int = WIDTH, words: int = WORDS) -> DataFrame:
-    """doc_id, row_key (tells rows of one id apart by content), node (digest of the shingle set), fingerprint; written once."""
+def _differing(similarity: float) -> float:
+    """Share of bits in which the fingerprints of two sets of one size differ that are ``similarity`` alike."""
+    return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+
+def layout(n: int, similarity: float = SIMILARITY) -> tuple[int, int, int]:
+    """Bits of a segment, segments, words of a fingerprint for ``n`` texts.
+
+    A wildcarded segment has about a fourth as many values as there are texts at most, so unrelated texts in a bucket stay few.
+    """
+    bits = min(max(14, int(np.ceil(np.log2(max(n, 2)))) - 1), 32)
+    p = _differing(similarity)
+    share = (1 - p) ** bits + bits * p * (1 - p) ** (bits - 1)
+    segments = int(np.ceil(np.log(MISSED) / np.log(1 - share)))
+    return bits, segments, CHECKS + -(-segments // (64 // bits))
+
+
+def kin(checks: np.ndarray) -> np.ndarray:
+    """One long for a row of check words."""
+    out = np.zeros(len(checks), np.uint64)
+    for k in range(CHECKS):
+        out = _mixed(out ^ checks[:, k].view(np.uint64), k + 1)
+    return out.view(np.int64)
+
+
+def prints(docs: DataFrame, *, width: int = WIDTH, words: int) -> DataFrame:
+    """doc_id, row_key (tells rows of one id apart by content), node (digest of the shingle set), fingerprint, kin; written once."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            sets = [shingle_set(t, width) for t in frame["text"]]
-            frame["node"] = np.array([xxhash.xxh64_intdigest(s.tobytes(), 42) for s in sets], np.uint64).view(np.int64)
-            frame["fingerprint"] = [fingerprint(s, words) for s in sets]
+            nodes, found = [], []
+            for text in frame["text"]:
+                own = shingle_set(text, width)
+                nodes.append(xxhash.xxh64_intdigest(own.tobytes(), 42))
+                found.append(fingerprint(own, words))
+            frame["node"] = np.array(nodes, np.uint64).view(np.int64)
+            frame["fingerprint"] = found
+            frame["kin"] = kin(np.array(found, np.int64).reshape(-1, words)[:, :CHECKS])
             yield frame.drop(columns="text")
 
     rows = docs.select("doc_id", _row_key(docs).alias("row_key"), docs["text"].cast("string").alias("text"))
-    return settle(rows.mapInPandas(run, f"doc_id {dict(docs.dtypes)['doc_id']}, row_key long, node long, fingerprint array<long>"))
+    return settle(rows.mapInPandas(run, f"doc_id {dict(docs.dtypes)['doc_id']}, row_key long, node long, fingerprint array<long>, kin long"))
 
 
 def _row_key(docs: DataFrame) -> Column:
     return F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns))
 
 
+def _cut(rows: DataFrame, blocks: Column, own: Column, key: str) -> DataFrame:
+    """``rows`` sorted by key and pair of blocks (i, j), each row once for every block its own one is paired with."""
+    placed = rows.withColumn("blocks", blocks).withColumn("own", F.pmod(own, F.col("blocks")).cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    placed = placed.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("own", "other")
+    return placed.repartition(key, "i", "j").sortWithinPartitions(key, "i", "j")
+
+
 def _dealt(rows: DataFrame, key: str, block: int) -> DataFrame:
-    """``rows`` (key, node, ...) sorted by key and pair of blocks (i, j); keys with a single row are left out."""
+    """``rows`` (key, node, ...) cut by the exact sizes of their keys; keys with a single row are left out."""
     sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    sizes = settle(sizes.select(F.col(key).alias("k__"), F.ceil(F.col("n") / block).cast("int").alias("blocks")))
+    sizes = settle(sizes.select(F.col(key).alias("k__"), F.ceil(F.col("n") / block).cast("int").alias("blocks__")))
     cut = rows.join(sizes, F.col(key) == F.col("k__")).drop("k__")
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    placed = cut.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
-    placed = placed.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("own", "other")
-    return placed.repartition(key, "i", "j").sortWithinPartitions(key, "i", "j", "node")
+    return _cut(cut, F.col("blocks__"), F.xxhash64("node"), key).drop("blocks__")
 
 
 def _by_group(key: str, find: Callable[[pd.DataFrame], list]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
@@ -132,27 +177,48 @@ class _Parts:
 
 def most_bits(similarity: float, bits: int) -> int:
     """Bits of ``bits`` in which two sets that are ``similarity`` alike differ at most: the mean and four deviations."""
-    p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    p = _differing(similarity)
     return int(bits * p + 4 * np.sqrt(bits * p * (1 - p)) + 1)
 
 
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
+
+
 def _bucket_links(frame: pd.DataFrame, most: int) -> list[tuple[int, int]]:
-    """Links in buckets, nearest first, so that a link is only left out for nearer ones."""
-    key, i, j, node = (frame[c].to_numpy() for c in ("key", "i", "j", "node"))
-    word = frame["word"].to_numpy(np.int64).view(np.uint64)
+    """Candidates in sorted buckets (key, i, j), at least as many as connect what they connect."""
+    if not len(frame):
+        return []
+    key, i, j = (frame[c].to_numpy() for c in ("key", "i", "j"))
+    checks = np.stack([frame[f"f{k}"].to_numpy(np.int64) for k in range(CHECKS)], axis=1)
+    of = kin(checks)
+    first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
+    sizes = np.diff(np.append(first, len(key)))
     found = []
-    for d in range(1, len(key)):
-        same = (key[d:] == key[:-d]) & (i[d:] == i[:-d]) & (j[d:] == j[:-d])
-        if not same.any():
+    # Small buckets all at once: every row with the one d places after it.
+    bucket, checks = np.repeat(np.arange(len(first)), sizes), checks.view(np.uint64)
+    small = sizes[bucket] <= SIDE
+    b, c, o = bucket[small], checks[small], of[small]
+    for d in range(1, SIDE):
+        same = np.flatnonzero(b[d:] == b[:-d]) if d < len(b) else np.zeros(0, np.int64)
+        if not len(same):
             break
-        apart = np.bitwise_count(word[:-d][same] ^ word[d:][same])
-        near = apart <= most
-        found.append(np.stack([apart[near].astype(np.int64), node[:-d][same][near], node[d:][same][near]]))
-    if not found:
-        return []
-    pairs = np.concatenate(found, axis=1)
-    parts = _Parts()
-    return [(a, b) for a, b in pairs[1:, np.argsort(pairs[0], kind="stable")].T.tolist() if parts.join(a, b)]
+        near = same[_apart(c[same], c[same + d]) <= most]
+        found.append(np.stack([o[near], o[near + d]], axis=1))
+    # In a large one, everything near a row that was reached is reached; what is reached is not looked for again.
+    for at, size in zip(first[sizes > SIDE].tolist(), sizes[sizes > SIDE].tolist(), strict=True):
+        left = np.arange(at, at + size)
+        while len(left):
+            front, left = [int(left[0])], left[1:]
+            while front and len(left):
+                x = front.pop()
+                near = _apart(checks[left], checks[x]) <= most
+                reached, left = left[near], left[~near]
+                found.append(np.stack([np.full(len(reached), of[x]), of[reached]], axis=1))
+                front += reached.tolist()
+    pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+    pairs = np.unique(np.sort(pairs[pairs[:, 0] != pairs[:, 1]], axis=1), axis=0)
+    return pairs.tolist()
 
 
 def _set_links(frame: pd.DataFrame, similarity: float) -> list[tuple[int, int]]:
@@ -174,31 +240,50 @@ def _set_links(frame: pd.DataFrame, similarity: float) -> list[tuple[int, int]]:
     return out
 
 
-def candidates(nodes: DataFrame, *, similarity: float = SIMILARITY, words: int = WORDS, block: int = BLOCK) -> DataFrame:
-    """Links (a, b) between nodes (node, fingerprint) that share a variant of a segment and are near enough in their whole fingerprints."""
-    each = nodes.select("node", "fingerprint", F.posexplode("fingerprint").alias("w", "own"))
-    # Buckets of one word look at the next one.
-    word = F.get("fingerprint", (F.col("w") + 1) % words)
-    index = each.select("node", word.alias("word"), "w", F.explode(simhash.variants(F.col("own"))).alias("variant"))
-    index = index.select(F.shiftleft("variant", 6).bitwiseOR(F.col("w").cast("long")).alias("key"), "node", "word")
-    most = most_bits(similarity, 64)
-    found = settle(_dealt(index, "key", block).mapInPandas(_by_group("key", lambda f: _bucket_links(f, most)), "a long, b long").distinct())
-    left = nodes.select(F.col("node").alias("a"), F.col("fingerprint").alias("fa"))
-    right = nodes.select(F.col("node").alias("b"), F.col("fingerprint").alias("fb"))
-    apart = F.aggregate(F.zip_with("fa", "fb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, n: s + n)
-    return found.join(left, "a").join(right, "b").where(apart <= most_bits(similarity, 64 * words)).select("a", "b")
-
-
-def grouped(docs: DataFrame, *, width: int = WIDTH, similarity: float = SIMILARITY, words: int = WORDS, block: int = BLOCK, sets: int = SETS) -> DataFrame:
+def variants(word: Column, place: Column, bits: int) -> Column:
+    """Keys of one index word: each of its segments without each of its bits, told apart by place, segment and bit."""
+    keys = []
+    for first in range(0, 64 - bits + 1, bits):
+        segment = F.shiftrightunsigned(word, first).bitwiseAND((1 << bits) - 1)
+        for bit in range(bits):
+            rest = F.shiftleft(segment.bitwiseAND(((1 << bits) - 1) & ~(1 << bit)), 16)
+            keys.append(rest.bitwiseOR(F.shiftleft(place.cast("long"), 6)).bitwiseOR(F.lit(first + bit).cast("long")))
+    return F.array(*keys)
+
+
+def candidates(nodes: DataFrame, bits: int, *, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) between the kins of ``nodes`` (kin, fingerprint) that share a variant of a segment and have near check words."""
+    checks = [F.get("fingerprint", k).alias(f"f{k}") for k in range(CHECKS)]
+    each = nodes.select(*checks, F.posexplode(F.slice("fingerprint", CHECKS + 1, 1 << 20)).alias("w", "own"))
+    index = each.select(F.explode(variants(F.col("own"), F.col("w"), bits)).alias("key"), *(f"f{k}" for k in range(CHECKS)))
+    own = F.xxhash64(*(f"f{k}" for k in range(CHECKS)))
+    # Large buckets are known from a share of the rows; one that is missed is looked at in one piece.
+    seen = index.where(F.pmod(own, F.lit(SEEN)) == 0).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block // SEEN)
+    large = settle(seen.select(F.col("key").alias("large"), F.ceil(F.col("n") * SEEN / block).cast("int").alias("n_blocks")))
+    joined = index.join(large, F.col("key") == F.col("large"), "left").drop("large")
+    dealt = _cut(joined, F.coalesce("n_blocks", F.lit(1)), F.shiftrightunsigned(own, 8), "key").drop("n_blocks")
+    most = most_bits(similarity, 64 * CHECKS)
+    return dealt.mapInPandas(_by_group("key", lambda f: _bucket_links(f, most)), "a long, b long").distinct()
+
+
+def grouped(docs: DataFrame, *, width: int = WIDTH, similarity: float = SIMILARITY, block: int = BLOCK, sets: int = SETS) -> DataFrame:
     """doc_id, row_key, group: rows whose shingle sets are linked by pairs that are ``similarity`` alike share a group.
 
-    Texts without words are alike, and unlike all others.  At ``similarity`` 0.8 and 8 words about 98 of 100 pairs right at the limit
-    meet as candidates (more above it, and where others link them).
+    Texts without words (null ones too) are alike, and unlike all others.  At the limit about ``1 - MISSED`` of the pairs meet as candidates
+    (more above it, and where others link them).  Repeated rows share a group; ids may be null; an empty table has no rows.
     """
+    bits, _, words = layout(docs.count(), similarity)
     rows = prints(docs, width=width, words=words)
-    nodes = settle(rows.groupBy("node").agg(F.first("fingerprint").alias("fingerprint"), F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_key")).alias("of")))
-    clusters = settle(components(candidates(nodes.select("node", "fingerprint"), similarity=similarity, words=words, block=block)))
-    members = settle(nodes.join(clusters.withColumnRenamed("root", "cluster"), "node").select("node", "cluster", F.col("of.doc_id").alias("m_id"), F.col("of.row_key").alias("m_key")))
+    nodes = settle(
+        rows.groupBy("node").agg(
+            F.first("fingerprint").alias("fingerprint"), F.first("kin").alias("kin"), F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_key")).alias("of")
+        )
+    )
+    kins = settle(nodes.groupBy("kin").agg(F.first("fingerprint").alias("fingerprint"), F.count(F.lit(1)).alias("n")))
+    roots = settle(components(settle(candidates(kins, bits, similarity=similarity, block=block))))
+    clusters = kins.join(roots, F.col("kin") == F.col("node"), "left").where("root is not null or n > 1").select(F.col("kin").alias("of_kin"), F.coalesce("root", "kin").alias("cluster"))
+    named = nodes.join(settle(clusters), F.col("kin") == F.col("of_kin"))
+    members = settle(named.select("node", "cluster", F.col("of.doc_id").alias("m_id"), F.col("of.row_key").alias("m_key")))
     keyed = docs.select(F.col("doc_id").alias("id__"), _row_key(docs).alias("key__"), docs["text"].cast("string").alias("text"))
     texts = keyed.join(members, (F.col("key__") == F.col("m_key")) & F.col("id__").eqNullSafe(F.col("m_id"))).select("node", "cluster", "text")
 
@@ -213,6 +298,6 @@ def grouped(docs: DataFrame, *, width: int = WIDTH, similarity: float = SIMILARI
     return settle(rows.join(roots, F.col("node") == F.col("r_node"), "left").select("doc_id", "row_key", F.coalesce("root", "node").alias("group")))
 
 
-def deduplicated(docs: DataFrame, *, width: int = WIDTH, similarity: float = SIMILARITY, words: int = WORDS) -> DataFrame:
+def deduplicated(docs: DataFrame, *, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
     """One row of ``docs`` per group, with all its columns: the smallest doc_id, ties by content."""
-    return simhash.first_rows(docs, grouped(docs, width=width, similarity=similarity, words=words), ["group"])
+    return simhash.first_rows(docs, grouped(docs, width=width, similarity=similarity), ["group"])

@@ -88,7 +88,13 @@ def op6_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     rows = suffix_dedup.deduplicated(table(spark, folder, "documents"))
     removed = F.aggregate("removed", F.lit(0).cast("long"), lambda a, r: a + r["end"] - r["start"])
     return rows.select(
-        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+        "doc_id",
+        "n_bytes",
+        removed.alias("n_removed"),
+        F.size("removed").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+        # What stays, to be read; a character that was cut through is replaced.
+        F.make_valid_utf8(F.col("kept").cast("string")).alias("text"),
     )
 
 
