@@ -39,6 +39,8 @@ SEEN = 64
 SIDE = 32
 # Texts whose sets are compared in one group.
 SETS = 256
+# Nodes whose joins a task remembers.
+JOINED = 1_000_000
 
 
 def shingle_set(text: str | None, width: int = WIDTH) -> np.ndarray:
@@ -124,12 +126,12 @@ def _row_key(docs: DataFrame) -> Column:
     return F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns))
 
 
-def _cut(rows: DataFrame, blocks: Column, own: Column, key: str) -> DataFrame:
-    """``rows`` sorted by key and pair of blocks (i, j), each row once for every block its own one is paired with."""
+def _cut(rows: DataFrame, blocks: Column, own: Column, key: str, *order: str) -> DataFrame:
+    """``rows`` sorted by key, pair of blocks (i, j) and ``order``, each row once for every block its own one is paired with."""
     placed = rows.withColumn("blocks", blocks).withColumn("own", F.pmod(own, F.col("blocks")).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
     placed = placed.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("own", "other")
-    return placed.repartition(key, "i", "j").sortWithinPartitions(key, "i", "j")
+    return placed.repartition(key, "i", "j").sortWithinPartitions(key, "i", "j", *order)
 
 
 def _dealt(rows: DataFrame, key: str, block: int) -> DataFrame:
@@ -144,15 +146,24 @@ def _by_group(key: str, find: Callable[[pd.DataFrame], list]) -> Callable[[Itera
     """Groups arrive sorted; the last one of a batch waits for the next batch, for it may go on there."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest = None
+        rest, parts = None, _Parts()
+
+        def new(frame: pd.DataFrame) -> pd.DataFrame:
+            nonlocal parts
+            # Links between what this task has joined before tell nothing new.
+            links = [(a, b) for a, b in find(frame) if parts.join(a, b)]
+            if len(parts.over) > JOINED:
+                parts = _Parts()
+            return pd.DataFrame(np.array(links, np.int64).reshape(-1, 2), columns=["a", "b"])
+
         for frame in frames:
             rest = frame if rest is None else pd.concat([rest, frame])
             last = rest.iloc[-1]
             open_ = ((rest[key] == last[key]) & (rest["i"] == last["i"]) & (rest["j"] == last["j"])).to_numpy()
-            yield pd.DataFrame(np.array(find(rest[~open_]), np.int64).reshape(-1, 2), columns=["a", "b"])
+            yield new(rest[~open_])
             rest = rest[open_]
         if rest is not None:
-            yield pd.DataFrame(np.array(find(rest), np.int64).reshape(-1, 2), columns=["a", "b"])
+            yield new(rest)
 
     return run
 
@@ -206,6 +217,7 @@ def _bucket_links(frame: pd.DataFrame, most: int) -> list[tuple[int, int]]:
         near = same[_apart(c[same], c[same + d]) <= most]
         found.append(np.stack([o[near], o[near + d]], axis=1))
     # In a large one, everything near a row that was reached is reached; what is reached is not looked for again.
+    # Rows are in order, so a group starts at the same few of its rows in most of its buckets and makes few different links.
     for at, size in zip(first[sizes > SIDE].tolist(), sizes[sizes > SIDE].tolist(), strict=True):
         left = np.arange(at, at + size)
         while len(left):
@@ -261,7 +273,7 @@ def candidates(nodes: DataFrame, bits: int, *, similarity: float = SIMILARITY, b
     seen = index.where(F.pmod(own, F.lit(SEEN)) == 0).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block // SEEN)
     large = settle(seen.select(F.col("key").alias("large"), F.ceil(F.col("n") * SEEN / block).cast("int").alias("n_blocks")))
     joined = index.join(large, F.col("key") == F.col("large"), "left").drop("large")
-    dealt = _cut(joined, F.coalesce("n_blocks", F.lit(1)), F.shiftrightunsigned(own, 8), "key").drop("n_blocks")
+    dealt = _cut(joined, F.coalesce("n_blocks", F.lit(1)), F.shiftrightunsigned(own, 8), "key", "f0").drop("n_blocks")
     most = most_bits(similarity, 64 * CHECKS)
     return dealt.mapInPandas(_by_group("key", lambda f: _bucket_links(f, most)), "a long, b long").distinct()
 
@@ -285,7 +297,8 @@ def grouped(docs: DataFrame, *, width: int = WIDTH, similarity: float = SIMILARI
     named = nodes.join(settle(clusters), F.col("kin") == F.col("of_kin"))
     members = settle(named.select("node", "cluster", F.col("of.doc_id").alias("m_id"), F.col("of.row_key").alias("m_key")))
     keyed = docs.select(F.col("doc_id").alias("id__"), _row_key(docs).alias("key__"), docs["text"].cast("string").alias("text"))
-    texts = keyed.join(members, (F.col("key__") == F.col("m_key")) & F.col("id__").eqNullSafe(F.col("m_id"))).select("node", "cluster", "text")
+    # The members grow with the corpus: texts move by key, at any size.
+    texts = keyed.join(members.hint("merge"), (F.col("key__") == F.col("m_key")) & F.col("id__").eqNullSafe(F.col("m_id"))).select("node", "cluster", "text")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
