@@ -13,7 +13,7 @@ from wayfare.plans.catalog_transitions import DAY, H12
 from wayfare.plans.registry import query, r6
 from wayfare.plans.sql import EV_LABEL, OL_LABEL, recursive, uniform, with_
 from wayfare.plans.suite import score_suite
-from wayfare.plans.sweeps import edge_sweep, k_sweep, position_snapshots_for_rules, rule_comparison
+from wayfare.plans.sweeps import edge_sweep, k_sweep, position_snapshots_for_rules, rule_comparison, segment_sweep
 from wayfare.session import settle
 from wayfare.sources import adapters
 
@@ -254,6 +254,44 @@ def _(spark, folder):
     return k_sweep(table, labels, list(range(2, 13)), folds=5, horizon_seconds=H12)
 
 
+# Given centres of the number of transitions, evenly over 45 to 85.
+CENTRES = {k: [45 + 40 * i / (k - 1) for i in range(k)] for k in range(2, 13)}
+
+
+@query(
+    "k_sweep_given",
+    recursive(
+        EV_LABEL,
+        sql.transitions("ev"),
+        f"""fl AS (SELECT id, label, ((row_number() OVER (PARTITION BY label ORDER BY {uniform(42, "id")}, id) - 1) % 5) AS fold
+  FROM (SELECT id, (journey_status = 'successful')::INT AS label FROM lb))""",
+        "js AS (SELECT id, arg_max(next_state, seq) AS st, count(*) AS m FROM tr GROUP BY id)",
+        "ce(k, c, x) AS (VALUES " + ", ".join(f"({k}, {c}, {x!r}::DOUBLE)" for k, xs in CENTRES.items() for c, x in enumerate(xs)) + ")",
+        "sg AS (SELECT id, st, label, fold, k, c FROM (SELECT *, row_number() OVER (PARTITION BY id, k ORDER BY round(abs(m - x), 9), c) AS r FROM js JOIN fl USING (id), ce) WHERE r = 1)",
+        """pt AS (SELECT k || '|' || held || '|' || c AS segment, state AS f, next_state AS t, count(*) AS n, sum(dt_us)::BIGINT AS us
+  FROM tr JOIN sg USING (id), range(5) h(held) WHERE fold <> held AND state <> next_state GROUP BY ALL
+  UNION ALL SELECT 'all|' || held, state, next_state, count(*), sum(dt_us)::BIGINT FROM tr JOIN fl USING (id), range(5) h(held)
+  WHERE fold <> held AND state <> next_state GROUP BY ALL)""",
+        sql.rates(),
+        PRIOR,
+        sql.horizon_hits("rt", "43200"),
+        """br AS (SELECT k, fold, avg((least(1, greatest(0, coalesce(a.p, b.prior, c.p, d.prior, 0))) - label) ** 2) AS b FROM sg
+  LEFT JOIN hz a ON a.segment = k || '|' || fold || '|' || sg.c AND a.state = st LEFT JOIN pr b ON b.segment = k || '|' || fold || '|' || sg.c
+  LEFT JOIN hz c ON c.segment = 'all|' || fold AND c.state = st LEFT JOIN pr d ON d.segment = 'all|' || fold GROUP BY ALL)""",
+    )
+    + "SELECT k, round(avg(b), 6) AS brier_score FROM br GROUP BY k",
+)
+def _(spark, folder):
+    table, labels = sweep_inputs(spark, folder, 5)
+    found = table.groupBy("id").agg(F.max_by("next_state", "seq").alias("current_state"), F.count(F.lit(1)).alias("m")).join(labels, "id")
+
+    def nearest(k):
+        return F.array_min(F.array(*[F.struct(F.round(F.abs(F.col("m") - x), 9).alias("d"), F.lit(c).alias("c")) for c, x in enumerate(CENTRES[k])]))["c"]
+
+    assigned = found.select("id", "current_state", "label", "fold", F.flatten(F.array(*[F.array_repeat(nearest(k), 5) for k in CENTRES])).alias("segments"))
+    return r6(segment_sweep(table, settle(assigned), list(CENTRES), folds=5, horizon_seconds=H12))
+
+
 @query(
     "rule_comparison",
     recursive(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from wayfare.constants import HORIZON_SECONDS, MIN_BIN_TRANSITIONS, SUCCESS_STATE
 from wayfare.functions.columns import clip
-from wayfare.operators import evaluate, segments, snapshots, transitions
+from wayfare.operators import evaluate, many_means, segments, snapshots, transitions
 from wayfare.operators import rates as R
 from wayfare.operators import scoring
 from wayfare.operators.encode import fit_scaling
@@ -109,29 +109,55 @@ def k_sweep(
     success_state: int = SUCCESS_STATE,
     seed: int = 42,
 ) -> DataFrame:
-    """Mean Brier score of the clustered model per cluster count: k, brier_score."""
+    """Mean Brier score of the clustered model per cluster count: k, brier_score.
+
+    All k-means models are fitted in shared passes over one matrix of journeys.
+    """
     table = settle(table)
     features = settle(segments.journey_features(table, segments.top_states(table)).join(labels, "id"))
     columns = segments.cluster_columns(features.drop("label", "fold"))
-    scored: DataFrame | None = None
-    for k in ks:
-        for fold in range(folds):
-            train = features.where(F.col("fold") != fold)
-            fitted = segments.fit_kmeans(train, columns, k, seed=seed)
-            assigned = fitted.assign(features.select("id", "current_state", "label", "fold", *[c for c in columns if c != "current_state"]))
-            train_ids = assigned.where(F.col("fold") != fold).select("id", "segment")
-            totals = scoring.fitted_totals(table.join(train_ids, "id"), F.col("segment"))
-            whole = totals.groupBy("from_state", "to_state").agg(F.sum("n").alias("n"), F.sum("dwell_us").alias("dwell_us"))
-            out = scoring.segment_score(
-                assigned.where(F.col("fold") == fold),
-                totals,
-                whole.withColumn("segment", F.lit(R.GLOBAL)),
-                success_state=success_state,
-                horizon_seconds=horizon_seconds,
-            ).select(F.lit(k).alias("k"), "fold", "label", "p")
-            scored = out if scored is None else scored.unionByName(out)
-    gap = F.col("p") - F.col("label")
-    per_fold = scored.groupBy("k", "fold").agg(F.avg(gap * gap).alias("brier_score"))
+    assigned = many_means.many_segments(features, columns, ks, folds, seed=seed)
+    return segment_sweep(table, assigned, ks, folds=folds, horizon_seconds=horizon_seconds, success_state=success_state)
+
+
+def segment_sweep(
+    table: DataFrame,
+    assigned: DataFrame,
+    ks: Sequence[int],
+    *,
+    folds: int = 5,
+    horizon_seconds: float = HORIZON_SECONDS,
+    success_state: int = SUCCESS_STATE,
+) -> DataFrame:
+    """Mean Brier score per k from ``assigned`` (id, current_state, label, fold, segments), one segment for every k and fold in that order.
+
+    A journey's moves are counted once, then for every model that trains on it; one aggregation makes the totals of all models, and the
+    totals of a fold's whole training set stand in for segments without journeys.
+    """
+    ks = sorted(ks)
+    models = F.array(*[F.struct(F.lit(f"{k}|{f}|").alias("name"), F.lit(f).alias("held")) for k in ks for f in range(folds)])
+    named = F.zip_with(models, "segments", lambda m, s: F.struct(m["held"].alias("held"), F.concat(m["name"], s.cast("string")).alias("segment")))
+    whole = F.transform(F.sequence(F.lit(0), F.lit(folds - 1)), lambda f: F.struct(f.alias("held"), F.concat(F.lit("all|"), f.cast("string")).alias("segment")))
+    trains = F.filter(F.concat(named, whole), lambda m: m["held"] != F.col("fold"))
+    moves = R.moves(table).groupBy("id", F.col("state").alias("from_state"), F.col("next_state").alias("to_state")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("dt_us").alias("dwell_us")
+    )
+    spread = moves.join(assigned.select("id", trains.alias("trains")), "id").withColumn("segment", F.explode("trains.segment"))
+    totals = settle(
+        spread.groupBy("segment", "from_state", "to_state").agg(F.sum("n").alias("n"), F.sum("dwell_us").alias("dwell_us"))
+    )
+    hits = settle(scoring.horizon_table(R.with_rates(totals), success_state=success_state, horizon_seconds=horizon_seconds))
+    priors = settle(R.success_prior(totals, success_state))
+    held = assigned.select("current_state", "label", "fold", F.explode(F.filter(named, lambda m: m["held"] == F.col("fold"))["segment"]).alias("segment"))
+    # Equal cases score alike: they are counted before they meet the models.
+    cases = held.groupBy("fold", "segment", "current_state", "label").agg(F.count(F.lit(1)).alias("n"))
+    cases = cases.withColumn("whole", F.concat(F.lit("all|"), F.col("fold").cast("string")))
+    for place in ("segment", "whole"):
+        cases = scoring.look_up(cases, hits, F.lit(None).cast("double"), segment=place, value="p").withColumnRenamed("p", f"p_{place}")
+        cases = cases.join(priors.select(F.col("segment").alias(place), F.col("prior").alias(f"prior_{place}")), place, "left")
+    p = clip(F.coalesce("p_segment", "prior_segment", "p_whole", "prior_whole", F.lit(0.0)))
+    gap = p - F.col("label")
+    per_fold = cases.groupBy(F.split("segment", r"\|")[0].cast("int").alias("k"), "fold").agg((F.sum(F.col("n") * gap * gap) / F.sum("n")).alias("brier_score"))
     return per_fold.groupBy("k").agg(F.avg("brier_score").alias("brier_score"))
 
 
