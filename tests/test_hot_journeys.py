@@ -131,3 +131,26 @@ def test_snapshots(logs):
     same(timed, logs)
     same(lambda log: snapshots.open_snapshots(log, ["view"], success_event="purchase"), logs)
     same(lambda log: snapshots.position_snapshots(log, snapshots.random_cut(F.col("n")), horizon_seconds=DAY // 2), logs)
+
+
+def test_suffix_totals_equal_the_walks(logs):
+    def taken(log):
+        found = log.events.where("ed_id <> 28").select("id", F.timestamp_micros("ts_us").alias("t"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("k"))
+        part = found.where(F.pmod(F.xxhash64("id", "t", "k"), F.lit(9)) == 0)
+        name = F.concat_ws("::", "id", F.unix_micros("t").cast("string"), F.col("k").cast("string"))
+        return part.select("id", name.alias("snapshot_id"), (F.unix_micros("t") + F.col("k") * 3_600_000_000).alias("snapshot_us"), F.col("k").cast("string").alias("segment"))
+
+    def counted(log):
+        walks = transitions.suffix_transitions(log, taken(log), timeout_seconds=DAY).join(taken(log).select("snapshot_id", "segment"), "snapshot_id")
+        return walks.groupBy("segment", F.col("state").alias("from_state"), F.col("next_state").alias("to_state")).agg(
+            F.count(F.lit(1)).alias("n"), F.sum("dt_us").alias("dwell_us")
+        )
+
+    def totals(log):
+        return transitions.suffix_totals(log, taken(log), segments=["0", "1", "2"], timeout_seconds=DAY)
+
+    same(totals, logs)
+    assert rows(totals(logs[0])) == rows(counted(logs[0]))
+    # A segment that is not named is left out.
+    part = transitions.suffix_totals(logs[0], taken(logs[0]), segments=["1"], timeout_seconds=DAY)
+    assert rows(part) == rows(counted(logs[0]).where("segment = '1'"))

@@ -21,10 +21,7 @@ from wayfare.constants import (
     TIMEOUT_SECONDS,
 )
 from wayfare.functions.columns import age_bin
-from wayfare.operators.transitions import age_bin_exposure, journey_ages
-
-GLOBAL = "all"
-
+from wayfare.operators.transitions import GLOBAL, age_bin_exposure, journey_ages
 
 def moves(table: DataFrame) -> DataFrame:
     """Transitions that change the state."""

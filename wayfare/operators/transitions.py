@@ -30,10 +30,13 @@ from wayfare.functions.ordered import (
     total_max,
     total_sum,
 )
+from wayfare.session import settle
 from wayfare.sources.log import JourneyLog
 
 
 # Events of one journey that meet its snapshots in one join key (a power of two).
+# Segment of a fit that is not cut into segments.
+GLOBAL = "all"
 WALK_BLOCK = 65_536
 
 
@@ -155,50 +158,30 @@ def _as_of(log: JourneyLog, probes: DataFrame, keep: Sequence[str], value: Colum
     return along(merged, {"_at": step}, order=order).where(F.col("_probe") == 1)
 
 
-def suffix_transitions(
-    log: JourneyLog,
-    snapshots: DataFrame,
-    *,
-    states: Iterable[int] | None = CUSTOMER_STATES,
-    success_state: int = SUCCESS_STATE,
-    failure_state: int = FAILURE_STATE,
-    timeout_seconds: float = TIMEOUT_SECONDS,
-) -> DataFrame:
-    """What happens after each snapshot (snapshot_id, id, snapshot_us).
+def _walks(
+    log: JourneyLog, snapshots: DataFrame, keep: Sequence[str], states: Iterable[int] | None, success_state: int, limit: int
+) -> tuple[DataFrame, DataFrame]:
+    """Events with what came before them, and one row per snapshot with the events its walk goes over.
 
-    The walk from a snapshot ends at the first success or the first gap above the
-    timeout.  Both are properties of the journey, so every event learns once where the walk
-    through it ends; a snapshot only looks up its current state and that end, and then joins
-    the events in between.  Work is proportional to the rows produced.
+    Walks: id, *keep, snapshot_us, current_state, at_seq, n, next_state and next_us (the first event ahead), last_seq and last_us (of the event
+    that stops it), closed_at_start, stopped.
     """
-    limit = _us(timeout_seconds)
     kept = log if states is None else log.states(states, also=success_state)
     rows = along(kept.events, {"seq": nth(), "_before": previous(F.struct("ed_id", "ts_us")), "n": total_sum(F.lit(1))})
     late = F.col("ts_us") - F.col("_before.ts_us") > limit
     rows = rows.withColumns(
         {
             "_late": F.coalesce(late, F.lit(False)),
-            "_stop": F.when(F.coalesce(late, F.lit(False)) | (F.col("ed_id") == success_state), F.col("seq")),
+            "_stop": F.when(F.coalesce(late, F.lit(False)) | (F.col("ed_id") == success_state), F.struct("seq", "ts_us")),
         }
     )
     rows = along(rows, {"_stop_after": later_min(F.col("_stop")), "_next": following(F.struct("ed_id", "ts_us"))})
     # Where a walk starting here ends if the very next event does not stop it.
     rows = along(rows, {"_stop_second": following(F.col("_stop_after"))})
-    block = F.col("seq").cast("long").bitwiseAND(F.lit(~(WALK_BLOCK - 1)))
-    steps = rows.select(
-        "id",
-        "seq",
-        block.alias("block"),
-        F.col("_before.ed_id").alias("prev_state"),
-        F.col("_before.ts_us").alias("prev_us"),
-        "ed_id",
-        "ts_us",
-        "_late",
-    )
     found = _as_of(
         log.with_events(rows.drop("_before", "_late", "_stop", "_stop_after")),
-        snapshots.select("id", "snapshot_id", F.col("snapshot_us").alias("probe_us")),
-        ("snapshot_id",),
+        snapshots.select("id", *keep, F.col("snapshot_us").alias("probe_us")),
+        keep,
         F.struct("ed_id", "seq", "n", "_next", "_stop_second"),
     ).where(F.col("_at").isNotNull())
     at = F.col("_at")
@@ -206,18 +189,121 @@ def suffix_transitions(
     first_late = at["_next"].isNotNull() & (gap > limit)
     # The first gap counts from the snapshot, so a late mark on the next event itself does not apply.
     first_stops = at["_next"]["ed_id"] == success_state
-    stop = F.when(first_stops, at["seq"] + 1).otherwise(at["_stop_second"])
+    next_stop = F.struct((at["seq"] + 1).alias("seq"), at["_next"]["ts_us"].alias("ts_us"))
+    stop = F.when(first_stops, next_stop).otherwise(at["_stop_second"])
+    closed = at["_next"].isNull() | first_late
     found = found.select(
         "id",
-        "snapshot_id",
+        *keep,
         F.col("probe_us").alias("snapshot_us"),
         at["ed_id"].alias("current_state"),
         at["seq"].alias("at_seq"),
         at["n"].alias("n"),
-        F.when(at["_next"].isNull() | first_late, at["seq"]).otherwise(F.coalesce(stop, at["n"])).alias("last_seq"),
-        (at["_next"].isNull() | first_late).alias("closed_at_start"),
+        at["_next"]["ed_id"].alias("next_state"),
+        at["_next"]["ts_us"].alias("next_us"),
+        F.when(closed, at["seq"]).otherwise(F.coalesce(stop["seq"], at["n"])).alias("last_seq"),
+        stop["ts_us"].alias("last_us"),
+        closed.alias("closed_at_start"),
         (~first_late & at["_next"].isNotNull() & stop.isNotNull()).alias("stopped"),
     )
+    return rows, found
+
+
+def suffix_totals(
+    log: JourneyLog,
+    snapshots: DataFrame,
+    *,
+    segments: Sequence[str] | None = None,
+    states: Iterable[int] | None = CUSTOMER_STATES,
+    success_state: int = SUCCESS_STATE,
+    failure_state: int = FAILURE_STATE,
+    timeout_seconds: float = TIMEOUT_SECONDS,
+) -> DataFrame:
+    """segment, from_state, to_state, n, dwell_us over all rows of ``suffix_transitions``, without making those rows.
+
+    A walk leaves a mark of +1 behind its first event and one of -1 behind the event that stops it, so the running sum of the marks tells at every
+    event how many walks go over it, and the sum of all marks of a journey how many run out at its last event.
+    First steps, whose time counts from the snapshot, come from the snapshots themselves.
+    Work and storage are proportional to events plus snapshots, however far the walks go.
+
+    With ``segments`` the snapshots have a column ``segment`` with one of these values (a few); snapshots with another or none are left out.
+    """
+    limit = _us(timeout_seconds)
+    names = [str(x) for x in segments] if segments is not None else [GLOBAL]
+    tagged = snapshots if segments is not None else snapshots.withColumn("segment", F.lit(GLOBAL))
+    tagged = tagged.where(F.col("segment").cast("string").isin(names))
+    rows, found = _walks(log, tagged, ("snapshot_id", "segment"), states, success_state, limit)
+    found = settle(found)
+    walking = found.where(~F.col("closed_at_start"))
+    begun = walking.select("id", (F.col("at_seq") + 1).alias("seq"), F.col("next_us").alias("ts_us"), "segment", F.lit(1).alias("d"))
+    ended = walking.where("stopped").select("id", F.col("last_seq").alias("seq"), F.col("last_us").alias("ts_us"), "segment", F.lit(-1).alias("d"))
+    one = [F.sum(F.when(F.col("segment").cast("string") == x, F.col("d")).otherwise(0)).alias(f"_d{i}") for i, x in enumerate(names)]
+    marks = begun.unionByName(ended).groupBy("id", "seq", "ts_us").agg(*one)
+    # A mark stands behind the event of its number.
+    marks = log.place(marks, "ts_us").withColumn("_mark", F.lit(1))
+    merged = rows.withColumn("_mark", F.lit(0)).unionByName(marks, allowMissingColumns=True)
+    sums = {f"_over{i}": running_sum(F.coalesce(F.col(f"_d{i}"), F.lit(0))) for i in range(len(names))}
+    sums |= {f"_out{i}": total_sum(F.coalesce(F.col(f"_d{i}"), F.lit(0))) for i in range(len(names))}
+    events = along(merged, sums, order=("seq", "_mark")).where("_mark = 0")
+    failure = F.lit(failure_state).cast("long")
+    late = F.col("_late")
+
+    def row(segment: Column, state: Column, next_state: Column, dt_us: Column, times: Column) -> Column:
+        return F.struct(
+            segment.cast("string").alias("segment"), state.alias("from_state"), next_state.alias("to_state"), dt_us.cast("long").alias("dt_us"), times.cast("long").alias("times")
+        )
+
+    dt_us = F.when(late, F.lit(limit)).otherwise(F.greatest(F.lit(0), F.col("ts_us") - F.col("_before.ts_us")))
+    steps = []
+    for i, x in enumerate(names):
+        steps.append(row(F.lit(x), F.col("_before.ed_id"), F.when(late, failure).otherwise(F.col("ed_id")), dt_us, F.col(f"_over{i}")))
+        steps.append(row(F.lit(x), F.col("ed_id"), failure, F.lit(limit), F.when(F.col("seq") == F.col("n"), F.col(f"_out{i}")).otherwise(0)))
+    closed = F.col("closed_at_start")
+    first = row(
+        F.col("segment"),
+        F.col("current_state"),
+        F.when(closed, failure).otherwise(F.col("next_state")),
+        F.when(closed, F.lit(limit)).otherwise(F.greatest(F.lit(0), F.col("next_us") - F.col("snapshot_us"))),
+        F.lit(1),
+    )
+    every = events.select(F.inline(F.filter(F.array(*steps), lambda s: s["times"] > 0))).unionByName(found.select(first.alias("s")).select("s.*"))
+    return (
+        every.where(F.col("from_state") != F.col("to_state"))
+        .groupBy("segment", "from_state", "to_state")
+        .agg(F.sum("times").alias("n"), F.sum(F.col("times") * F.col("dt_us")).alias("dwell_us"))
+    )
+
+
+def suffix_transitions(
+    log: JourneyLog,
+    snapshots: DataFrame,
+    *,
+    states: Iterable[int] | None = CUSTOMER_STATES,
+    success_state: int = SUCCESS_STATE,
+    failure_state: int = FAILURE_STATE,
+    timeout_seconds: float = TIMEOUT_SECONDS,
+) -> DataFrame:
+    """What happens after each snapshot (snapshot_id, id, snapshot_us).
+
+    The walk from a snapshot ends at the first success or the first gap above the
+    timeout.  Both are properties of the journey, so every event learns once where the walk
+    through it ends; a snapshot only looks up its current state and that end, and then joins
+    the events in between.  Work is proportional to the rows produced.
+    """
+    limit = _us(timeout_seconds)
+    rows, found = _walks(log, snapshots, ("snapshot_id",), states, success_state, limit)
+    block = F.col("seq").cast("long").bitwiseAND(F.lit(~(WALK_BLOCK - 1)))
+    steps = rows.select(
+        "id",
+        "seq",
+        block.alias("block"),
+        F.col("_before.ed_id").alias("prev_state"),
+        F.col("_before.ts_us").alias("prev_us"),
+        "ed_id",
+        "ts_us",
+        "_late",
+    )
+    found = found.drop("next_state", "next_us", "last_us")
     # Snapshots meet events block by block, so neither side has a heavy key.
     low, high = F.col("at_seq").bitwiseAND(F.lit(~(WALK_BLOCK - 1))), F.col("last_seq")
     spread = found.withColumn("block", F.explode(F.sequence(low, high, F.lit(WALK_BLOCK).cast("long"))))

@@ -156,6 +156,28 @@ def _(spark, folder):
     return r6(out.select("snapshot_id", "id", "state", "next_state", "dt_seconds"))
 
 
+# One of two segments by the snapshot's name.
+HALF = "CASE WHEN substr(md5(snapshot_id), 1, 1) < '8' THEN 'low' ELSE 'high' END"
+
+
+def suffix_totals_sql(segment: str, *source) -> str:
+    rows = suffix_sql(*source).rsplit("SELECT snapshot_id, id, state", 1)[0]
+    return rows + f"SELECT {segment} AS segment, state AS from_state, next_state AS to_state, count(*) AS n, sum(dt_us)::BIGINT AS dwell_us FROM alls WHERE state <> next_state GROUP BY ALL"
+
+
+@query("suffix_totals", suffix_totals_sql("'all'", "ol", OL, 11, "5184000000000::BIGINT"))
+def _(spark, folder):
+    log = adapters.orders_log(spark, folder)
+    return transitions.suffix_totals(log, probes(log, 11).withColumnRenamed("probe_us", "snapshot_us"))
+
+
+@query("suffix_totals_segments", suffix_totals_sql(HALF, "ev", EV, 12, "86400000000::BIGINT"))
+def _(spark, folder):
+    log = adapters.events_log(spark, folder)
+    snapshots = probes(log, 12).withColumnRenamed("probe_us", "snapshot_us").withColumn("segment", F.expr(HALF))
+    return transitions.suffix_totals(log, snapshots, segments=["low", "high"], timeout_seconds=DAY)
+
+
 def ages_sql(edges, source="tt", name="ag"):
     bins = " + ".join(f"({{x}} >= {e * 1_000_000}::BIGINT)::INT" for e in edges)
     return f"""{name} AS (

@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayfare.constants import (
+    FAILURE_STATE,
     HORIZON_SECONDS,
     PIECEWISE_EDGES_SECONDS,
     SUCCESS_EVENT,
+    SUCCESS_STATE,
     TEST_PREVALENCE,
     TIMEOUT_SECONDS,
     TRAIN_PREVALENCE,
@@ -177,7 +179,14 @@ def _truncated(log, base, needed, *, clusters, timeout_seconds, label_horizon_se
             log, names, success_event=success_event, max_samples=max_samples, horizon_seconds=label_horizon_seconds
         )
     )
-    suffix = settle(transitions.suffix_transitions(log, taken, timeout_seconds=timeout_seconds))
+
+    def totals_of(tags: DataFrame | None = None, names: Sequence[str] | None = None) -> DataFrame:
+        """Absorbing totals of what follows the snapshots, by segment; the walks themselves are never stored."""
+        tagged = taken if tags is None else taken.join(tags, "snapshot_id")
+        found = transitions.suffix_totals(log, tagged, segments=names, timeout_seconds=timeout_seconds)
+        return settle(found.where(~F.col("from_state").isin(SUCCESS_STATE, FAILURE_STATE)))
+
+    names_of = [str(i) for i in range(clusters)]
     opened = log.of(base)
     open_rows = settle(snapshots.open_snapshots(opened, names, success_event=success_event))
     text = ["first_event_name", "last_event_name", *[f"last{i}_event" for i in range(1, 6)]]
@@ -185,19 +194,19 @@ def _truncated(log, base, needed, *, clusters, timeout_seconds, label_horizon_se
     train = settle(snapshot_frame(taken, categories))
     test = settle(snapshot_frame(open_rows, categories))
     columns = [c for c in train.columns if c != "id"]
-    whole = scoring.timeout_totals(suffix)
+    whole = totals_of()
     states = open_rows.select("id", "snapshot_id", "current_state")
     out = {}
     if "truncated_kmeans" in needed:
         fitted = segments.fit_kmeans(train, columns, clusters)
         tags = fitted.assign(train).select(F.col("id").alias("snapshot_id"), "segment")
         open_tags = fitted.assign(test).select(F.col("id").alias("snapshot_id"), "segment")
-        totals = scoring.timeout_totals(suffix.join(tags, "snapshot_id"), F.col("segment"))
+        totals = totals_of(tags, names_of)
         out["truncated_kmeans"] = scoring.segment_timeout_score(states.join(open_tags, "snapshot_id"), totals, whole)
     if "truncated_spectral" in needed:
         both = train.withColumn("_open", F.lit(0)).unionByName(test.withColumn("_open", F.lit(1)))
         tags = _spectral_tags(both, columns, clusters).withColumnRenamed("id", "snapshot_id")
-        totals = scoring.timeout_totals(suffix.join(tags, "snapshot_id"), F.col("segment"))
+        totals = totals_of(tags, names_of)
         out["truncated_spectral"] = scoring.segment_timeout_score(states.join(tags, "snapshot_id"), totals, whole)
     return out
 
