@@ -287,3 +287,40 @@ def test_suffix_dedup_query_shows_what_stays(spark, small):
         kept = bytes(b for b, g in zip(raw, gone, strict=True) if not g)
         assert (r["n_removed"], r["kept_sha256"]) == (sum(gone), hashlib.sha256(kept).hexdigest())
         assert r["text"].replace("�", "") == kept.decode(errors="ignore").replace("�", "")
+
+
+def test_hinge_loss_is_at_its_least():
+    """The dual gives a lower bound of the loss: both meet at the optimum."""
+    import numpy as np
+
+    from wayfare.llm import quality_classifier as Q
+
+    rng = np.random.default_rng(2)
+    rows = [np.unique(np.concatenate([rng.integers(0, 60, 8), rng.integers(0, 30, 3) + (70 if y else 85)])).astype(np.int32) for y in (0, 1, 1) * 40]
+    labels = np.array((0, 1, 1) * 40)
+    scale = np.zeros(Q.SLOTS)
+    scale[:200] = rng.normal(size=200)
+    weights, bias = Q.dual_descent(rows, labels, scale, rounds=400)
+    w = np.divide(weights, scale, out=np.zeros(Q.SLOTS), where=scale != 0)
+    x = np.zeros((len(rows), 201))
+    for i, s in enumerate(rows):
+        x[i, s], x[i, 200] = scale[s] / np.sqrt(len(s)), 1.0
+    at, sign = np.append(w[:200], bias), np.where(labels == 1, 1.0, -1.0)
+    cost = np.where(labels == 1, 0.5 / (2 / 3), 0.5 / (1 / 3))
+    loss = lambda v: v @ v / 2 + cost @ np.maximum(0, 1 - sign * (x @ v))
+    # A plain solver: subgradient steps that get smaller.
+    plain, best = np.zeros(201), np.inf
+    for k in range(20_000):
+        broken = sign * (x @ plain) < 1
+        plain = plain - (plain - x[broken].T @ (cost * sign)[broken]) / (k + 10)
+        best = min(best, loss(plain))
+    assert loss(at) <= best * 1.0005
+
+
+def test_features_do_not_depend_on_runs(monkeypatch):
+    from wayfare.llm import quality_classifier as Q
+
+    words = [random.Random(k).choice(["alpha", "beta", "Gamma!", "d4", "x"]) for k in range(300)]
+    whole = Q.features(" ".join(words)).tolist()
+    monkeypatch.setattr(Q, "WORDS_AT_ONCE", 13)
+    assert Q.features(" ".join(words)).tolist() == whole

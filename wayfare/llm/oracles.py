@@ -46,12 +46,8 @@ covered AS (SELECT doc_id, count(DISTINCT p + k) AS n FROM twice, (SELECT unnest
 l AS (
   SELECT doc_id, source, line, len(string_split(line, ' ')) AS words
   FROM (SELECT doc_id, source, unnest(lines) AS raw FROM d), LATERAL (SELECT {normal("raw")} AS line)),
-longest AS (SELECT doc_id, arg_max(line, (length(line), line)) AS longest, max(length(line)) AS n FROM l GROUP BY doc_id),
-carried AS (SELECT DISTINCT l.doc_id, l.source, l.line, g.longest FROM l JOIN longest g USING (doc_id)),
 frequent AS (
-  SELECT source, line FROM carried GROUP BY source, line
-  HAVING count(DISTINCT CASE WHEN longest <> line THEN longest END) >= 20
-    AND count(DISTINCT CASE WHEN longest <> line THEN longest END) >= 0.7 * count(*)),
+  SELECT source, line FROM (SELECT l.*, md5(d.text) AS whole FROM l JOIN d USING (doc_id)) GROUP BY source, line HAVING count(DISTINCT whole) >= 20),
 lost AS (
   SELECT l.doc_id, sum(l.words)::BIGINT AS n FROM l JOIN frequent f ON l.line = f.line AND l.source IS NOT DISTINCT FROM f.source GROUP BY l.doc_id),
 c AS (

@@ -24,12 +24,14 @@ from wayfare.session import settle
 # A power of two.
 SLOTS = 1 << 19
 TRAIN_ROWS = 10_000
-ROUNDS = 12
+ROUNDS = 24
 COST = 1.0
 SMOOTH = 1.0
 # One in so many sampled rows calibrates the margin instead of fitting it.
 CALIBRATE = 4
 WORDS_AT_ONCE = 1 << 18
+# Words back in which a word is looked for again.
+LOOK_BACK = 4
 
 _UPPER, _LOWER, _DIGIT, _SYMBOL, _STOP, _BANG, _BAR = (1 << i for i in range(7))
 
@@ -59,11 +61,14 @@ def _distinct(x: np.ndarray) -> np.ndarray:
 def features(text: str | None) -> np.ndarray:
     """Distinct slots of a text's n-grams; none for a null or blank text."""
     found = (text or "").encode("utf-8", "surrogatepass").split()
-    slots = [_features(found[i : i + WORDS_AT_ONCE]) for i in range(0, len(found), WORDS_AT_ONCE)]
+    # Every run after the first starts early enough to know what its first words follow.
+    early = lambda i: min(i, 2 * LOOK_BACK)
+    slots = [_features(found[i - early(i) : i + WORDS_AT_ONCE], early(i) // 2) for i in range(0, len(found), WORDS_AT_ONCE)]
     return slots[0] if len(slots) == 1 else _distinct(np.concatenate(slots)) if slots else np.zeros(0, np.int32)
 
 
-def _features(found: list[bytes]) -> np.ndarray:
+def _features(found: list[bytes], known: int = 0) -> np.ndarray:
+    """Distinct slots of the n-grams of a run of words; the first ``known`` words are only looked back at."""
     data = np.frombuffer(b"".join(found), np.uint8)
     sizes = np.fromiter(map(len, found), np.int64, len(found))
     starts = np.cumsum(sizes) - sizes
@@ -75,9 +80,10 @@ def _features(found: list[bytes]) -> np.ndarray:
     word = np.add.reduceat((mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xFF51AFD7ED558CCD), starts)
     n = len(word)
     back = np.zeros(n, np.uint64)
-    for d in (4, 3, 2, 1):
+    for d in range(LOOK_BACK, 0, -1):
         back[d:][word[d:] == word[:-d]] = d
     code = shape | (np.minimum(sizes, 24) // 6).astype(np.uint64) << np.uint64(8) | back << np.uint64(12)
+    word, code, n = word[known:], code[known:], n - known
     one, two, three = np.uint64(1), np.uint64(2), np.uint64(3)
     grams = [word * two + one, code * np.uint64(0x1000193) + three]
     if n > 1:
@@ -111,7 +117,7 @@ def log_count_ratio(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
 
 
 def dual_descent(rows: list[np.ndarray], labels: np.ndarray, scale: np.ndarray, rounds: int = ROUNDS, cost: float = COST) -> tuple[np.ndarray, float]:
-    """Weights of a squared-hinge linear model: one dual variable per row, each set to its optimum in turn.
+    """Weights of a linear hinge-loss model: one dual variable per row, between 0 and the row's cost, each set to its optimum in turn.
 
     A row's vector is its slots' scales over the root of their number, and a constant 1 for the bias; the
     rarer class costs more, in proportion.  The weights come back with the scale in them.
@@ -120,15 +126,14 @@ def dual_descent(rows: list[np.ndarray], labels: np.ndarray, scale: np.ndarray,
     share = np.bincount(labels, minlength=2) / max(1, len(labels))
     weigh = np.where(labels == 1, 0.5 / max(share[1], 1e-9), 0.5 / max(share[0], 1e-9)) * cost
     values = [scale[s] / np.sqrt(max(1, len(s))) for s in rows]
-    ridge = 0.5 / weigh
-    square = np.array([v @ v + 1.0 for v in values]) + ridge
+    square = np.array([v @ v + 1.0 for v in values])
     dual, w, bias = np.zeros(len(rows)), np.zeros(SLOTS), 0.0
     shuffled = np.random.default_rng(42)
     for _ in range(rounds):
         for i in shuffled.permutation(len(rows)).tolist():
             s, v, y = rows[i], values[i], sign[i]
-            slope = y * (w[s] @ v + bias) - 1.0 + ridge[i] * dual[i]
-            new = max(0.0, dual[i] - slope / square[i])
+            slope = y * (w[s] @ v + bias) - 1.0
+            new = min(max(0.0, dual[i] - slope / square[i]), weigh[i])
             step = (new - dual[i]) * y
             if step:
                 w[s] += step * v
