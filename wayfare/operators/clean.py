@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from wayfare.functions.columns import uniform
 from wayfare.functions.ordered import along, nth, previous
 from wayfare.functions.ranks import profile_values
+from wayfare.session import settle
 from wayfare.sources.log import JourneyLog
 
+# Bits of the hash that journeys are drawn by, of a range of it that is counted at a time, and ids put in order at most (unless their hashes are equal).
+HASH_BITS, RANGE_BITS, ORDERED_IDS = 32, 10, 1_000
 QUARTILES = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
 
 
@@ -53,9 +56,30 @@ def dataset_profile(events: DataFrame) -> DataFrame:
 
 
 def sample_journeys(events: DataFrame, n: int, *, seed: int = 42) -> DataFrame:
-    """All events of ``n`` journeys drawn by hash (a sampling operator: the limit is the feature)."""
-    ids = events.select("id").distinct().orderBy(uniform(seed, "id"), "id").limit(n)
-    return events.join(ids, "id", "left_semi")
+    """All events of ``n`` journeys drawn by hash (a sampling operator: the limit is the feature).
+
+    The hash up to which ids are drawn is searched by counts of hash ranges, so tasks hold ranges and not the drawn ids; only the
+    last few ids, where the search ends, are put in order.
+    """
+    hashed = (uniform(seed, "id") * F.lit(float(1 << HASH_BITS))).cast("long")
+    ids = settle(events.select("id").distinct().withColumn("_h", hashed))
+    low, bits, need = 0, HASH_BITS, n
+    while True:
+        step = max(0, bits - RANGE_BITS)
+        inside = ids.where((F.col("_h") >= low) & (F.col("_h") < low + (1 << bits)))
+        place = F.shiftright(F.col("_h") - low, step).alias("place")
+        found = sorted(inside.groupBy(place).agg(F.count(F.lit(1)).alias("n")).collect())
+        for r in found:
+            if r["n"] >= need:
+                low, bits, size = low + (r["place"] << step), step, r["n"]
+                break
+            need -= r["n"]
+        else:
+            return events.join(ids, "id", "left_semi")
+        if size <= ORDERED_IDS or bits == 0:
+            break
+    last = ids.where((F.col("_h") >= low) & (F.col("_h") < low + (1 << bits))).orderBy("_h", "id").limit(need)
+    return events.join(ids.where(F.col("_h") < low).unionByName(last), "id", "left_semi")
 
 
 def journey_lengths(events: DataFrame) -> DataFrame:
@@ -103,8 +127,8 @@ def describe(df: DataFrame, value: str, *, by: tuple[str, ...] = ()) -> DataFram
 
 def histogram(df: DataFrame, value: str, bins: int = 50) -> DataFrame:
     """Counts in equal-width bins between the smallest and the largest value; the last bin is closed."""
-    low = df.select(F.min(value)).scalar()
-    high = df.select(F.max(value)).scalar()
+    ends = df.select(F.struct(F.min(value).alias("low"), F.max(value).alias("high"))).scalar()
+    low, high = ends["low"], ends["high"]
     spread = F.greatest(high - low, F.lit(1e-12))
     place = F.least(F.lit(bins - 1), F.floor((F.col(value) - low) * bins / spread))
     return (

@@ -217,7 +217,7 @@ def order_k_score(
     """Score by history key; a history never seen falls back to the first-order score of its last state."""
     goal = ",".join([str(success_state)] * order)
     rates = R.with_rates(totals).where(F.col("from_state") != goal)
-    table = horizon_table(rates, success_state=goal, horizon_seconds=horizon_seconds)
+    table = per_segment(rates, lambda pdf: chains.goal_hits(pdf, goal, horizon_seconds), f"state {_state_type(rates)}, p double")
     base = horizon_score(histories, first_order_totals, success_state=success_state, horizon_seconds=horizon_seconds)
     base = base.withColumnRenamed("p", "_first")
     return look_up(base, table, F.col("_first"), state="history").drop("_first").withColumn("p", clip(F.col("p")))
