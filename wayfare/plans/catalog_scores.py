@@ -27,8 +27,9 @@ from wayfare.plans.catalog_transitions import (
 from wayfare.plans.catalog_log import definitions
 from wayfare.plans.catalog_snapshots import FRAC, numbered
 from wayfare.plans.registry import query, r6
-from wayfare.plans.sql import CUSTOMER28, EV, EV_LABEL, OL_LABEL, recursive, with_
-from wayfare.session import settle
+from wayfare.plans.sql import CUSTOMER28, EV, EV_LABEL, OL, OL_LABEL, recursive, with_
+from wayfare.plans.two_logs import FitStore, two_log_scores
+from wayfare.session import settle, shared_folder
 from wayfare.sources import adapters
 
 D60 = 5_184_000
@@ -318,6 +319,32 @@ def _(spark, folder):
     return r6(out.select("id", "horizon", "timeout", "semi_markov", "blend"))
 
 
+@query(
+    "two_log_scores",
+    recursive(
+        EV_LABEL, OL, sql.transitions("ev"), sql.totals("tr"), sql.rates(), PRIOR, CURRENT.format(log="ol"), sql.horizon_hits("rt", "43200"),
+        EV_TT, "tx AS (SELECT * FROM tt WHERE state NOT IN (28, -1))", sql.totals("tx", "px"),
+        "gd AS (SELECT segment, f, t, n, n::DOUBLE AS good FROM px)", sql.absorption("gd"),
+        "gw AS (SELECT 'all' AS segment, state AS f, next_state AS t, count(*) AS n, count(*) FILTER (dt_us <= 43200000000)::DOUBLE AS good FROM tt WHERE state <> 28 GROUP BY ALL)",
+        sql.absorption("gw", "sm2", start="0.5"),
+        """fb AS (SELECT sum(n) FILTER (t = 28) / sum(n) FILTER (t IN (28, -1)) AS share,
+    (SELECT count(*) FILTER (next_state = 28) / count(*) FILTER (next_state IN (28, -1)) FROM tt WHERE state <> next_state) AS share2 FROM px)""",
+        """bs AS (SELECT cs.id, coalesce(hz.p, prior) AS horizon, coalesce(ab.p, share) AS timeout, coalesce(sm2.p, share2) AS semi_markov
+  FROM cs CROSS JOIN pr CROSS JOIN fb LEFT JOIN hz ON hz.state = cs.current_state LEFT JOIN ab ON ab.state = cs.current_state LEFT JOIN sm2 ON sm2.state = cs.current_state)""",
+    )
+    + """SELECT c_custkey AS ordinal, c_custkey::VARCHAR AS id, round(coalesce(horizon, 0), 6) AS horizon, round(coalesce(timeout, 0), 6) AS timeout,
+  round(coalesce(semi_markov, 0), 6) AS semi_markov, round(coalesce((horizon + timeout + semi_markov) / 3, 0), 6) AS blend
+FROM customer LEFT JOIN bs ON bs.id = c_custkey::VARCHAR""",
+)
+def _(spark, folder):
+    customers = spark.read.parquet(f"{folder}/customer.parquet")
+    template = customers.select(F.col("c_custkey").cast("long").alias("ordinal"), F.col("c_custkey").cast("string").alias("id"))
+    store = FitStore(spark, f"{shared_folder(spark)}/fits")
+    events, orders = adapters.raw_events(spark, folder), adapters.raw_orders(spark, folder)
+    out = two_log_scores(events, orders, template, store, horizon_seconds=H12, timeout_seconds=DAY, label_horizon_seconds=H12, late_seconds=H12)
+    return r6(out)
+
+
 @query(
     "prevalence_shift",
     BLEND_SQL
