@@ -78,3 +78,37 @@ def test_a_fit_without_a_manifest_is_not_found(spark, tmp_path):
 def test_a_log_without_files_needs_a_name(spark):
     with pytest.raises(ValueError):
         source_digest(spark.createDataFrame([(1,)], "a int"))
+
+
+def test_chains_are_compared_on_scores_that_do_not_know_their_journeys(spark, small):
+    from wayfare.plans.chain_comparison import chain_scores, compare_chains
+
+    log = adapters.events_log(spark, small)
+    table = transitions.transitions(log)
+    labels = assemble.labeled_journeys(log, horizon_seconds=43_200).select("id", (F.col("journey_status") == "successful").cast("int").alias("label"))
+    scores = chain_scores(table, labels, horizon_seconds=43_200, alpha=0.0)
+    found = scores.collect()
+    assert found and all(r["plain"] == pytest.approx(r["smoothed"], abs=1e-9) for r in found if r["plain"] > 0)
+    # A training journey's score does not move with its own transitions.
+    one = next(r["id"] for r in found if not r["is_test"])
+    doubled = table.unionByName(table.where(F.col("id") == one))
+    again = {r["id"]: r["plain"] for r in chain_scores(doubled, labels, horizon_seconds=43_200).collect()}
+    assert again[one] == pytest.approx(next(r["plain"] for r in found if r["id"] == one), abs=1e-12)
+    models = {r["model"] for r in compare_chains(chain_scores(table, labels, horizon_seconds=43_200)).collect()}
+    assert models == {"plain", "smoothed", "calibrated_plain", "calibrated_smoothed"}
+
+
+def test_order_check_tells_a_submission_out_of_order(spark, tmp_path):
+    from wayfare.operators import evaluate, output
+
+    template = spark.createDataFrame([(str(i), i) for i in range(50)], "id string, ordinal long")
+    scores = template.select("id", (F.col("ordinal") / 50).alias("p"))
+    right = output.align_submission(template, scores)
+    wrong = right.orderBy(F.col("ordinal") % 7, "ordinal")
+    long = None
+    for name, rows_ in (("right", right), ("wrong", wrong)):
+        rows_.select("id", "order_shipped").write.parquet(f"{tmp_path}/{name}")
+        part = output.written_order(spark, f"{tmp_path}/{name}").select(F.lit(name).alias("model"), "id", "ordinal", F.col("order_shipped").alias("p"))
+        long = part if long is None else long.unionByName(part)
+    found = {r["model"]: r["order_matches"] for r in evaluate.prediction_summary(long, template).collect()}
+    assert found == {"right": True, "wrong": False}

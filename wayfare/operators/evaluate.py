@@ -90,7 +90,8 @@ def calibration_table(df: DataFrame, *by: str, p: str = "p", label: str = "label
 def prediction_summary(long: DataFrame, template: DataFrame, *, by: str = "model", p: str = "p") -> DataFrame:
     """Per model against a template (id, ordinal): rows, order match, missing ids, spread of the scores.
 
-    ``long`` has id, model, ordinal, p; order matches when every ordinal equals the template's.
+    ``long`` has id, model, ordinal (the place of the row in what was written, see ``output.written_order``), p; order matches when every
+    row stands where the template has its id.
     """
     wanted = template.select("id", F.col("ordinal").alias("_want"))
     counts = long.groupBy(by).agg(F.count(F.lit(1)).alias("n_rows"))

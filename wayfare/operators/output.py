@@ -6,7 +6,7 @@ import json
 from collections.abc import Sequence
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wayfare.functions.columns import clip
@@ -19,6 +19,16 @@ def align_submission(template: DataFrame, predictions: DataFrame, *, p: str = "p
     return out.select("ordinal", "id", clip(F.coalesce("_p", F.lit(0.0))).alias("order_shipped")).orderBy("ordinal")
 
 
+def written_order(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of a written parquet table with ``ordinal``: their place from 0, files by name and rows as they stand in them."""
+    rows = spark.read.parquet(path).select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    # One row per file.
+    files = rows.groupBy("_file").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
+    starts = files.select("_file", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    return rows.join(starts, "_file").withColumn("ordinal", F.col("_start") + F.col("_row")).drop("_file", "_row", "_start")
+
+
 def score_matrix(long: DataFrame, models: Sequence[str], *, p: str = "p") -> DataFrame:
     """One row per id, one column per model."""
     return long.groupBy("id").pivot("model", list(models)).agg(F.max(p))

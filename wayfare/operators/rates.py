@@ -117,7 +117,13 @@ def smoothed_rates(
     States without exposure get alpha / min_time as in the plain definition, unless
     ``lift_empty_states`` is off (then their rows stay zero).
     """
-    totals = pair_totals(table, segment)
+    return smoothed_totals(pair_totals(table, segment), alpha=alpha, min_time=min_time, lift_empty_states=lift_empty_states)
+
+
+def smoothed_totals(
+    totals: DataFrame, *, alpha: float = 0.5, min_time: float = MIN_TIME_SECONDS, lift_empty_states: bool = True
+) -> DataFrame:
+    """``smoothed_rates`` from pair totals."""
     cells = (
         state_grid(totals)
         .where(F.col("from_state") != F.col("to_state"))

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from wayfare.constants import TEST_PREVALENCE
+from wayfare.functions.ordered import nth
+from wayfare.functions.ranks import sliced_running
 from wayfare.operators import assemble, evaluate, learn, output, scoring, snapshots, transitions
 from wayfare.plans import sql
+from wayfare.plans.chain_comparison import chain_scores, compare_chains
 from wayfare.plans.catalog_scores import HIT, PRIOR, rate_sql, rated_snapshots
 from wayfare.plans.catalog_snapshots import RAND, numbered
 from wayfare.plans.catalog_transitions import DAY, H12
@@ -14,7 +19,7 @@ from wayfare.plans.registry import query, r6
 from wayfare.plans.sql import EV_LABEL, OL_LABEL, recursive, uniform, with_
 from wayfare.plans.suite import score_suite
 from wayfare.plans.sweeps import edge_sweep, k_sweep, position_snapshots_for_rules, rule_comparison, segment_sweep
-from wayfare.session import settle
+from wayfare.session import settle, shared_folder
 from wayfare.sources import adapters
 
 MODELS = ["exp_rate", "gap_rule", "blend"]
@@ -116,15 +121,23 @@ def template(spark, folder):
     BASE.rstrip()
     + ",\n"
     + TEMPLATE
-    + """
+    + """,
+wr AS (SELECT m.model, tp.id, coalesce(lg.p, 0) AS p FROM tp CROSS JOIN (SELECT DISTINCT model FROM lg) m LEFT JOIN lg ON lg.id = tp.id AND lg.model = m.model)
 SELECT model, count(*) AS n_rows, count(*) = (SELECT count(*) FROM tp) AS order_matches, (SELECT count(*) FROM tp) - count(*) AS missing,
   round(avg(p), 6) AS mean, round(stddev_samp(p), 6) AS std, round(min(p), 6) AS min, round(quantile_cont(p, 0.5), 6) AS p50,
-  round(quantile_cont(p, 0.9), 6) AS p90, round(quantile_cont(p, 0.99), 6) AS p99, round(max(p), 6) AS max FROM lg GROUP BY model""",
+  round(quantile_cont(p, 0.9), 6) AS p90, round(quantile_cont(p, 0.99), 6) AS p99, round(max(p), 6) AS max FROM wr GROUP BY model""",
 )
 def _(spark, folder):
-    order = template(spark, folder)
-    long = scored_long(spark, folder).join(order, "id")
-    return r6(evaluate.prediction_summary(long, order))
+    order, scores = settle(template(spark, folder)), settle(scored(spark, folder))
+    long = None
+    for model in MODELS:
+        path = f"{shared_folder(spark)}/submissions/{uuid.uuid4().hex}"
+        output.align_submission(order, scores, p=model).select("id", "order_shipped").write.parquet(path)
+        part = output.written_order(spark, path).select(F.lit(model).alias("model"), "id", "ordinal", F.col("order_shipped").alias("p"))
+        long = part if long is None else long.unionByName(part)
+    # The places of the template's ids, whatever numbers it gives them.
+    places = sliced_running(order, "ordinal", {"_place": nth()}).select("id", (F.col("_place") - 1).alias("ordinal"))
+    return r6(evaluate.prediction_summary(long, places))
 
 
 @query(
@@ -207,7 +220,8 @@ def _(spark, folder):
     return evaluate.stratified_folds(resolved_labels(spark, folder), 5).select("id", "label", "fold")
 
 
-GRID = [(1 * DAY, 3 * DAY), (3 * DAY, 7 * DAY), (7 * DAY, 14 * DAY)]
+# Both edges over the range that the parameter search tries: the first from one to seven days, the second one to thirty days later.
+GRID = [(a * DAY, d * DAY) for a in (1, 2, 3, 5, 7) for d in (1, 7, 14, 30)]
 
 
 def sweep_inputs(spark, folder, folds):
@@ -223,12 +237,12 @@ def sweep_inputs(spark, folder, folds):
     recursive(
         EV_LABEL,
         sql.transitions("ev"),
-        f"""fl AS (SELECT id, label, ((row_number() OVER (PARTITION BY label ORDER BY {uniform(42, "id")}, id) - 1) % 3) AS fold
+        f"""fl AS (SELECT id, label, ((row_number() OVER (PARTITION BY label ORDER BY {uniform(42, "id")}, id) - 1) % 5) AS fold
   FROM (SELECT id, (journey_status = 'successful')::INT AS label FROM lb))""",
         "gr(trial, e1, e2) AS (VALUES " + ", ".join(f"({i}, {a}.0::DOUBLE, {a + d}.0::DOUBLE)" for i, (a, d) in enumerate(GRID)) + ")",
         "ag AS (SELECT *, sum(dt_us) OVER (PARTITION BY id ORDER BY seq) / 1e6 AS age FROM tr WHERE state <> next_state)",
         """cb AS (SELECT trial, h.held, (age >= e1)::INT + (age >= e2)::INT AS bin, state AS f, next_state AS t, count(*) AS n, sum(dt_us)::BIGINT AS us
-  FROM ag JOIN fl USING (id), gr, range(3) h(held) WHERE fl.fold <> h.held GROUP BY ALL)""",
+  FROM ag JOIN fl USING (id), gr, range(5) h(held) WHERE fl.fold <> h.held GROUP BY ALL)""",
         "bg AS (SELECT trial, held, bin FROM cb GROUP BY ALL HAVING sum(n) >= 200)",
         """pt AS (SELECT trial || '|' || held || '|' || bin AS segment, f, t, n, us FROM cb JOIN bg USING (trial, held, bin)
   UNION ALL SELECT trial || '|' || held || '|' || b, f, t, sum(n)::BIGINT, sum(us)::BIGINT FROM cb, range(3) r(b)
@@ -244,8 +258,8 @@ def sweep_inputs(spark, folder, folds):
     + "SELECT trial, e1 AS edge1, e2 AS edge2, round(avg(b), 6) AS brier_score FROM br GROUP BY ALL",
 )
 def _(spark, folder):
-    table, labels = sweep_inputs(spark, folder, 3)
-    return r6(edge_sweep(table, labels, GRID, folds=3, horizon_seconds=H12))
+    table, labels = sweep_inputs(spark, folder, 5)
+    return r6(edge_sweep(table, labels, GRID, folds=5, horizon_seconds=H12))
 
 
 @query("k_sweep")
@@ -254,6 +268,46 @@ def _(spark, folder):
     return k_sweep(table, labels, list(range(2, 13)), folds=5, horizon_seconds=H12)
 
 
+def chain_inputs(spark, folder):
+    log = adapters.events_log(spark, folder)
+    labeled = assemble.labeled_journeys(log, horizon_seconds=H12)
+    labels = labeled.select("id", (F.col("journey_status") == "successful").cast("int").alias("label"))
+    return chain_scores(settle(transitions.transitions(log)), labels, horizon_seconds=H12)
+
+
+@query(
+    "advanced_comparison",
+    recursive(
+        EV_LABEL,
+        sql.transitions("ev"),
+        f"""sp AS (SELECT id, label, row_number() OVER (PARTITION BY label ORDER BY {uniform(42, "id")}, id) <= round(count(*) OVER (PARTITION BY label) * 0.3) AS is_test
+  FROM (SELECT id, (journey_status = 'successful')::INT AS label FROM lb))""",
+        "tn AS (SELECT * FROM tr WHERE id IN (SELECT id FROM sp WHERE NOT is_test))",
+        sql.totals("tn"),
+        sql.rates(),
+        PRIOR,
+        sql.horizon_hits("rt", "43200"),
+        "st AS (SELECT f AS s FROM pt UNION SELECT t FROM pt)",
+        """ps AS (SELECT 'all' AS segment, a.s AS f, b.s AS t, coalesce(pt.n, 0) + 0.5::DOUBLE AS n,
+    (coalesce(pt.n, 0) + 0.5) / greatest(coalesce((SELECT sum(us) FROM pt x WHERE x.f = a.s), 0) / 1e6, 1e-9) AS rate
+  FROM st a JOIN st b ON a.s <> b.s LEFT JOIN pt ON pt.f = a.s AND pt.t = b.s)""",
+        "pq AS (SELECT sum(n) FILTER (t = 28) / sum(n) AS prior FROM ps)",
+        sql.horizon_hits("ps", "43200", name="hs"),
+        "js AS (SELECT id, arg_max(next_state, seq) AS st FROM tr GROUP BY id)",
+        """lg AS (SELECT 'plain' AS model, id, label, least(1, greatest(0, coalesce(hz.p, prior))) AS p FROM js JOIN sp USING (id) CROSS JOIN pr LEFT JOIN hz ON hz.state = js.st WHERE is_test
+  UNION ALL SELECT 'smoothed', id, label, least(1, greatest(0, coalesce(hs.p, prior))) FROM js JOIN sp USING (id) CROSS JOIN pq LEFT JOIN hs ON hs.state = js.st WHERE is_test)""",
+    )
+    + f"SELECT a.*, b.* EXCLUDE (model) FROM ({RANKED.format(lg='lg')}) a JOIN ({POINT.format(lg='lg')}) b ON a.model = b.model",
+)
+def _(spark, folder):
+    return r6(compare_chains(chain_inputs(spark, folder), calibrated=False))
+
+
+@query("calibrated_comparison")
+def _(spark, folder):
+    return r6(compare_chains(chain_inputs(spark, folder)))
+
+
 # Given centres of the number of transitions, evenly over 45 to 85.
 CENTRES = {k: [45 + 40 * i / (k - 1) for i in range(k)] for k in range(2, 13)}
 

@@ -25,7 +25,7 @@ def journey_states(table: DataFrame) -> DataFrame:
     )
 
 
-def _held_out(cells: DataFrame, folds: int, keys: Sequence[str]) -> DataFrame:
+def held_out_totals(cells: DataFrame, folds: int, keys: Sequence[str]) -> DataFrame:
     """Totals of all folds but one, for every fold, from per-fold totals."""
     others = F.filter(F.sequence(F.lit(0), F.lit(folds - 1)), lambda x: x != F.col("fold"))
     return (
@@ -65,7 +65,7 @@ def edge_sweep(
             F.col("state").alias("from_state"), F.col("next_state").alias("to_state"),
         ).agg(F.count(F.lit(1)).alias("n"), F.sum("dt_us").alias("dwell_us"))
     )
-    per_bin = _held_out(cells, folds, ["trial", "bin"])
+    per_bin = held_out_totals(cells, folds, ["trial", "bin"])
     group = ["trial", "held"]
     sizes = per_bin.groupBy(*group, "bin").agg(F.sum("n").alias("_size")).where(F.col("_size") >= min_rows)
     kept = per_bin.join(sizes.drop("_size"), [*group, "bin"], "left_semi")
