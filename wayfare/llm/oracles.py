@@ -61,3 +61,70 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   NOT base_failed AND NOT (removed_words > 0 AND (n_words - removed_words < 20 OR removed_words > 0.7 * n_words)) AS kept, removed_words
 FROM v
 """
+
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+# CRC-32 of a short ASCII text, bit by bit.
+ID_CRC = """xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(doc_id::VARCHAR, ''),
+    lambda c: list_transform(range(8), lambda k: ((ascii(c) >> k::INT) & 1)::BIGINT)))),
+    lambda c, b: xor(c >> 1, CASE WHEN (xor(c, b) & 1) = 1 THEN 3988292384::BIGINT ELSE 0::BIGINT END)))"""
+
+
+def _field(value: str) -> str:
+    return f"CASE WHEN {value} IS NULL THEN '-' ELSE strlen({value}::VARCHAR) || ':' || {value}::VARCHAR END"
+
+
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join(_field(x) for x in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+def _levels(first: str, name: str, levels: int) -> list[str]:
+    """CTEs of a forest's levels (tree, i, h, m: nodes of the level) and of each node's siblings before and after it; a tree of one node stays as it is."""
+    out = [first]
+    for k in range(levels):
+        run = "PARTITION BY tree, i // 16 ORDER BY i ROWS BETWEEN"
+        out.append(
+            f"""{name}s{k} AS (SELECT tree, i, m, coalesce(string_agg(h, '') OVER ({run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS b,
+  coalesce(string_agg(h, '') OVER ({run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS a FROM {name}{k})"""
+        )
+        out.append(
+            f"""{name}{k + 1} AS (SELECT tree, i, h, count(*) OVER (PARTITION BY tree) AS m FROM (
+  SELECT tree, i // 16 AS i, CASE WHEN max(m) = 1 THEN max(h) ELSE sha256(string_agg(h, '' ORDER BY i)) END AS h FROM {name}{k} GROUP BY tree, i // 16))"""
+        )
+    return out
+
+
+def _climb(name: str, levels: int, source: str, tree: str, start: str) -> list[str]:
+    """CTEs that fold ``cur`` and gather the proof, level by level."""
+    out = []
+    for k in range(levels):
+        out.append(
+            f"""{name}c{k} AS (SELECT p.* EXCLUDE (cur, proof), CASE WHEN s.m = 1 THEN cur ELSE sha256(s.b || cur || s.a) END AS cur,
+  CASE WHEN s.m = 1 THEN proof ELSE proof || s.b || s.a END AS proof
+  FROM {source if k == 0 else f"{name}c{k - 1}"} p JOIN {name}s{k} s ON s.tree = p.{tree} AND s.i = p.{start} // {16**k})"""
+        )
+    return out
+
+
+# Up to 16 ** 6 rows of a source and 16 ** 4 sources.
+MERKLE = (
+    "WITH "
+    + ",\n".join(
+        [
+            f"""d AS (SELECT *, coalesce({ID_CRC} % 5 = 0, false) AS hit FROM documents)""",
+            "sr AS (SELECT source, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS tree FROM (SELECT DISTINCT source FROM documents))",
+            f"""lf AS (SELECT doc_id, d.source, {_leaf("text").replace("source", "d.source")} AS leaf,
+  CASE WHEN hit THEN {_leaf(f"translate(text, '{UPPER}', '{LOWER}')").replace("source", "d.source")} END AS changed, tree
+  FROM d JOIN sr ON d.source IS NOT DISTINCT FROM sr.source)""",
+            "nl AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM lf)",
+            *_levels("x0 AS (SELECT tree, i, leaf AS h, count(*) OVER (PARTITION BY tree) AS m FROM nl)", "x", 6),
+            *_levels("y0 AS (SELECT 0 AS tree, tree AS i, h, count(*) OVER () AS m FROM x6)", "y", 4),
+            "p0 AS (SELECT *, coalesce(changed, leaf) AS cur, '' AS proof, 0 AS top FROM nl)",
+            *_climb("x", 6, "p0", "tree", "i"),
+            *_climb("y", 4, "xc5", "top", "tree"),
+        ]
+    )
+    + """
+SELECT doc_id, leaf, x6.h AS subroot, y4.h AS root, sha256(proof) AS proof_sha256, cur AS folded_root, cur = y4.h AS verified
+FROM yc3 JOIN x6 ON x6.tree = yc3.tree CROSS JOIN y4
+"""
+)
