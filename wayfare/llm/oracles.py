@@ -128,3 +128,33 @@ SELECT doc_id, leaf, x6.h AS subroot, y4.h AS root, sha256(proof) AS proof_sha25
 FROM yc3 JOIN x6 ON x6.tree = yc3.tree CROSS JOIN y4
 """
 )
+
+SPELLING = f"""
+WITH RECURSIVE tb AS (
+  SELECT list(list_reduce([i::BIGINT, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, b: xor(c >> 1, CASE WHEN (c & 1) = 1 THEN 3988292384::BIGINT ELSE 0::BIGINT END)) ORDER BY i) AS t
+  FROM range(256) r(i)),
+u AS (
+  SELECT key, run, count(*) AS n FROM (
+    SELECT coalesce(doc_id::VARCHAR, 'null') AS key, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), '{UPPER}', '{LOWER}') AS run FROM documents WHERE text IS NOT NULL)
+  WHERE length(run) >= 6 GROUP BY ALL),
+h AS (
+  SELECT run, n, xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT,
+    list_transform(range(1, len(x), 2), lambda i: ('0x' || substr(x, i, 2))::BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) AS h
+  FROM (SELECT *, hex(encode(key || ':' || run)) AS x FROM u), tb),
+w AS (
+  SELECT word, sum(n)::BIGINT AS n FROM (
+    SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, n FROM h)
+  WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+dl AS (SELECT word, n, p, substr(word, 1, p::INT) || substr(word, p::INT + 2) AS rest FROM (SELECT word, n, unnest(range(length(word))) AS p FROM w)),
+nr AS (
+  SELECT a.word AS x, b.word AS y, b.n FROM dl a JOIN dl b ON a.rest = b.rest AND a.p = b.p AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM dl a JOIN w b ON a.rest = b.word
+  UNION SELECT b.word, a.word, a.n FROM dl a JOIN w b ON a.rest = b.word),
+bs AS (SELECT x, count(*) AS n_near, arg_min(y, (-n, y)) AS y, max(n) AS yn FROM nr GROUP BY x),
+f AS (
+  SELECT word, n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN yn >= 5 * n THEN y END AS form, CASE WHEN yn >= 5 * n THEN yn END AS form_n
+  FROM w LEFT JOIN bs ON bs.x = w.word),
+r AS (SELECT word, word AS root, 0 AS k FROM f UNION ALL SELECT r.word, f.form, k + 1 FROM r JOIN f ON f.word = r.root WHERE f.form IS NOT NULL),
+e AS (SELECT word, arg_max(root, k) AS root FROM r GROUP BY word)
+SELECT word, form, root, n, n_near, form_n FROM f JOIN e USING (word)
+"""

@@ -22,7 +22,7 @@ from wayfare.llm import (
     suffix_dedup,
     wrappers,
 )
-from wayfare.llm.oracles import MERKLE, MIXING, QUALITY_RULES
+from wayfare.llm.oracles import MERKLE, MIXING, QUALITY_RULES, SPELLING
 from wayfare.session import ship_package
 
 Plan = Callable[[SparkSession, str], DataFrame]
@@ -174,4 +174,4 @@ QUERIES: dict[str, Plan] = {
     )
 }
 
-ORACLES: dict[str, str] = {"op9_quality_rules": QUALITY_RULES, "op10_mixing": MIXING, "op13_merkle": MERKLE}
+ORACLES: dict[str, str] = {"op9_quality_rules": QUALITY_RULES, "op10_mixing": MIXING, "op12_spelling": SPELLING, "op13_merkle": MERKLE}
