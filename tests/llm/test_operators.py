@@ -267,6 +267,41 @@ def test_wrappers_read_whole_pages_of_all_templates():
     assert {p: wrappers.read_page(p, paths).split("\n") for p in pages} == pages
 
 
+def test_wrappers_never_take_the_main_holder(spark):
+    long = "Words of the article go on and on. " * 8
+    text = " ".join(long.split())
+    cases = [
+        (f'<body class="has-sidebar"><div><p>{long}</p></div></body>', text),
+        (f'<body><div class="with-sidebar"><article><p>{long}</p></article></div></body>', text),
+        (f'<body><div class="login-required"><article><p>{long}</p></article></div></body>', text),
+        (f'<body><article><h2 id="search-results">S</h2><p>{long}</p><section id="related-work"><p>R</p></section><p class="social-history">H</p></article></body>', f"S\n{text}\nR\nH"),
+        (f"<body><article><p>Press <button>OK</button> or <label>Stop</label> now</p><p>{long}</p><button>Send</button></article></body>", f"Press OK or Stop now\n{text}"),
+        (f'<body><article><p>{long}</p><div class="replies"><p>{long}</p><p>{long}</p></div><div class="share-links">x</div></article></body>', text),
+        ("<body>" + "<div>" * 70 + f"<article><p>{long}</p></article>" + "</div>" * 70 + "<p>outside</p></body>", text),
+    ]
+    rows = [(i, f"http://{i}.example/", page) for i, (page, _) in enumerate(cases)]
+    got = {r["page_id"]: r["text"] for r in wrappers.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: t for i, (_, t) in enumerate(cases)}
+
+
+def test_wrapper_template_slots(spark, monkeypatch):
+    """On a generated host: texts that its different pages share go, at any class; copies of one article and headings stay."""
+    monkeypatch.setattr(wrappers, "GROUP_ROWS", 2)
+    rows, want = [], {}
+    for i in range(40):
+        k = i if i < 30 else 0
+        own = [f"Paragraph {j} of article {k} with its own long enough words." for j in range(2 + k % 4)]
+        inner = "".join(f"<p>{t}</p>" for t in own)
+        extra = f"<figure><b>{k}</b></figure>" if k % 3 == 0 else ""
+        rows.append((i, "http://hot.example/" + str(i), f"<body><article><h1>Head</h1><div class=box>Read our other offers here</div>{inner}{extra}<p>All rights reserved by hot</p></article></body>"))
+        want[i] = "\n".join(["Head", *own, *([str(k)] if extra else [])])
+    for i in range(40, 60):
+        rows.append((i, "http://copies.example/", "<body><article><p>Copied text of twenty pages</p><p>and more</p></article></body>"))
+        want[i] = "Copied text of twenty pages\nand more"
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(7)
+    assert {r["page_id"]: r["text"] for r in wrappers.extracted(pages).collect()} == want
+
+
 def test_wrapper_groups():
     of = lambda page: wrappers.skeleton(wrappers.parse(page))
     both = wrappers._merged(of("<ul><li>a</li><li>b</li></ul><p>x</p>"), of("<ul><li>a<i>k</i></li></ul><h2>t</h2><p>x</p>"))

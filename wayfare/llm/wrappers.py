@@ -3,8 +3,10 @@
 A page's token stream is read as nested elements.  Its skeleton is a union-free expression: tags, text slots, ``+`` for
 repeated and ``?`` for optional groups.  Neighbouring elements of one kind become a repeated group whose inside is
 the alignment of all of them; what one of two aligned streams lacks becomes optional.  Skeletons of a host are
-aligned one after the other, partly per salt and then per host, into the host's wrapper.  The wrapper tells which element holds the
-article; pages are then read through it.
+aligned one after the other, in rounds of bounded groups, into the host's wrapper.  The wrapper tells which element holds the
+article, and which of its text slots hold the same text on nearly all different pages of the host: those are template, the others are
+the page's own.  Pages are then read through it.  Word lists tell adverts, notices and comments whose texts differ from page to page; they never take
+an element that holds most of a page's text for a mere part of its class.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,34 +39,46 @@ BLOCKS = frozenset(
 # An opening tag ends an open element of these kinds, up to the nearest of the holders.
 ENDS = {"p": frozenset({"p"}), "li": frozenset({"li"}), "dt": frozenset({"dt", "dd"}), "dd": frozenset({"dt", "dd"}), "tr": frozenset({"tr", "td", "th"}), "td": frozenset({"td", "th"}), "th": frozenset({"td", "th"}), "option": frozenset({"option"})}
 HOLDERS = frozenset("html body article section main div ul ol dl table form aside nav footer header blockquote".split())
-OUTSIDE = frozenset("nav aside footer form button menu dialog fieldset input label object embed audio video canvas select svg".split())
+OUTSIDE = frozenset("nav aside footer form button menu dialog fieldset input object embed audio video canvas select svg".split())
 # Words in class, id or role that mark what is not the article.
 MARKED = frozenset(
-    "ad ads advert advertisement adverts adsbygoogle sponsored sponsor promo banner sidebar comments comment respond discussion disqus notice notices cookie"
+    "ad ads advert advertisement adverts adsbygoogle sponsored sponsor promo banner sidebar comments comment replies respond discussion disqus notice notices cookie"
     " cookies consent gdpr popup modal overlay newsletter subscribe signup share sharing social related recommended breadcrumb breadcrumbs menu nav navbar"
     " navigation pagination pager footer masthead toolbar widget skip login search".split()
 )
 ARTICLE = frozenset("articlebody article-body post-content entry-content article-content story-body main-content".split())
 HOLDING = ARTICLE | {"content", "main", "post"}
-SALTS = 16
-# Levels of a skeleton; what lies deeper is one text slot there.  Pages themselves are read at any depth.
+REPLIES = frozenset("comments comment replies reply respond discussion disqus".split())
+# Beginnings of classes that tell a state of the page, as in "has-sidebar".
+STATES = frozenset("has no with without is not show hide".split())
+# Elements that a part of a class or a whole id may mark; sentences and headings are marked by whole classes alone.
+GROUPS = frozenset("div section ul ol dl table span a figure".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+SENTENCES = HEADINGS | frozenset("p li dd td th blockquote span em strong b i".split())
+# Skeletons aligned in one group.
+GROUP_ROWS = 512
+# A slot is template if this share of a host's different pages holds the same text there, from so many pages on.
+TEMPLATE_SHARE = 0.9
+TEMPLATE_PAGES = 8
+# Levels of a skeleton; what lies deeper is one text slot there.  Pages themselves are searched and read at any depth.
 LEVELS = 64
 
 
 class Element:
-    __slots__ = ("children", "kind", "marks", "name")
+    __slots__ = ("children", "kind", "marks", "name", "words")
 
-    def __init__(self, name: str, marks: frozenset[str] = frozenset(), kinds: frozenset[str] | None = None):
+    def __init__(self, name: str, marks: frozenset[str] = frozenset(), kinds: frozenset[str] | None = None, words: frozenset[str] | None = None):
         self.name, self.marks, self.children = name, marks, []
+        self.words = marks if words is None else words
         self.kind = name if name != "div" and name != "section" and name != "span" else ".".join([name, *sorted(marks if kinds is None else kinds)])
 
 
-def _marks(attributes: str) -> tuple[frozenset[str], frozenset[str]]:
-    """Words of all marks, and of those that make the kind: an id that is not known as an article's often names one page only."""
+def _marks(attributes: str) -> tuple[frozenset[str], frozenset[str], frozenset[str]]:
+    """Words of all marks, of those that make the kind (an id that is not known as an article's often names one page only), and of all but ids."""
     if "=" not in attributes:
-        return frozenset(), frozenset()
+        return frozenset(), frozenset(), frozenset()
     found = [(m[1].lower(), w) for m in MARKS.finditer(attributes) for w in (m[2] or m[3] or m[4] or "").lower().split()]
-    return frozenset(w for _, w in found), frozenset(w for name, w in found if name != "id" or w in MARKED or w in HOLDING)
+    return frozenset(w for _, w in found), frozenset(w for name, w in found if name != "id" or w in MARKED or w in HOLDING), frozenset(w for name, w in found if name != "id")
 
 
 def parse(page: str) -> Element:
@@ -105,12 +120,33 @@ def parse(page: str) -> Element:
 
 
 def outside(e: Element, in_article: bool) -> bool:
-    """Whether an element is no part of an article, by its tag or marks."""
+    """Whether an element is no part of an article by its tag or a whole class or role (of groups: or id)."""
     if e.name in OUTSIDE or (e.name in ("header", "head") and not in_article):
         return True
-    if e.marks & MARKED:
-        return True
-    return any(p in MARKED for w in e.marks for p in re.split(r"[-_]+", w)) and not e.marks & ARTICLE
+    return e.name not in ("html", "body") and bool((e.marks if e.name in GROUPS else e.words) & MARKED)
+
+
+def _hints(e: Element) -> set[str]:
+    """Parts of a group's classes that hint at something outside of the article."""
+    if e.name not in GROUPS or not e.words or e.words & ARTICLE:
+        return set()
+    parts = [re.split(r"[-_]+", w) for w in e.words]
+    return {p for ps in parts if ps[0] not in STATES for p in ps} & MARKED
+
+
+def hinted_out(root: Element) -> set[Element]:
+    """Elements of a page that parts of their classes put outside, but for those that hold most of the page's text (replies go anyway)."""
+    order = [root]
+    for e in order:
+        order += [c for c in e.children if not isinstance(c, str) and c.name not in OUTSIDE]
+    hinted = [(e, _hints(e)) for e in order]
+    if not any(h for _, h in hinted):
+        return set()
+    size: dict[Element, int] = {}
+    # Every element comes after the one that holds it.
+    for e in reversed(order):
+        size[e] = sum(len(c.strip()) if isinstance(c, str) else size.get(c, 0) for c in e.children)
+    return {e for e, h in hinted if h & REPLIES or (h and 2 * size[e] <= size[root])}
 
 
 # A skeleton node: [kind, flags, children]; flags hold "+" and "?"; "#" is a text slot.
@@ -187,7 +223,7 @@ def article_paths(node: list, path: tuple[str, ...] = ()) -> list[tuple[str, ...
     def walk(n: list, path: tuple[str, ...]) -> None:
         name, *marks = n[0].split(".")
         here = Element(name, frozenset(marks))
-        if n[0] != "#page" and outside(here, False):
+        if name in OUTSIDE:
             return
         role = name if name in ("article", "main") else "marked" if here.marks & HOLDING else None
         if role and _slots(n):
@@ -205,19 +241,30 @@ def _slots(n: list) -> bool:
     return n[0] == "#" or any(_slots(c) for c in n[2])
 
 
-def _find(e: Element, path: tuple[str, ...]) -> list[Element]:
-    if e.kind != path[0]:
-        return []
-    if len(path) == 1:
-        return [e]
-    return [f for c in e.children if not isinstance(c, str) for f in _find(c, path[1:])]
+def _candidates(root: Element, paths: set[tuple[str, ...]], out: set[Element]) -> dict[str, list[Element]]:
+    """Elements of a page by role, in page order: those on the wrapper's paths, and those deeper than the wrapper is."""
+    roles: dict[str, list[Element]] = {"article": [], "main": [], "marked": []}
+    longest = max(map(len, paths), default=0)
+    stack: list[tuple[Element, tuple[str, ...] | None]] = [(root, ())]
+    while stack:
+        e, path = stack.pop()
+        if e is not root and (e in out or outside(e, False)):
+            continue
+        # Paths are kept only as deep as the wrapper is.
+        here = (*path, e.kind) if path is not None and len(path) <= max(longest, LEVELS) else None
+        if here is None or here in paths:
+            role = e.name if e.name in ("article", "main") else "marked" if e.marks & HOLDING else None
+            if role:
+                roles[role].append(e)
+        stack += [(c, here) for c in reversed(e.children) if not isinstance(c, str)]
+    return roles
 
 
-def _holder(root: Element) -> list[Element]:
+def _holder(root: Element, out: set[Element]) -> list[Element]:
     """Without a known container: the lowest element that holds all text outside of what is marked."""
     order = [root]
     for e in order:
-        order += [c for c in e.children if not isinstance(c, str) and not outside(c, False)]
+        order += [c for c in e.children if not isinstance(c, str) and c not in out and not outside(c, False)]
     size: dict[Element, int] = {}
     # Every element comes after the one that holds it.
     for e in reversed(order):
@@ -231,38 +278,43 @@ def _holder(root: Element) -> list[Element]:
     return [here]
 
 
-def blocks(e: Element) -> list[str]:
-    """Texts of the blocks inside an element in page order, white space as one blank, references decoded."""
-    out: list[str] = []
+def _in_sentence(c: Element, holder: Element) -> bool:
+    """A button named in a sentence is a part of it."""
+    return c.name == "button" and holder.name in SENTENCES and any(isinstance(t, str) and t.strip() for t in holder.children)
+
+
+def blocks(e: Element, out: set[Element]) -> list[tuple[Element, str]]:
+    """(block element, text) inside an element in page order, white space as one blank, references decoded."""
+    found: list[tuple[Element, str]] = []
     part: list[str] = []
 
-    def close() -> None:
+    def close(holder: Element) -> None:
         text = " ".join(html.unescape("".join(part)).split())
         if text:
-            out.append(text)
+            found.append((holder, text))
         part.clear()
 
-    # Open elements: what is left of their children, and whether they are blocks.  Pages may be nested deeper than calls may be.
-    stack = [(iter(e.children), True)]
+    # Open elements, what is left of their children, and their block.  Pages may be nested deeper than calls may be.
+    stack = [(e, iter(e.children), e)]
     while stack:
-        rest, block = stack[-1]
+        here, rest, block = stack[-1]
         for c in rest:
             if isinstance(c, str):
                 part.append(c)
             elif c.name == "br":
                 part.append("\n")
-            elif outside(c, True):
-                close()
+            elif (c in out or outside(c, True)) and not _in_sentence(c, here):
+                close(block)
             else:
                 if c.name in BLOCKS:
-                    close()
-                stack.append((iter(c.children), c.name in BLOCKS))
+                    close(block)
+                stack.append((c, iter(c.children), c if c.name in BLOCKS else block))
                 break
         else:
             stack.pop()
-            if block:
-                close()
-    return out
+            if here is block:
+                close(block)
+    return found
 
 
 def _outermost(root: Element, found: list[Element]) -> list[Element]:
@@ -277,20 +329,66 @@ def _outermost(root: Element, found: list[Element]) -> list[Element]:
     return out
 
 
-def read_page(page: str | None, paths: list[tuple[str, ...]]) -> str:
-    """Main text of a page through its host's article paths."""
-    root = parse(page or "")
-    # A page is read through the first role that it has; a host may have several templates.
-    roles: dict[str, list[Element]] = {"article": [], "main": [], "marked": []}
-    for p in paths:
-        roles[p[-1] if p[-1] in roles else "marked"] += _find(root, p)
-    holders = _outermost(root, roles["article"] or roles["main"] or roles["marked"]) or _holder(root)
-    return "\n".join(b for e in holders for b in blocks(e))
+def _slot_names(root: Element) -> dict[Element, int]:
+    """Name of every element's slot: the hash of the kinds from the page down to it."""
+    names = {root: 0}
+    stack = [root]
+    while stack:
+        e = stack.pop()
+        for c in e.children:
+            if not isinstance(c, str):
+                names[c] = xxhash.xxh64_intdigest(c.kind, seed=names[e])
+                stack.append(c)
+    return names
+
+
+def _filled(slot: int, text: str) -> int:
+    """A slot with its text, as a signed 64-bit number."""
+    h = xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), seed=slot)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def slots(root: Element) -> Iterator[tuple[int, int]]:
+    """(slot with its text, page) for every different block of a page.
+
+    A page counts as different by its longest block, and for that block by the next one, so that copies and near copies of one article count once.
+    """
+    names = _slot_names(root)
+    found = {_filled(names[e], text): len(text) for e, text in blocks(root, hinted_out(root)) if e.name not in HEADINGS}
+    order = sorted(found, key=lambda f: (-found[f], f))
+    for f in order:
+        yield f, next((o for o in order[:2] if o != f), 0)
 
 
-def _skeletons(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def read_page(page: str | None, paths: list[tuple[str, ...]], template: frozenset[int] = frozenset()) -> str:
+    """Main text of a page through its host's article paths, without its host's template texts."""
+    root = parse(page or "")
+    out = hinted_out(root)
+    # A page is read through the first role that it has; a host may have several templates.
+    roles = _candidates(root, set(paths), out)
+    holders = _outermost(root, roles["article"] or roles["main"] or roles["marked"]) or _holder(root, out)
+    found = [b for e in holders for b in blocks(e, out)]
+    if template:
+        names = _slot_names(root)
+        own = [(e, text) for e, text in found if e.name in HEADINGS or _filled(names[e], text) not in template]
+        # What is most of a page is no template.
+        if 2 * sum(len(text) for _, text in own) >= sum(len(text) for _, text in found):
+            found = own
+    return "\n".join(text for _, text in found)
+
+
+def _streams(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Per page a row with its skeleton, and rows of its filled slots."""
     for frame in frames:
-        yield pd.DataFrame({"host": frame["host"], "skeleton": [json.dumps(skeleton(parse(p or "")), separators=(",", ":")) for p in frame["html"]]})
+        for start in range(0, len(frame), 256):
+            rows = []
+            for h, p in zip(frame["host"].iloc[start : start + 256], frame["html"].iloc[start : start + 256], strict=True):
+                root = parse(p or "")
+                found = list(slots(root))
+                rows.append((h, json.dumps(skeleton(root), separators=(",", ":")), None, found[0][0] if found else 0))
+                rows += [(h, None, f, name) for f, name in found]
+            hosts, skeletons, filled, names = zip(*rows, strict=True) if rows else ((),) * 4
+            yield pd.DataFrame({"host": hosts, "skeleton": skeletons, "filled": pd.array(filled, dtype="Int64"), "page": pd.array(names, dtype="int64")})
 
 
 def _one_wrapper(frame: pd.DataFrame) -> pd.DataFrame:
@@ -303,25 +401,49 @@ def host(url):
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[a-zA-Z][\w+.-]*://(?:[^/?#@]*@)?([^/:?#]*)", 1))
 
 
+def aligned(skeletons: DataFrame) -> DataFrame:
+    """host, wrapper (JSON) of (host, skeleton): groups of about ``GROUP_ROWS`` are aligned in each round, until a host has one."""
+    level = settle(skeletons.distinct())
+    while True:
+        largest = level.groupBy("host").count().agg(F.max("count")).first()[0] or 0
+        if largest <= 1:
+            return level.withColumnRenamed("skeleton", "wrapper")
+        salt = F.pmod(F.xxhash64("skeleton"), F.lit(-(-largest // GROUP_ROWS)))
+        level = settle(level.withColumn("salt", salt).groupBy("host", "salt").applyInPandas(_one_wrapper, "host string, skeleton string"))
+
+
+def templates(streams: DataFrame) -> DataFrame:
+    """host, template: the filled slots (numbers, by commas) that at least ``TEMPLATE_SHARE`` of a host's different pages have.
+
+    A list is no longer than the blocks of a page over ``TEMPLATE_SHARE``.
+    """
+    pages = streams.where("skeleton IS NOT NULL").select("host", "page").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+    known = streams.where("filled IS NOT NULL").select("host", "filled", "page").distinct().groupBy("host", "filled").agg(F.count(F.lit(1)).alias("n"))
+    often = known.where(F.col("n") >= TEMPLATE_SHARE * TEMPLATE_PAGES).join(pages.where(F.col("pages") >= TEMPLATE_PAGES), "host")
+    often = often.where(F.col("n") >= TEMPLATE_SHARE * F.col("pages"))
+    return often.groupBy("host").agg(F.concat_ws(",", F.array_sort(F.collect_list(F.col("filled").cast("string")))).alias("template"))
+
+
 def wrappers(pages: DataFrame) -> DataFrame:
-    """host, wrapper (JSON).  Equal skeletons of a host meet first; the different ones are aligned per salt and then per host."""
+    """host, wrapper (JSON), template (filled slots) of every host of ``pages``."""
     hosted = pages.select(host(pages["url"]).alias("host"), pages["html"].cast("string").alias("html"))
-    found = hosted.mapInPandas(_skeletons, "host string, skeleton string").groupBy("host", "skeleton").agg(F.count(F.lit(1)).alias("pages"))
-    salted = found.select("host", "skeleton", F.pmod(F.xxhash64("skeleton"), F.lit(SALTS)).alias("salt"))
-    parts = salted.groupBy("host", "salt").applyInPandas(_one_wrapper, "host string, skeleton string")
-    return parts.groupBy("host").applyInPandas(_one_wrapper, "host string, skeleton string").withColumnRenamed("skeleton", "wrapper")
+    streams = settle(hosted.mapInPandas(_streams, "host string, skeleton string, filled long, page long"))
+    whole = aligned(streams.where("skeleton IS NOT NULL").select("host", "skeleton"))
+    return whole.join(templates(streams), "host", "left").select("host", "wrapper", F.coalesce("template", F.lit("")).alias("template"))
 
 
 def _read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    known: dict[str, list[tuple[str, ...]]] = {}
+    known: dict[tuple[str, str], tuple[list[tuple[str, ...]], frozenset[int]]] = {}
     for frame in frames:
-        for w in frame["wrapper"].unique():
-            if w not in known:
-                known[w] = article_paths(json.loads(w)) if w else []
-        frame["text"] = [read_page(p, known[w]) for p, w in zip(frame["html"], frame["wrapper"], strict=True)]
-        yield frame.drop(columns=["html", "wrapper"])
-        if len(known) > 10_000:
-            known.clear()
+        texts = []
+        for page, *w in zip(frame["html"], frame["wrapper"], frame["template"], strict=True):
+            if tuple(w) not in known:
+                if len(known) > 10_000:
+                    known.clear()
+                known[tuple(w)] = (article_paths(json.loads(w[0])) if w[0] else [], frozenset(map(int, w[1].split(","))) if w[1] else frozenset())
+            texts.append(read_page(page, *known[tuple(w)]))
+        frame["text"] = texts
+        yield frame.drop(columns=["html", "wrapper", "template"])
 
 
 def extracted(pages: DataFrame) -> DataFrame:
@@ -330,8 +452,8 @@ def extracted(pages: DataFrame) -> DataFrame:
     Null or empty html gives the empty text; elements may be nested to any depth; a null url belongs to the host ''; rows that repeat give a row each;
     other columns are not read; an empty table gives no rows.
     """
-    by_host = settle(wrappers(pages)).select(F.col("host").alias("w_host"), "wrapper")
+    by_host = settle(wrappers(pages)).select(F.col("host").alias("w_host"), "wrapper", "template")
     hosted = pages.select("page_id", "url", pages["html"].cast("string").alias("html"), host(pages["url"]).alias("host"))
-    rows = hosted.join(by_host, F.col("host") == F.col("w_host"), "left").select("page_id", "url", "html", F.coalesce("wrapper", F.lit("")).alias("wrapper"))
+    rows = hosted.join(by_host, F.col("host") == F.col("w_host"), "left").select("page_id", "url", "html", *[F.coalesce(c, F.lit("")).alias(c) for c in ("wrapper", "template")])
     kind = {f.name: f.dataType.simpleString() for f in pages.schema}
     return rows.mapInPandas(_read, f"page_id {kind['page_id']}, url {kind['url']}, text string")
