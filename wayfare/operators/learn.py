@@ -38,18 +38,54 @@ def _vector(columns: Sequence[str], output: str = "features") -> VectorAssembler
     return VectorAssembler(inputCols=list(columns), outputCol=output, handleInvalid="keep")
 
 
-def random_forest(columns: Sequence[str], *, trees: int = 100, depth: int = 5, seed: int = 42) -> Pipeline:
+def random_forest(columns: Sequence[str], *, trees: int = 100, depth: int = 5, leaf: int = 1, rows: float = 1.0, features: str = "auto", seed: int = 42) -> Pipeline:
+    """``leaf``: least rows of a leaf; ``rows``: share of rows a tree draws; ``features``: how many columns a split looks at."""
     model = RandomForestClassifier(
-        labelCol="label", weightCol="weight", numTrees=trees, maxDepth=depth, seed=seed, featuresCol="features"
+        labelCol="label", weightCol="weight", numTrees=trees, maxDepth=depth, minInstancesPerNode=leaf, subsamplingRate=rows, featureSubsetStrategy=features, seed=seed, featuresCol="features"
     )
     return Pipeline(stages=[_vector(columns), model])
 
 
-def boosting(columns: Sequence[str], *, rounds: int = 50, depth: int = 4, rate: float = 0.1, seed: int = 42) -> Pipeline:
+def boosting(
+    columns: Sequence[str], *, rounds: int = 50, depth: int = 4, rate: float = 0.1, leaf: int = 1, rows: float = 1.0, features: str = "all",
+    held: str | None = None, tolerance: float = 0.001, seed: int = 42,
+) -> Pipeline:
+    """As ``random_forest``; rows that ``held`` marks take no part in the fit and end it as soon as a round gains too little on them."""
     model = GBTClassifier(
-        labelCol="label", weightCol="weight", maxIter=rounds, maxDepth=depth, stepSize=rate, seed=seed
+        labelCol="label", weightCol="weight", maxIter=rounds, maxDepth=depth, stepSize=rate, minInstancesPerNode=leaf, subsamplingRate=rows, featureSubsetStrategy=features,
+        validationTol=tolerance, seed=seed,
     )
-    return Pipeline(stages=[_vector(columns), model])
+    return Pipeline(stages=[_vector(columns), model.setValidationIndicatorCol(held) if held else model])
+
+
+def rounds_by_fold(folded: DataFrame, columns: Sequence[str], *, folds: int, most: int = 200, **options) -> DataFrame:
+    """fold, rounds, log_loss, brier_score: boosting on the other folds until the held-out fold gains no more, and its scores there.
+
+    Class weights come from the training folds alone.  One row per fold; a fold without rows has none.
+    """
+    rows = settle(folded)
+    found, scored = [], None
+    for fold in range(folds):
+        here = F.col("fold") == fold
+        if rows.where(here).isEmpty():
+            continue
+        weights = class_weights(rows.where(~here)).select("label", "weight")
+        model = boosting(columns, rounds=most, held="_held", **options).fit(rows.withColumn("_held", here).join(F.broadcast(weights), "label"))
+        found.append((fold, model.stages[-1].getNumTrees))
+        part = probability(model, rows.where(here)).select("fold", "label", "p")
+        scored = part if scored is None else scored.unionByName(part)
+    taken = folded.sparkSession.createDataFrame(found, "fold int, rounds int")
+    return taken.withColumns({"log_loss": F.lit(None).cast("double"), "brier_score": F.lit(None).cast("double")}) if scored is None else taken.join(
+        point_metrics(scored, "fold").select("fold", "log_loss", "brier_score"), "fold"
+    )
+
+
+def stopped_boosting(folded: DataFrame, columns: Sequence[str], *, folds: int, most: int = 200, **options) -> tuple[PipelineModel, DataFrame]:
+    """Boosting on all rows with the middle number of rounds that the folds stopped at, and the table of the folds."""
+    taken = settle(rounds_by_fold(folded, columns, folds=folds, most=most, **options))
+    rounds = taken.select(F.ceil(F.median("rounds")).cast("int")).first()[0]
+    kept = {k: v for k, v in options.items() if k != "tolerance"}
+    return boosting(columns, rounds=rounds, **kept).fit(with_weights(folded)), taken
 
 
 def logistic(columns: Sequence[str], *, max_iter: int = 100, ridge: float = 0.01) -> Pipeline:

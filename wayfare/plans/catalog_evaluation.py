@@ -445,6 +445,13 @@ def _(spark, folder):
     return learner_scores(spark, folder, learn.boosting)[3]
 
 
+@query("boosting_rounds")
+def _(spark, folder):
+    rows, columns = learning_frame(spark, folder)
+    folded = evaluate.stratified_folds(rows.where("NOT is_test"), 5)
+    return learn.rounds_by_fold(folded, columns, folds=5, leaf=5, rows=0.8, features="0.8")
+
+
 @query("logreg_scores")
 def _(spark, folder):
     return learner_scores(spark, folder, learn.logistic)[3]
