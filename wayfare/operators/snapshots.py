@@ -145,13 +145,15 @@ def prefix_rows(
         flag: running_max((F.col("ed_id") == ed).cast("int")) for flag, ed in (milestones or {}).items()
     }
     rows = along(rows, steps)
-    gap = (F.col("ts_us") - F.col("_prev_us")).cast("double")
+    gap = F.col("ts_us") - F.col("_prev_us")
+    exact = gap.cast("decimal(19,0)")
     rows = along(
         rows,
         {
             "_gap_sum": running_sum(gap),
-            "_gap_square": running_sum(gap * gap),
-            "_gap_max": running_max(gap),
+            # Whole numbers: close gaps of a long journey keep their spread.
+            "_gap_square": running_sum(exact * exact),
+            "_gap_max": running_max(gap.cast("double")),
         },
     )
     if windows:
@@ -206,7 +208,10 @@ def event_columns(names: Sequence[str], start_us: Column, windows: Sequence[int]
     span = days(F.col("ts_us") - F.col("_first.ts_us"))
     gaps = (k - 1).cast("double")
     mean = F.col("_gap_sum") / gaps
-    spread = F.greatest(F.lit(0.0), F.col("_gap_square") / gaps - mean * mean)
+    # n x sum of squares - square of the sum, exact below 38 digits.
+    whole, count = F.col("_gap_sum").cast("decimal(19,0)"), (k - 1).cast("decimal(18,0)")
+    apart = F.try_subtract(F.try_multiply(F.col("_gap_square"), count), F.try_multiply(whole, whole)).cast("double") / (gaps * gaps)
+    spread = F.greatest(F.lit(0.0), F.coalesce(apart, F.col("_gap_square").cast("double") / gaps - mean * mean))
     out = [
         F.col("ts_us").alias("snapshot_us"),
         age.alias("snapshot_age_days"),
