@@ -154,3 +154,18 @@ def test_suffix_totals_equal_the_walks(logs):
     # A segment that is not named is left out.
     part = transitions.suffix_totals(logs[0], taken(logs[0]), segments=["1"], timeout_seconds=DAY)
     assert rows(part) == rows(counted(logs[0]).where("segment = '1'"))
+
+
+def test_hot_journey_without_an_id_or_event_ids(spark):
+    """Rows without an id are one journey, cut like another; events without an id are counted over all slices."""
+    events = spark.createDataFrame(
+        [(who, i // 2, "x" if i % 3 else None, None if i % 4 == 0 else i % 3) for who in (None, "a") for i in range(60)], "id string, at long, event_name string, ed_id long"
+    ).withColumn("event_timestamp", F.timestamp_seconds("at"))
+    logs = open_log(events), open_log(events, hot_rows=10)
+    assert logs[1].events.where("id IS NULL").select("slice").distinct().count() > 2
+    found = []
+    for log in logs:
+        occ = along(log.events, {"occ": nth()}, key=("id", "ed_id"))
+        occ = along(occ, {"place": nth(), "seen": running_sum(F.col("occ")), "before": previous(F.col("ed_id"))})
+        found.append(sorted((tuple(r) for r in occ.select("id", "ts_us", "event_name", "ed_id", "occ", "place", "seen", "before").collect()), key=str))
+    assert found[0] == found[1] and len(found[0]) == len(found[1])

@@ -98,6 +98,15 @@ def along(
     return both_branches(ordinary, cut)
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equality join in which nulls are equal; columns of the key come from ``left``."""
+    named = right.withColumnsRenamed({c: f"_on_{c}" for c in on})
+    same = F.lit(True)
+    for c in on:
+        same &= F.col(c).eqNullSafe(F.col(f"_on_{c}"))
+    return left.join(named, same, how).drop(*[f"_on_{c}" for c in on])
+
+
 def both_branches(ordinary: DataFrame, cut: DataFrame) -> DataFrame:
     """Union that lets the optimizer tell the branches apart by ``slice``."""
     return ordinary.withColumn(SLICE, F.lit(None).cast("int")).unionByName(
@@ -122,7 +131,7 @@ def along_slices(
     carried = slices.select(
         *part, *[_carry(step, f"_s_{name}", key).alias(f"_out_{name}") for name, step in steps.items()]
     )
-    out = out.join(carried, part, "left")
+    out = null_safe_join(out, carried, part, "left")
     out = out.withColumns(
         {name: _combine(step, F.col(f"_in_{name}"), F.col(f"_out_{name}")) for name, step in steps.items()}
     )

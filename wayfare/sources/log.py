@@ -7,7 +7,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayfare.functions.ordered import SLICE, both_branches
+from wayfare.functions.ordered import SLICE, both_branches, null_safe_join
 from wayfare.session import settle
 
 # A journey above this many rows is cut into time slices.
@@ -67,7 +67,7 @@ class JourneyLog:
             ordinary, cut = rows.where(F.col(SLICE).isNull()).drop(SLICE), rows.where(F.col(SLICE).isNotNull()).drop(SLICE)
         else:
             ids = self.hot.select("id")
-            ordinary, cut = rows.join(ids, "id", "left_anti"), rows.join(ids, "id", "left_semi")
+            ordinary, cut = null_safe_join(rows, ids, ["id"], "left_anti"), null_safe_join(rows, ids, ["id"], "left_semi")
         return both_branches(ordinary, _with_slice(cut, self.hot, time_us))
 
 
@@ -93,8 +93,8 @@ def open_log(events: DataFrame, *, deduplicate: bool = True, hot_rows: int = HOT
     tasks = -(-(found.rows or 0) // ROWS_PER_TASK)
     if hot is None:
         return JourneyLog(_placed(rows, ["id"], tasks, deduplicate), None, found.end_us)
-    ordinary = _placed(rows.join(hot.select("id"), "id", "left_anti"), ["id"], tasks, deduplicate)
-    cut = _with_slice(rows.join(hot.select("id"), "id", "left_semi"), hot, "ts_us")
+    ordinary = _placed(null_safe_join(rows, hot.select("id"), ["id"], "left_anti"), ["id"], tasks, deduplicate)
+    cut = _with_slice(null_safe_join(rows, hot.select("id"), ["id"], "left_semi"), hot, "ts_us")
     cut = settle(_placed(cut, ["id", SLICE], tasks, deduplicate))
     return JourneyLog(both_branches(ordinary, cut), hot, found.end_us)
 
@@ -126,7 +126,7 @@ def _hot_journeys(rows: DataFrame, spans: DataFrame, hot_rows: int, longest: int
     ids = settle(spans.where(F.col("n") > hot_rows).select("id", pieces.cast("long").alias("pieces")))
     most = max(2, -(-longest * SLICES_PER_HOT_ROWS // hot_rows))
     at = F.percentile_approx("ts_us", [i / most for i in range(1, most)], 10 * most)
-    cuts = rows.join(ids, "id").groupBy("id", "pieces").agg(at.alias("at"))
+    cuts = null_safe_join(rows, ids, ["id"]).groupBy("id", "pieces").agg(at.alias("at"))
     # The longest journey keeps all bounds, a shorter one every so many.
     picked = F.filter("at", lambda _, i: F.floor((i + 1) * F.col("pieces") / most) > F.floor(i * F.col("pieces") / most))
     cuts = cuts.select("id", F.array_distinct(picked).alias("at")).where(F.size("at") > 0)
@@ -141,4 +141,4 @@ def _with_slice(rows: DataFrame, hot: DataFrame, time_us: str) -> DataFrame:
     block = F.size(F.filter("blocks", lambda b: before(b[0])))
     inside = F.size(F.filter(F.get("blocks", block - 1), before))
     place = F.when(block > 0, (block - 1) * F.size(F.get("blocks", F.lit(0))) + inside).otherwise(0)
-    return rows.join(hot, "id").withColumn(SLICE, F.coalesce(place, F.lit(0))).drop("blocks")
+    return null_safe_join(rows, hot, ["id"]).withColumn(SLICE, F.coalesce(place, F.lit(0))).drop("blocks")
