@@ -23,6 +23,12 @@ from wayfare.constants import (
 from wayfare.functions.columns import age_bin
 from wayfare.operators.transitions import GLOBAL, age_bin_exposure, journey_ages
 
+
+def us_sum(column: str) -> Column:
+    """Exact sum of microseconds: 64 bits end at 292,000 years, less than the journeys of a large log have together."""
+    return F.sum(F.col(column).cast("decimal(38,0)"))
+
+
 def moves(table: DataFrame) -> DataFrame:
     """Transitions that change the state."""
     return table.where(F.col("state") != F.col("next_state"))
@@ -34,14 +40,14 @@ def pair_totals(table: DataFrame, segment: Column | None = None) -> DataFrame:
     return (
         moves(table)
         .groupBy(tag, F.col("state").alias("from_state"), F.col("next_state").alias("to_state"))
-        .agg(F.count(F.lit(1)).alias("n"), F.sum("dt_us").alias("dwell_us"))
+        .agg(F.count(F.lit(1)).alias("n"), us_sum("dt_us").alias("dwell_us"))
     )
 
 
 def with_rates(totals: DataFrame, *, min_time: float = MIN_TIME_SECONDS) -> DataFrame:
     """Add exposure_us (dwell of all moves out of the state) and rate per second."""
     out_of = Window.partitionBy("segment", "from_state")
-    exposure = F.sum("dwell_us").over(out_of)
+    exposure = us_sum("dwell_us").over(out_of)
     return totals.withColumn("exposure_us", exposure).withColumn(
         "rate", F.col("n") / F.greatest(F.col("exposure_us") / F.lit(1e6), F.lit(min_time))
     )
@@ -91,7 +97,7 @@ def transition_counts(table: DataFrame, segment: Column | None = None) -> DataFr
 def state_exposure(table: DataFrame, segment: Column | None = None, *, min_time: float = MIN_TIME_SECONDS) -> DataFrame:
     """Seconds spent in every state before moving on, floored for states never left."""
     totals = pair_totals(table, segment)
-    left = totals.groupBy("segment", F.col("from_state").alias("state")).agg(F.sum("dwell_us").alias("us"))
+    left = totals.groupBy("segment", F.col("from_state").alias("state")).agg(us_sum("dwell_us").alias("us"))
     seconds = F.greatest(F.coalesce(F.col("us"), F.lit(0)) / F.lit(1e6), F.lit(min_time))
     return state_list(totals).join(left, ["segment", "state"], "left").select(
         "segment", "state", seconds.alias("exposure_seconds")

@@ -9,6 +9,7 @@ from wayfare.operators import assemble, rates, scoring, transitions
 from wayfare.plans import sql
 from wayfare.plans.registry import query, r6
 from wayfare.plans.sql import CUSTOMER28, EV, EV_LABEL, OL, OL_LABEL, recursive, with_
+from wayfare.session import settle
 from wayfare.sources import adapters
 
 H12 = 43_200
@@ -32,6 +33,14 @@ def ol_timeout(spark, folder):
     return transitions.timeout_transitions(adapters.orders_log(spark, folder))
 
 
+def bigint_where_it_fits(cells, column="exposure_us"):
+    """The SQL's BIGINT; where a total is beyond it and the SQL has no result, the column stays an exact decimal(38,0)."""
+    # One row per segment and pair of states.
+    cells = settle(cells)
+    most = cells.select(F.max(column)).first()[0]
+    return cells if most is not None and most >= 2**63 else cells.withColumn(column, F.col(column).cast("long"))
+
+
 def ev_transitions(spark, folder):
     return transitions.transitions(adapters.events_log(spark, folder))
 
@@ -243,7 +252,7 @@ ht AS (SELECT * FROM hk WHERE next_state IS NOT NULL AND state <> next_state)"""
 def order_generator(spark, folder, k):
     table = transitions.order_k_transitions(adapters.events_log(spark, folder), k)
     goal = ",".join(["28"] * k)
-    cells = rates.rate_table(table)
+    cells = bigint_where_it_fits(rates.rate_table(table))
     cells = cells.withColumn("rate", F.when(F.col("from_state") == goal, 0.0).otherwise(F.col("rate")))
     return r6(cells.select("from_state", "to_state", "n", "exposure_us", (F.col("rate") * PER_DAY).alias("rate_per_day")))
 
@@ -374,7 +383,7 @@ STRAT = (
 )
 def _(spark, folder):
     totals = rates.stratified_totals(ol_timeout(spark, folder), ORDER_EDGES)
-    cells = rates.with_rates(totals)
+    cells = bigint_where_it_fits(rates.with_rates(totals))
     return r6(
         cells.select(
             F.col("segment").alias("age_bin"), "from_state", "to_state", "n", "exposure_us",
@@ -505,5 +514,5 @@ def first_state_segments(log):
 def _(spark, folder):
     log = adapters.events_log(spark, folder)
     table = transitions.transitions(log).join(first_state_segments(log), "id")
-    cells = rates.rate_table(table, F.col("segment"))
+    cells = bigint_where_it_fits(rates.rate_table(table, F.col("segment")))
     return r6(cells.select("segment", "from_state", "to_state", "n", "exposure_us", (F.col("rate") * PER_DAY).alias("rate_per_day")))
