@@ -11,6 +11,7 @@ from wayfare.plans.catalog import all_queries
 QUERIES = [
     "timeout_score",
     "timeout_absorption",
+    "stratified_score",
 ]
 
 

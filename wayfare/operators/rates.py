@@ -265,7 +265,7 @@ def fill_thin_segments(totals: DataFrame, segments: Sequence[str], *, min_rows:
     size = F.sum("n").over(Window.partitionBy("segment"))
     sized = totals.withColumn("_size", size)
     kept = sized.where(F.col("_size") >= min_rows).drop("_size").withColumn("fallback", F.lit(False))
-    pooled = totals.groupBy("from_state", "to_state").agg(F.sum("n").alias("n"), F.sum("dwell_us").alias("dwell_us"))
+    pooled = totals.groupBy("from_state", "to_state").agg(F.sum("n").alias("n"), us_sum("dwell_us").alias("dwell_us"))
     spread = pooled.withColumn("segment", F.explode(F.array(*[F.lit(s) for s in segments])))
     full = kept.select("segment").distinct()
     thin = spread.join(full, "segment", "left_anti").withColumn("fallback", F.lit(True))
