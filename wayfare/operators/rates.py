@@ -136,7 +136,7 @@ def smoothed_totals(
         .join(totals, ["segment", "from_state", "to_state"], "left")
         .na.fill(0, ["n", "dwell_us"])
     )
-    exposure = F.sum("dwell_us").over(Window.partitionBy("segment", "from_state"))
+    exposure = us_sum("dwell_us").over(Window.partitionBy("segment", "from_state"))
     seconds = F.greatest(exposure / F.lit(1e6), F.lit(min_time))
     rate = (F.col("n") + F.lit(float(alpha))) / seconds
     if not lift_empty_states:
