@@ -282,7 +282,7 @@ def piecewise_cells(
     """Jumps and split exposure per (bin, from_state, to_state): the one pass of a piecewise fit."""
     split = age_bin_exposure(table.where(~F.col("state").isin(success_state, failure_state)), edges)
     return split.groupBy("bin", F.col("state").alias("from_state"), F.col("next_state").alias("to_state")).agg(
-        F.sum("jumps").alias("n"), F.sum("exposure_us").alias("exposure_us")
+        F.sum("jumps").alias("n"), us_sum("exposure_us").alias("exposure_us")
     )
 
 
@@ -312,11 +312,11 @@ def piecewise_from_cells(
 ) -> DataFrame:
     """The fallback rule on (bin, from_state, to_state, n, exposure_us) totals."""
     row = Window.partitionBy("bin", "from_state")
-    per_bin = cells.withColumns({"_jumps": F.sum("n").over(row), "exposure_us": F.sum("exposure_us").over(row)})
+    per_bin = cells.withColumns({"_jumps": F.sum("n").over(row), "exposure_us": us_sum("exposure_us").over(row)})
     rich = per_bin.where((F.col("_jumps") >= min_jumps) & (F.col("exposure_us") >= F.lit(int(min_exposure * 1e6))))
     rich = rich.drop("_jumps").withColumn("fallback", F.lit(False))
-    whole = cells.groupBy("from_state", "to_state").agg(F.sum("n").alias("n"), F.sum("exposure_us").alias("_us"))
-    whole = whole.withColumn("exposure_us", F.sum("_us").over(Window.partitionBy("from_state"))).drop("_us")
+    whole = cells.groupBy("from_state", "to_state").agg(F.sum("n").alias("n"), us_sum("exposure_us").alias("_us"))
+    whole = whole.withColumn("exposure_us", us_sum("_us").over(Window.partitionBy("from_state"))).drop("_us")
     spread = whole.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
     thin = spread.join(rich.select("bin", "from_state").distinct(), ["bin", "from_state"], "left_anti")
     out = rich.unionByName(thin.withColumn("fallback", F.lit(True)))
@@ -347,7 +347,7 @@ def piecewise_summary(table: DataFrame, edges: Sequence[float], **options) -> Da
     )
     seen = cells.select(F.explode(F.array("from_state", "to_state")).alias("state")).distinct()
     n_states = seen.where(~F.col("state").isin(success, failure)).select(F.count(F.lit(1)) + 2).scalar()
-    totals = cells.groupBy("bin").agg(F.sum("n").alias("n_transitions"), F.sum("exposure_us").alias("us"))
+    totals = cells.groupBy("bin").agg(F.sum("n").alias("n_transitions"), us_sum("exposure_us").alias("us"))
     thin = fitted.where("fallback").groupBy(F.col("segment").cast("int").alias("bin")).agg(
         F.count_distinct("from_state").alias("n_from")
     )

@@ -429,7 +429,7 @@ PIECE = (
   round(CASE WHEN exp_us > 0 THEN n / (exp_us / 1e6) * 86400 ELSE 0 END, 6) AS rate_per_day, fallback FROM pw""",
 )
 def _(spark, folder):
-    cells = rates.piecewise_rates(ol_timeout(spark, folder), ORDER_EDGES)
+    cells = bigint_where_it_fits(rates.piecewise_rates(ol_timeout(spark, folder), ORDER_EDGES))
     return r6(
         cells.select(
             F.col("segment").alias("age_bin"), "from_state", "to_state", "n", "exposure_us",
