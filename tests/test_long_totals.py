@@ -15,6 +15,7 @@ QUERIES = [
     "stratified_generator",
     "stratified_score",
     "piecewise_generator",
+    "piecewise_score",
 ]
 
 
