@@ -16,6 +16,7 @@ QUERIES = [
     "stratified_score",
     "piecewise_generator",
     "piecewise_score",
+    "bin_summary",
 ]
 
 

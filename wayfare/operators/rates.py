@@ -22,6 +22,7 @@ from wayfare.constants import (
 )
 from wayfare.functions.columns import age_bin
 from wayfare.operators.transitions import GLOBAL, age_bin_exposure, journey_ages
+from wayfare.session import settle
 
 
 def us_sum(column: str) -> Column:
@@ -337,7 +338,8 @@ def bin_windows(edges: Sequence[float]) -> list[str]:
 def piecewise_summary(table: DataFrame, edges: Sequence[float], **options) -> DataFrame:
     """Per age bin: moves, exposure in days, fallback rows and states."""
     success, failure = options.get("success_state", SUCCESS_STATE), options.get("failure_state", FAILURE_STATE)
-    cells = piecewise_cells(table, edges, success_state=success, failure_state=failure)
+    # One row per bin and pair of states, read several times below.
+    cells = settle(piecewise_cells(table, edges, success_state=success, failure_state=failure))
     bins = len(edges) + 1
     fitted = piecewise_from_cells(
         cells,
