@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from wayfare.functions.ranks import cumulative_counts, even_slices, profile_values
 from wayfare.operators import neighbours, snapshots
+from wayfare.session import shared_folder
 from wayfare.sources.log import open_log
 
 
@@ -41,6 +43,28 @@ def test_small_cells_and_blocks_change_nothing(spark, points, monkeypatch, cell_
         assert got == brute(points, 4, allowed)
 
 
+@pytest.mark.parametrize("kind", ["double", "float"])
+def test_many_slabs_change_nothing_and_leave_nothing(spark, points, kind):
+    """Rounds over small slabs, names as text, equal distances, and rows of ``df`` that are not in ``base``; disk does not grow with the rounds."""
+    x = points.astype(np.float32).astype(float)
+    df = spark.createDataFrame([(f"n{i:03d}", p.tolist()) for i, p in enumerate(x)], f"id string, features array<{kind}>")
+    one, many = ([sorted(map(tuple, neighbours.nearest_neighbours(df, base, 5, exclude_self=True, cell_rows=9, slab_bytes=b).collect())) for base in (df, df.where("id < 'n060'"))] for b in (10**6, 1_000))
+    assert one == many
+    got = {}
+    for i, j, _, _ in sorted(many[0], key=lambda r: (r[0], r[3])):
+        got.setdefault(int(i[1:]), []).append(int(j[1:]))
+    assert got == brute(x, 5, lambda i, j: i != j)
+    before = shared_bytes(spark)
+    neighbours.nearest_neighbours(df, df, 5, exclude_self=True, slab_bytes=10**6).collect()
+    between = shared_bytes(spark)
+    neighbours.nearest_neighbours(df, df, 5, exclude_self=True, slab_bytes=700).collect()
+    assert shared_bytes(spark) - between < 1.5 * (between - before)
+
+
+def shared_bytes(spark):
+    return sum(p.stat().st_size for p in Path(shared_folder(spark).removeprefix("file:")).rglob("*") if p.is_file())
+
+
 def test_graph_is_joined_by_its_shortest_edges(spark, points):
     df = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "id long, features array<double>")
     edges = neighbours.connected_graph(df, 2)
