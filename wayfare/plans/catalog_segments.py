@@ -166,7 +166,7 @@ def _(spark, folder):
 
 def vectors(spark, folder):
     return spark.read.parquet(f"{folder}/embeddings.parquet").select(
-        F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("features")
+        F.col("vec_id").alias("id"), F.col("embedding").alias("features")
     )
 
 
